@@ -25,3 +25,23 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by positive-unlabelled learning from labels outside the held-out quarter."""
+    from .quality import fit_quality, score_quality
+
+    docs, held = table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 4 = 2"
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), usable=f"not ({held})")
+    return score_quality(docs, model).select("doc_id", F.expr(held).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by class-conditional Kneser-Ney models of labels outside the held-out fifth."""
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs, held = table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 5 = 0"
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), usable=f"not ({held})")
+    return score_toxicity(docs, model).select("doc_id", F.expr(held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
