@@ -20,12 +20,12 @@ def _slot(id_col: str):
 def prefilter(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``rows`` whose id may be in ``ids``: every id that is, and a few that are not. An exact join must follow."""
     marked = ids.select(_slot(id_col).alias("h"))
-    parts = marked.groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    parts = marked.groupBy(F.shiftright("h", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(32767))).alias("bits")).collect()
     bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)
     for part in parts:
         found = np.frombuffer(bytes(part["bits"]), np.uint8)
-        at = (part["bucket"] - 1) * len(found)
-        bitmap[at : at + len(found)] |= found[: len(bitmap) - at]
+        at = part["bucket"] * 4096
+        bitmap[at : at + len(found)] |= found
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
     last = len(rows.columns)
 
