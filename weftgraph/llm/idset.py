@@ -1,38 +1,27 @@
-"""A bounded bitmap of ids: drops rows that a later exact join would drop, before their texts are shuffled."""
+"""Drops rows that a later exact join would drop, before their texts are shuffled."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import hashed_bitmap, is_set
+
 #: Bits of the bitmap (8 MB), whatever the number of ids. Past some ten million ids it lets ever more rows through.
 BITMAP_BITS = 1 << 26
 
 
-def _slot(id_col: str):
-    return F.pmod(F.xxhash64(id_col), F.lit(BITMAP_BITS))
-
-
 def prefilter(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``rows`` whose id may be in ``ids``: every id that is, and a few that are not. An exact join must follow."""
-    marked = ids.select(_slot(id_col).alias("h"))
-    parts = marked.groupBy(F.shiftright("h", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(32767))).alias("bits")).collect()
-    bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for part in parts:
-        found = np.frombuffer(bytes(part["bits"]), np.uint8)
-        at = part["bucket"] * 4096
-        bitmap[at : at + len(found)] |= found
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    slot = F.pmod(F.xxhash64(id_col), F.lit(BITMAP_BITS)).alias("h")
+    shared = hashed_bitmap(ids.select(slot), BITMAP_BITS)
     last = len(rows.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
-            h = batch.column(last).to_numpy()
-            yield batch.filter(pa.array((bits[h >> 3] >> (h & 7) & 1).astype(bool))).select(range(last))
+            yield batch.filter(pa.array(is_set(shared.value, batch.column(last).to_numpy()))).select(range(last))
 
-    return rows.withColumn("_slot", _slot(id_col)).mapInArrow(run, rows.schema)
+    return rows.select("*", slot).mapInArrow(run, rows.schema)

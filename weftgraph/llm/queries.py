@@ -45,3 +45,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 5 = 0"
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), usable=f"not ({held})")
     return score_toxicity(docs, model).select("doc_id", F.expr(held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that occur more than once in the documents, and what of them occurs before."""
+    from .suffixdedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents")).withColumn("n_words", F.col("end_word") - F.col("start_word"))
+
+
+ORACLES["op5_suffix_array_dedup"] = r"""
+WITH docs AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (SELECT doc_id, q, list_slice(w, q + 1, q + 50) AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS q FROM docs WHERE len(w) >= 50)),
+marked AS (SELECT doc_id, q, count(*) OVER (PARTITION BY g) AS times, row_number() OVER (PARTITION BY g ORDER BY doc_id, q) AS nth FROM grams),
+parts AS (SELECT 'repeated' AS part, doc_id, q FROM marked WHERE times > 1 UNION ALL SELECT 'later', doc_id, q FROM marked WHERE nth > 1),
+gaps AS (SELECT *, CASE WHEN q - lag(q) OVER (PARTITION BY part, doc_id ORDER BY q) <= 50 THEN 0 ELSE 1 END AS new FROM parts),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY part, doc_id ORDER BY q ROWS UNBOUNDED PRECEDING) AS island FROM gaps)
+SELECT doc_id, part, min(q) AS start_word, max(q) + 50 AS end_word, max(q) + 50 - min(q) AS n_words FROM islands GROUP BY part, doc_id, island
+"""
