@@ -64,3 +64,24 @@ gaps AS (SELECT *, CASE WHEN q - lag(q) OVER (PARTITION BY part, doc_id ORDER BY
 islands AS (SELECT *, sum(new) OVER (PARTITION BY part, doc_id ORDER BY q ROWS UNBOUNDED PRECEDING) AS island FROM gaps)
 SELECT doc_id, part, min(q) AS start_word, max(q) + 50 AS end_word, max(q) + 50 - min(q) AS n_words FROM islands GROUP BY part, doc_id, island
 """
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens of lexically like documents."""
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted by a separator scan of the flat token stream of all documents."""
+    import public_tokenizers
+
+    from .separators import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=49407)
