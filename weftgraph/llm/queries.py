@@ -85,3 +85,52 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .separators import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=49407)
+
+
+#: The url rules of the query.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+@query
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, deciding rule and verdict."""
+    from .urlfilter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLES["op3_url_filters"] = r"""
+WITH rules(rule, verdict) AS (VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')),
+cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) AS raw FROM cut),
+urls AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1) AS path FROM parts),
+fits AS (SELECT u.page_id, u.host, u.path, r.rule, r.verdict FROM urls u LEFT JOIN rules r
+         ON (u.host = split_part(r.rule, '/', 1) OR ends_with(u.host, '.' || split_part(r.rule, '/', 1)))
+         AND starts_with(u.path, substr(r.rule, instr(r.rule, '/'))))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST) = 1
+"""
+
+
+@query
+def op4_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents by BM25 for every document whose id is divisible by 100."""
+    from .search import bm25_topk
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25_topk(docs, docs.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), k=10)
+
+
+ORACLES["op4_exact_topk_search"] = r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+len AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
+size AS (SELECT count(*) AS n, (SELECT sum(dl) FROM len) / count(*) AS mean FROM documents),
+idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, size GROUP BY term, n),
+score AS (SELECT q.doc_id AS query_id, d.doc_id,
+          sum(CAST(round(1e6 * (idf * (d.tf * (1.2 + 1) / (d.tf + CAST(1.2 AS DOUBLE) * (1 - CAST(0.75 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / mean))))) AS BIGINT)) AS score
+          FROM tf q JOIN tf d USING (term) JOIN idf USING (term) JOIN len ON len.doc_id = d.doc_id, size WHERE q.doc_id % 100 = 0 GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, CAST(score AS DOUBLE) / 1e6 AS score
+FROM score WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10
+"""
