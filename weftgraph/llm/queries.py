@@ -134,3 +134,35 @@ score AS (SELECT q.doc_id AS query_id, d.doc_id,
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, CAST(score AS DOUBLE) / 1e6 AS score
 FROM score WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10
 """
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's piece ids, and whether decoding them gives its text back."""
+    import public_tokenizers
+
+    from .pieces import decode_pieces, encode_pieces, piece_model
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    width = piece_model(path).dtype.itemsize
+    found = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), path), path)
+    return found.select("doc_id", (F.octet_length("ids") / width).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as FLAC in the shared folder, read back and described."""
+    from ..plans.storage import materialize
+    from .flac import read_media, store_media
+
+    found = read_media(materialize(store_media(table(spark, sf_dir, "documents")), "media"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, octet_length(payload) - 63, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
