@@ -6,8 +6,10 @@ import os
 
 import numpy as np
 
-#: Distinct words kept by a task; when full the table starts anew.
-KEPT_WORDS = 400_000
+#: Distinct words, and distinct words of letters alone, kept by a task; a full table starts anew.
+KEPT_WORDS, KEPT_CORES = 400_000, 800_000
+#: ASCII that is neither letter, digit, space nor apostrophe: a run of it after a letter is a token group of its own.
+_TAIL = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
 
 
 class WordEncoder:
@@ -25,6 +27,46 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = special_as_text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode_cores(self, cores: list[bytes]) -> list[bytes]:
+        """Ids of words of letters alone: one call for all, cut after the tokens that close a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(c.decode() for c in cores), add_special_tokens=False).ids, np.int64)
+        cut = np.concatenate([[0], np.flatnonzero(self.closes[ids]) + 1]) * self.dtype.itemsize
+        if len(cut) != len(cores) + 1:  # not a tokenizer that marks the ends of words
+            return self._encode_apart(cores)
+        flat = ids.astype(self.dtype).tobytes()
+        return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+    def _encode_apart(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Add words to the table. Letters followed by ASCII marks are the letters' ids (lower-cased here where that is
+        plain: up to U+024F without U+0130) and the marks' ids."""
+        plain, apart = [], []
+        for w in words:
+            core = w.rstrip(_TAIL)
+            if core.isalpha():
+                plain.append((w, core.lower(), w[len(core) :]))
+                continue
+            text = core.decode("utf-8", "replace")
+            if text.isalpha() and (text.islower() or (max(text) < "\u0250" and "\u0130" not in text)):
+                plain.append((w, text.lower().encode(), w[len(core) :]))
+            else:
+                apart.append(w)
+        new = list({c for _, c, _ in plain}.difference(self.cores))
+        tails = {t for _, _, t in plain}.difference(self.cores)
+        for i in range(0, len(new), 5_000):
+            self.cores.update(zip(new[i : i + 5_000], self._encode_cores(new[i : i + 5_000])))
+        self.cores.update(zip(tails, self._encode_apart(list(tails))))
+        self.words.update((w, self.cores[c] + self.cores[t]) for w, c, t in plain)
+        for i in range(0, len(apart), 20_000):
+            self.words.update(zip(apart[i : i + 20_000], self._encode_apart(apart[i : i + 20_000])))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int | None = None) -> list[bytes]:
         """The ids of each text, as bytes, followed by the id ``end`` if given."""
@@ -32,11 +74,9 @@ class WordEncoder:
         texts = [raw[i:j].split() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         if len(self.words) > KEPT_WORDS:
             self.words = {}
-        new = list(set().union(*texts).difference(self.words))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.words.update(zip(part, (np.array(e.ids, self.dtype).tobytes() for e in found)))
+        if len(self.cores) > KEPT_CORES:
+            self.cores = {}
+        self.learn(list(set().union(*texts).difference(self.words)))
         get = self.words.__getitem__
         tail = b"" if end is None else np.array([end], self.dtype).tobytes()
         return [b"".join(map(get, words)) + tail for words in texts]
