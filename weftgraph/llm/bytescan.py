@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text that one vectorised step works on; a single longer text makes a step of its own.
 CHUNK_BYTES = 1 << 20
@@ -94,3 +95,13 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for i, p in enumerate(powers(n, 0xD6E8FEB86659FD93)):
         out += words[i : i + len(out)] * p
     return mix(out)
+
+
+def keep_rows(docs: DataFrame, decide: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Rows of ``docs`` whose text ``decide(data, offsets)`` keeps, with all their columns and in place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in text_chunks(batches):
+            yield rows.filter(pa.array(decide(data, offsets)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import SPACE, gram_hashes, text_chunks, word_hashes, word_spans
+from .bytescan import SPACE, gram_hashes, keep_rows, text_chunks, word_hashes, word_spans
 
 #: Rows of trusted positives, and of unlabelled texts, that one fit uses at most (those of least hashed id).
 SAMPLE_ROWS = 10000
@@ -211,3 +211,8 @@ def score_quality(docs: DataFrame, model: Network) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(model.scores(text_features(data, offsets)).astype(float))], ["doc_id", "score"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def keep_quality(docs: DataFrame, model: Network, least: float) -> DataFrame:
+    """Rows that score ``least`` or more, with all their columns; no shuffle."""
+    return keep_rows(docs, lambda data, offsets: model.scores(text_features(data, offsets)) >= least)

@@ -166,3 +166,12 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
     )
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline's sequences, each piece by digest columns."""
+    import corpus_pipeline
+
+    pieces = corpus_pipeline.run(spark, sf_dir)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -156,3 +156,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = materialize(placed, "simhash-class")
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     return marked.join(placed.select("fp", "component"), "fp").join(named, "component").select("doc_id", "fp", "component_id")
+
+
+def keep_representatives(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """One row of each component of :func:`near_duplicates`: that of the smallest doc_id, with all its columns.
+
+    Of rows that repeat with one id and text one stays. Rows with a null id cannot be told apart by id and all stay.
+    """
+    found = near_duplicates(docs, shingle=shingle, radius=radius)
+    named = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.select(docs.columns).union(docs.filter("doc_id is null"))

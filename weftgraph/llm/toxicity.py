@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialize
-from .bytescan import text_chunks
+from .bytescan import keep_rows, text_chunks
 from .idset import prefilter
 
 #: Bytes of a gram: the byte that is predicted and its context.
@@ -224,3 +224,9 @@ def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
     rated = _strongest(docs.select("doc_id", F.col("text").cast("string").alias("text")), shared, "doc_id", "long")
     bent = F.lit(float(model.slope)) * (F.col("strongest") - F.lit(float(model.middle)))
     return rated.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), bent))))).alias("score"))
+
+
+def keep_ordinary(docs: DataFrame, model: ToxicModel, below: float) -> DataFrame:
+    """Rows that score under ``below``, with all their columns; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, lambda data, offsets: shared.value.scores(shared.value.strongest(data, offsets)) < below)
