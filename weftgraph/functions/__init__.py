@@ -1 +1 @@
-"""..."""
+"""Column expressions: text, citations and arithmetic that need no shuffle."""

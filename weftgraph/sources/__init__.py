@@ -1 +1 @@
-"""..."""
+"""Reading documents, pages and graph files, and writing graphs."""
