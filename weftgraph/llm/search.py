@@ -17,6 +17,8 @@ K1, B = 1.2, 0.75
 UNIT = 1e6
 #: Documents of a shard, and of a block that shares one upper bound for each term.
 SHARD_DOCS, BLOCK_DOCS = 8192, 64
+#: A term that more than one in so many documents of a shard hold also has its contributions as a row over all of them.
+DENSE = 16
 #: Distinct terms of all queries that are searched at once (with repeats between queries): 32 MB.
 BLOCK_TERMS = 1 << 22
 
@@ -66,6 +68,7 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, doc: np.ndarray, slot: np.ndarray, gain: np.ndarray, terms: int):
         self.ids, self.n = ids, len(ids)
+        gain = gain.astype(float)  # whole numbers below 2**53, so sums are exact
         self.by_doc, self.doc_slot, self.doc_gain = np.searchsorted(doc, np.arange(self.n + 1)), slot, gain
         order = np.argsort(slot, kind="stable")
         self.doc, self.gain, slot = doc[order], gain[order], slot[order]
@@ -73,11 +76,17 @@ class Shard:
         block = slot.astype(np.int64) << 32 | self.doc // BLOCK_DOCS
         new = np.flatnonzero(np.concatenate([np.ones(min(1, len(block)), bool), block[1:] != block[:-1]]))
         self.block = (block[new] & 0xFFFFFFFF).astype(np.int64)
-        self.block_most = np.maximum.reduceat(self.gain, new) if len(new) else np.zeros(0, np.int64)
+        self.block_most = np.maximum.reduceat(self.gain, new) if len(new) else np.zeros(0)
         self.block_first = np.searchsorted(block[new] >> 32, np.arange(terms + 1))
-        self.most = np.zeros(terms, np.int64)
+        self.most = np.zeros(terms)
         np.maximum.at(self.most, block[new] >> 32, self.block_most)
         self.mark = np.zeros(terms, bool)
+        common = np.flatnonzero(np.diff(self.first) * DENSE > self.n)
+        self.row = np.full(terms, -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n))
+        for i, t in enumerate(common.tolist()):
+            self.dense[i, self.doc[self.first[t] : self.first[t + 1]]] = self.gain[self.first[t] : self.first[t + 1]]
 
     @staticmethod
     def _slices(first: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -96,14 +105,18 @@ class Shard:
         query = query[self.most[query] > 0]
         query = query[np.argsort(-self.most[query], kind="stable")]
         rest = np.append(np.cumsum(self.most[query][::-1])[::-1], 0)
-        score, at, step = np.zeros(self.n, np.int64), 0, 8
+        score, at, step = np.zeros(self.n), 0, 8
         threshold = least
         while at < len(query) and rest[at] >= max(threshold, 1):
             part = query[at : at + step]
-            found = self._slices(self.first, part)
-            score += np.bincount(self.doc[found], self.gain[found], self.n).astype(np.int64)
-            at, step = at + len(part), step * 2
-            if self.n >= k:
+            rows = self.row[part]
+            found = self._slices(self.first, part[rows < 0])
+            if len(found):
+                score += np.bincount(self.doc[found], self.gain[found], self.n)
+            for r in rows[rows >= 0].tolist():
+                score += self.dense[r]
+            at, step = at + len(part), min(step * 2, 64)
+            if self.n >= k and rest[at] <= score.max():
                 threshold = max(threshold, int(np.partition(score, self.n - k)[self.n - k]))
         left = query[at:]
         alive = np.flatnonzero((score + rest[at] >= threshold) & (score > 0))
@@ -114,10 +127,10 @@ class Shard:
             self.mark[left] = True
             found = self._slices(self.by_doc, alive)
             owner = np.repeat(np.arange(len(alive)), self.by_doc[alive + 1] - self.by_doc[alive])
-            score[alive] += np.bincount(owner, self.doc_gain[found] * self.mark[self.doc_slot[found]], len(alive)).astype(np.int64)
+            score[alive] += np.bincount(owner, self.doc_gain[found] * self.mark[self.doc_slot[found]], len(alive))
             self.mark[left] = False
         alive = alive[score[alive] >= max(threshold, 1)]
-        return alive, score[alive]
+        return alive, score[alive].astype(np.int64)
 
 
 def _search(docs: DataFrame, shared, k: int) -> DataFrame:
