@@ -57,7 +57,9 @@ def query(sql: str | None = None, uses: str = "") -> Callable:
             given = [f"{n} AS ({FIXTURES[n].format_map({t: t for t in _TABLES})})" for n in uses.split()]
             body = sql.strip()
             if given:
-                body = "WITH " + ", ".join(given) + (", " + body[5:] if body.upper().startswith("WITH ") else " " + body)
+                recursive = "RECURSIVE " if body.startswith("WITH RECURSIVE ") else ""
+                body = body.replace("WITH RECURSIVE ", "WITH ", 1) if recursive else body
+                body = f"WITH {recursive}" + ", ".join(given) + (", " + body[5:] if body.startswith("WITH ") else " " + body)
             ORACLES[f.__name__] = body
         return f
 
