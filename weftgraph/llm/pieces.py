@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .bytescan import text_chunks
 
-#: Bytes of text of a batch, distinct chunks that a task keeps, and the longest chunk that is merged along with others.
-BATCH_BYTES, KEPT_CHUNKS, LONG_CHUNK = 8 << 20, 400_000, 256
+#: Bytes of text of a batch, and of distinct chunks of one suffix array; distinct chunks that a task keeps; and the longest
+#: chunk (in characters) that is merged along with others.
+BATCH_BYTES, ARRAY_BYTES, KEPT_CHUNKS, LONG_CHUNK = 4 << 20, 1 << 19, 400_000, 256
 _SPACE = "▁".encode()
 _CHUNK = re.compile(rb" +[^ ]*")
 _STOP = 0xFF
@@ -225,8 +226,15 @@ class PieceModel:
         if len(self.known) > KEPT_CHUNKS:
             self.known = {}
         new = list(set().union(*texts).difference(self.known))
-        if new:
-            self.known.update(zip(new, self.segment(new)))
+        part, held = [], 0
+        for chunk in new:
+            part.append(chunk)
+            held += len(chunk)
+            if held > ARRAY_BYTES:
+                self.known.update(zip(part, self.segment(part)))
+                part, held = [], 0
+        if part:
+            self.known.update(zip(part, self.segment(part)))
         get = self.known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in texts]
 
