@@ -15,7 +15,7 @@ from .bytescan import text_chunks
 
 #: Bytes of text of a batch, and of distinct chunks of one suffix array; distinct chunks that a task keeps; and the longest
 #: chunk (in characters) that is merged along with others.
-BATCH_BYTES, ARRAY_BYTES, KEPT_CHUNKS, LONG_CHUNK = 4 << 20, 1 << 19, 400_000, 256
+BATCH_BYTES, ARRAY_BYTES, KEPT_CHUNKS, LONG_CHUNK = 4 << 20, 1 << 19, 800_000, 256
 _SPACE = "▁".encode()
 _CHUNK = re.compile(rb" +[^ ]*")
 _STOP = 0xFF
@@ -69,7 +69,7 @@ class PieceModel:
         left = stops[np.searchsorted(stops, begin)] - begin
         past = np.array([(1 << 8 * (8 - i)) - 1 for i in range(8)] + [0], np.uint64)
         words = np.stack([eight[begin + 8 * i] | past[np.clip(left - 8 * i, 0, 8)] for i in range(width)])
-        order = np.argsort(words[0], kind="stable")
+        order = np.argsort(words[0])
         new = np.concatenate([[True], np.diff(words[0][order]) != 0])
         for i in range(1, width):
             tied = ~new & (words[i - 1][order] & np.uint64(255) != _STOP)
@@ -99,8 +99,8 @@ class PieceModel:
             ends.append(low)
         return ends[0], ends[1]
 
-    def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position * 256 + length, piece) of every occurrence of every piece, sorted by position and length."""
+    def edges(self, text: np.ndarray) -> np.ndarray:
+        """The occurrences of all pieces, sorted by position and length: entry [length, position] is the piece's number + 1, or 0."""
         lead = np.flatnonzero(((text & 0xC0) != 0x80) & (text != _STOP))
         order, words = self.suffix_order(text, lead)
         first, past = self.ranges(words)
@@ -108,22 +108,22 @@ class PieceModel:
         piece = np.repeat(np.arange(len(count)), count)
         total = np.cumsum(count)
         at = order[np.arange(len(piece)) + np.repeat(first - total + count, count)]
-        key = at * 256 + self.size[piece]
-        by = np.argsort(key)
-        return key[by], piece[by]
+        table = np.zeros((self.longest + 1, len(text)), np.uint16 if len(count) < 1 << 16 else np.uint32)
+        table[self.size[piece], at] = piece + 1
+        return table
 
     # -- relaxation ----------------------------------------------------------------------------------------------
 
-    def _merge_long(self, cuts: np.ndarray, key: np.ndarray, piece: np.ndarray) -> list[int]:
+    def _merge_long(self, cuts: np.ndarray, table: np.ndarray) -> list[int]:
         """Merges of one long chunk with a heap; returns the token boundaries that are left."""
         cuts = cuts.tolist()
         best: list[tuple[int, int, int, int]] = []
         after, before = {a: b for a, b in zip(cuts, cuts[1:])}, {b: a for a, b in zip(cuts, cuts[1:])}
 
         def offer(start: int, end: int) -> None:
-            i = np.searchsorted(key, start * 256 + end - start) if end - start <= self.longest else len(key)
-            if i < len(key) and key[i] == start * 256 + end - start:
-                heapq.heappush(best, (int(self.rank[piece[i]]), start, after[start], end))
+            piece = int(table[end - start, start]) if end - start <= self.longest else 0
+            if piece:
+                heapq.heappush(best, (int(self.rank[piece - 1]), start, after[start], end))
 
         for a, b in zip(cuts, cuts[2:]):
             offer(a, b)
@@ -147,7 +147,7 @@ class PieceModel:
         the best-ranked edge (leftmost on ties) become one, until no two adjacent tokens make an edge."""
         raw = [c.replace(b" ", _SPACE) for c in chunks]
         text = np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8)
-        key, piece = self.edges(text)
+        table = self.edges(text)
         size = np.array([len(r) for r in raw], np.int64)
         base = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
         lead = np.flatnonzero(((text & 0xC0) != 0x80) & (text != _STOP))
@@ -156,17 +156,17 @@ class PieceModel:
         firsts = np.concatenate([[0], np.cumsum(chars)])
         starts, owners = [], []
         for c in np.flatnonzero(chars > LONG_CHUNK):
-            cuts = self._merge_long(np.append(lead[firsts[c] : firsts[c + 1]], base[c] + size[c]), key, piece)
+            cuts = self._merge_long(np.append(lead[firsts[c] : firsts[c + 1]], base[c] + size[c]), table)
             starts.append(np.array(cuts[:-1], np.int64))
             owners.append(np.full(len(cuts) - 1, c))
         short = chars[owner] <= LONG_CHUNK
         at, of = lead[short], owner[short]
         never = np.int64(1) << 62
+        rank_of = np.concatenate([[never], self.rank])
 
         def ranks(left: np.ndarray, end: np.ndarray, same: np.ndarray) -> np.ndarray:
-            want = np.where(same & (end - left <= self.longest), left * 256 + end - left, -1)
-            i = np.minimum(np.searchsorted(key, want), len(key) - 1) if len(key) else np.zeros(len(want), np.int64)
-            return np.where(key[i] == want, self.rank[piece[i]], never) if len(key) else np.full(len(want), never)
+            length = end - left
+            return rank_of[table[np.where(same & (length <= self.longest), length, 0), left]]
 
         stop = base + size
 
@@ -202,12 +202,13 @@ class PieceModel:
         start, owner = start[by], owner[by]
         last = np.concatenate([owner[1:] != owner[:-1], [True]])[: len(start)]
         end = np.where(last, stop[owner], np.append(start[1:], 0)[: len(start)])
-        i = np.minimum(np.searchsorted(key, start * 256 + end - start), len(key) - 1) if len(key) else np.zeros(len(start), np.int64)
-        found = (key[i] == start * 256 + end - start) if len(key) else np.zeros(len(start), bool)
+        length = end - start
+        piece = np.where(length <= self.longest, table[np.minimum(length, self.longest), start], 0).astype(np.int64) - 1
+        found = piece >= 0
         width = np.where(found | (not self.has_fallback), 1, end - start)
         offset = np.concatenate([[0], np.cumsum(width)])
         inner = np.arange(offset[-1]) - np.repeat(offset[:-1], width)
-        whole = np.repeat(np.where(found, self.id[piece[i]] if len(key) else 0, self.unknown), width)
+        whole = np.repeat(np.where(found, self.id[piece], self.unknown), width)
         single = self.fallback[text[np.repeat(start, width) + inner]]
         ids = np.where(np.repeat(found | (not self.has_fallback), width), whole, single).astype(self.dtype)
         cut = np.concatenate([[0], np.cumsum(np.bincount(owner, width, len(raw)).astype(np.int64))])
