@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .stagecache import tidy
+
 #: Bytes of text that one vectorised step works on; a single longer text makes a step of its own.
 CHUNK_BYTES = 1 << 18
 
@@ -48,6 +50,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple]:
     """(rows, data, offsets) of at most ``limit`` bytes of text, or of one longer text."""
+    tidy()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import text_chunks
+from .stagecache import per_stage
 
 #: Bytes of text of a batch, and of distinct chunks of one suffix array; distinct chunks that a task keeps; and the longest
 #: chunk (in characters) that is merged along with others.
@@ -246,14 +247,9 @@ class PieceModel:
         return (raw[1:] if self.prefix and raw.startswith(b" ") else raw).decode("utf-8", "replace")
 
 
-_MODELS: dict[str, PieceModel] = {}
-
-
 def piece_model(path: str) -> PieceModel:
-    """This worker process's model of a file."""
-    if path not in _MODELS:
-        _MODELS[path] = PieceModel(path)
-    return _MODELS[path]
+    """This worker's model of a file."""
+    return per_stage(("pieces", path), lambda: PieceModel(path))
 
 
 def encode_pieces(docs: DataFrame, path: str) -> DataFrame:

@@ -6,6 +6,8 @@ import os
 
 import numpy as np
 
+from .stagecache import per_stage
+
 #: Distinct words, and distinct words of letters alone, kept by a task; a full table starts anew.
 KEPT_WORDS, KEPT_CORES = 1_000_000, 800_000
 #: ASCII that is neither letter, digit, space nor apostrophe: a run of it after a letter is a token group of its own.
@@ -82,12 +84,6 @@ class WordEncoder:
         return [b"".join(map(get, words)) + tail for words in texts]
 
 
-_ENCODERS: dict[tuple, WordEncoder] = {}
-
-
 def encoder(path: str, special_as_text: bool = False) -> WordEncoder:
-    """This worker process's encoder for a tokenizer file."""
-    key = path, special_as_text
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(path, special_as_text)
-    return _ENCODERS[key]
+    """This worker's encoder for a tokenizer file."""
+    return per_stage(("words", path, special_as_text), lambda: WordEncoder(path, special_as_text))
