@@ -1 +1,61 @@
-"""Queries."""
+"""Queries that run a stream over a given table to its end and return what it wrote."""
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..plans.storage import materialize, shared_dir
+from ..streaming import jobs as T
+from .base import query, table
+
+
+def _stream(spark, sf, name):
+    """The table as a stream of its files."""
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet*")
+
+
+def _finished(spark, stream, schema, mode="append"):
+    """All rows that the stream writes; every file is one micro-batch at most, and the last batch stands in complete mode."""
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", out).start().awaitTermination()
+    else:
+        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return spark.read.schema(schema).parquet(out)
+
+
+@query("SELECT event_type AS run, count(*) AS done, CAST(greatest(5, 5 * round_even(100.0 * count(*) / 3000 / 5, 0)) AS INTEGER) AS percent FROM events GROUP BY 1")
+def t1_stream_progress(spark, sf):
+    totals = table(spark, sf, "events").select(F.col("event_type").alias("run")).distinct().withColumn("total", F.lit(3000))
+    stream = T.stream_progress(_stream(spark, sf, "events").select(F.col("event_type").alias("run")), totals)
+    return _finished(spark, stream, "run string, done long, percent int", "complete")
+
+
+@query("SELECT conv_id, turn AS seq, text || ' ^[doc1]^ [2] ^[1.2.3]^' AS text FROM conversations WHERE NOT contains(text, '[')")
+def t2_stream_rewrite_refs(spark, sf):
+    c = _stream(spark, sf, "conversations").filter("not contains(text, '[')")
+    pieces = c.selectExpr("conv_id", "cast(turn as bigint) AS turn", "posexplode(array(text || ' [', '1', '] [2] [1.', '2.3]')) AS (pos, piece)").selectExpr("conv_id", "turn * 4 + pos AS seq", "piece AS text", "pos = 3 AS final")
+    done = _finished(spark, T.stream_rewrite_refs(pieces, {1: "doc1"}), "conv_id long, seq long, text string")
+    whole = done.groupBy("conv_id", F.expr("seq div 4").alias("seq")).agg(F.array_join(F.sort_array(F.collect_list(F.struct(F.col("seq").alias("s"), "text"))).getField("text"), "").alias("text"))
+    return whole
+
+
+@query("SELECT user_id % 5 AS map_id, user_id AS id, arg_max(event_type, event_id) AS name FROM events GROUP BY ALL")
+def t3_stream_latest_graph(spark, sf):
+    held = {"now": spark.createDataFrame([], "map_id long, id long, name string")}
+    items = _stream(spark, sf, "events").selectExpr("user_id % 5 AS map_id", "user_id AS id", "event_id AS seq", "array('name') AS given", "event_type AS name")
+
+    def write(graph):
+        held["now"] = materialize(graph, "graph")
+
+    state = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    T.stream_latest_graph(items, lambda: held["now"], write, ["name"]).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return held["now"]
+
+
+@query()
+def t4_stream_ingest_chunks(spark, sf):
+    docs = _stream(spark, sf, "documents").select("doc_id", "text")
+    return _finished(spark, T.stream_ingest_chunks(docs), "doc_id long, pos int, piece string")
