@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import packing, quality, simhash, suffixdedup, toxicity
+from weftgraph.llm.bytescan import small_batches
 from weftgraph.plans.storage import materialize
 
 #: SQL cannot express the fitted models, fingerprints and token ids.
@@ -20,29 +21,34 @@ LEAST_QUALITY, TOXIC = 0.5, 0.5
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled quality classifier accepts."""
+    small_batches(spark)
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_quality(docs, model, LEAST_QUALITY)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the class-conditional Kneser-Ney models do not call toxic."""
+    small_batches(spark)
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_ordinary(docs, model, TOXIC)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of SimHash links."""
+    small_batches(spark)
     return simhash.keep_representatives(docs, shingle=4, radius=4)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words and more that occur in an earlier place; emptied ones go."""
+    small_batches(spark)
     cut = suffixdedup.cut_later(docs, suffixdedup.repeated_passages(docs))
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens, with their ids."""
+    small_batches(spark)
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, window=2048)

@@ -7,13 +7,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .stagecache import tidy
 
 #: Bytes of text that one vectorised step works on; a single longer text makes a step of its own.
 CHUNK_BYTES = 1 << 18
 
+#: Rows of an Arrow batch. Texts are long, and a batch is held several times over on its way to Python and back.
+BATCH_ROWS = 1000
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -26,6 +29,13 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand BATCH_ROWS rows at a time to Python in this session, unless it is set to fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def powers(n: int, base: int = _BASE) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     out = np.full(max(n, 1), np.uint64(base))

@@ -19,13 +19,13 @@ ORDER = 4
 DISCOUNT = 0.75
 #: Bytes over which log-likelihoods are compared; a text's score is that of its most toxic stretch of this length.
 WINDOW = 20
-#: Buckets of the two tables that scoring broadcasts (float32, 32 MB together at any size of the corpus).
-TABLE_BITS = 22
+#: Buckets of the two tables that scoring broadcasts (float32, 16 MB together at any size of the corpus).
+TABLE_BITS = 21
 #: Labelled training rows that the two-parameter calibration uses at most (those of least hashed id).
 CALIBRATION_ROWS = 8000
 _FACTOR = 1640531527
 #: Distinct grams that a task keeps before it hands counts on.
-_FLUSH = 2_000_000
+_FLUSH = 500_000
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[48:58] = 48
