@@ -24,7 +24,7 @@ def token_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        for rows, data, offsets in text_chunks(batches, limit=4 << 20):
+        for rows, data, offsets in text_chunks(batches, limit=1 << 20):
             ids = coder.encode(data, offsets, end_id)
             n = np.array([len(x) // coder.dtype.itemsize for x in ids], np.int64)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])

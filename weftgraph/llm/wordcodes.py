@@ -9,7 +9,7 @@ import numpy as np
 from .stagecache import per_stage
 
 #: Distinct words, and distinct words of letters alone, kept by a task; a full table starts anew.
-KEPT_WORDS, KEPT_CORES = 1_000_000, 800_000
+KEPT_WORDS, KEPT_CORES = 250_000, 250_000
 #: ASCII that is neither letter, digit, space nor apostrophe: a run of it after a letter is a token group of its own.
 _TAIL = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
 
