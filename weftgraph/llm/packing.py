@@ -17,6 +17,10 @@ from .wordcodes import encoder
 #: Tokens of a shard, about. Each shard is packed by itself, so it ends with at most one sequence that is not full.
 SHARD_TOKENS = 1 << 18
 K1, B = 1.2, 0.75
+#: Terms that a document draws for its place among the shards; copies with equal terms are told apart by _TIE_BITS of a hash.
+DRAWS, _TIE_BITS = 3, 15
+#: Shards whose first keys one task finds.
+_BOUND_SHARDS = 64
 
 
 def token_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -49,6 +53,70 @@ def document_frequencies(tokens: DataFrame, dtype: str) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
 
 
+def term_lots(vocabulary: int) -> np.ndarray:
+    """Each token's exponential lots (DRAWS x vocabulary), the same in every task."""
+    return -np.log1p(-np.random.default_rng(20240301).random((DRAWS, vocabulary)))
+
+
+def lexical_place(ids: np.ndarray, idf: np.ndarray, mean_length: float, lots: np.ndarray) -> int:
+    """The tokens that a document draws, 16 bits each: like documents draw the same ones and so sort together.
+
+    A token is drawn with a chance in proportion to the square of its BM25 weight, by lots that all documents share
+    (weighted min-hash), so rare and repeated tokens decide. Documents without weighted tokens get 0.
+    """
+    t, tf = np.unique(ids[:-1], return_counts=True)
+    kept = idf[t] > 0
+    t, tf = t[kept], tf[kept]
+    if not len(t):
+        return 0
+    weight = idf[t] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * (len(ids) - 1) / mean_length)))
+    place = 0
+    for token in t[np.argmin(lots[:, t] / weight**2, axis=1)].tolist():
+        place = place << 16 | token & 0xFFFF
+    return place
+
+
+def _placed(tokens: DataFrame, carry: str, dtype: str, shared, mean_length: float, bounds=None) -> DataFrame:
+    """The columns ``carry`` of each document with its ``key``, or with its ``shard`` where the shards' first keys are given."""
+    names = [c.split()[0] for c in carry.split(", ")]
+    found = "shard" if bounds is not None else "key"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lots = term_lots(len(shared.value))
+        for batch in batches:
+            places = [lexical_place(np.frombuffer(x.as_py(), dtype), shared.value, mean_length, lots) for x in batch.column("ids")]
+            keys = np.array(places, np.int64) << _TIE_BITS | batch.column("tie").to_numpy()
+            if bounds is not None:
+                keys = np.searchsorted(bounds.value, keys, "right") - 1
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(keys)], [*names, found])
+
+    tie = F.xxhash64("doc_id", "ids").bitwiseAND(F.lit((1 << _TIE_BITS) - 1))
+    return tokens.select("doc_id", "n", "ids", tie.alias("tie")).mapInArrow(run, f"{carry}, {found} long")
+
+
+def shard_bounds(keys: DataFrame, shards: int, total: int) -> np.ndarray:
+    """First keys of all shards, where ``keys(key, n)`` in order of key are cut into ``shards`` stretches of equal tokens.
+
+    Documents of one key stay together. Keys are summed, sorted in ranges and cut range by range from the tokens before
+    each; a number a range and one a shard reach the driver.
+    """
+    ranges = max(1, shards // _BOUND_SHARDS)
+    sums = keys.groupBy("key").agg(F.sum("n").alias("n")).repartitionByRange(ranges, "key").withColumn("part", F.spark_partition_id())
+    sums = materialize(sums, "shard-keys")
+    before, tokens = {}, 0
+    for row in sorted(sums.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+        before[row["part"]] = tokens
+        tokens += row["n"]
+
+    def cut(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("key")
+        shard = (before[int(key[0])] + rows["n"].cumsum() - rows["n"]) * shards // total
+        return rows["key"].groupby(shard).min().rename_axis("shard").reset_index()
+
+    firsts = sums.groupBy("part").applyInPandas(cut, "shard long, key long").groupBy("shard").agg(F.min("key").alias("key")).toArrow()
+    return np.sort(firsts["key"].to_numpy())
+
+
 class ShardIndex:
     """Inverted index of one shard: for each token the documents that hold it and their BM25 weights.
 
@@ -123,10 +191,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): pieces of documents, in sequences of ``window`` tokens.
 
     Every token of every row is in exactly one piece; ``ids`` holds a piece's ids as little-endian unsigned 32-bit
-    integers. Documents are dealt to shards by a hash of id and content, so neither long documents nor copies nor repeated ids
-    gather, and each shard is packed in one group of about ``shard_tokens`` tokens (or one longer document). Document
-    frequencies, N and the mean length are of all documents; only the vocabulary's table (one number a token) reaches the
-    driver. All sequences but one a shard are full. Null and empty texts are the end id alone; rows with a null id are packed
+    integers. Shards are lexical: documents are sorted by the tokens that :func:`lexical_place` draws, then by a hash of id
+    and content, and cut into stretches of equal tokens, so like documents share a shard, and neither long documents nor
+    copies nor repeated ids gather. Each shard is packed in one group of about ``shard_tokens`` tokens (or one longer
+    document); neighbours that drew other tokens are in other shards and not found. Document frequencies, N and the mean
+    length are of all documents; the vocabulary's table (one number a token) and a key a shard reach the driver. All sequences but one a shard are full. Null and empty texts are the end id alone; rows with a null id are packed
     like others. An empty table gives an empty result.
     """
     coder = encoder(tokenizer)
@@ -139,7 +208,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
     idf[found["token"].to_numpy()] = np.maximum(0, np.log((size["docs"] - df + 0.5) / (df + 0.5)))
     mean_length = max(1.0, size["tokens"] / max(size["docs"], 1) - 1)
     shards = max(1, -(-size["tokens"] // shard_tokens))
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(idf)
+    bounds = context.broadcast(shard_bounds(_placed(tokens, "n long", dtype, shared, mean_length), shards, max(size["tokens"], 1)))
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "ids"], na_position="first", ignore_index=True)
@@ -151,5 +222,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
             {"doc_id": rows["doc_id"].astype("Int64").to_numpy()[d], "start": start, "length": length, "ids": ids, "doc_tokens": rows["n"].to_numpy()[d], "sequence_id": (int(key[0]) << 32) + sequence, "offset": offset}
         )
 
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)))
+    dealt = _placed(tokens, "doc_id long, n long, ids binary", dtype, shared, mean_length, bounds)
     return dealt.groupBy("shard").applyInPandas(pack, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
