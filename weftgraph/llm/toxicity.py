@@ -19,11 +19,8 @@ ORDER = 4
 DISCOUNT = 0.75
 #: Bytes over which log-likelihoods are compared; a text's score is that of its most toxic stretch of this length.
 WINDOW = 20
-#: Buckets of the two tables that scoring broadcasts (float32, 16 MB together at any size of the corpus).
-TABLE_BITS = 21
 #: Labelled training rows that the two-parameter calibration uses at most (those of least hashed id).
 CALIBRATION_ROWS = 8000
-_FACTOR = 1640531527
 #: Distinct grams that a task keeps before it hands counts on.
 _FLUSH = 500_000
 
@@ -56,16 +53,29 @@ def gram_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys, np.bincount(doc, minlength=n)
 
 
-def _bucket(keys: np.ndarray) -> np.ndarray:
-    return (keys * _FACTOR & (1 << TABLE_BITS + 31) - 1) >> 31
+@dataclass
+class RatioTable:
+    """Log-likelihood ratios of all counted keys: one entry a key, in order of key (8 bytes each)."""
+
+    keys: np.ndarray
+    ratios: np.ndarray
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's ratio (0 where it was not counted), and whether it was counted."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        keys = keys.astype(np.uint32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        return np.where(known, self.ratios[at], np.float32(0)).astype(float), known
 
 
 @dataclass
 class ToxicModel:
-    """Log-likelihood ratios by bucket of a gram and of a context, and the calibration of the window's mean."""
+    """Log-likelihood ratios of grams and of contexts, and the calibration of the window's mean."""
 
-    grams: np.ndarray
-    contexts: np.ndarray
+    grams: RatioTable
+    contexts: RatioTable
     slope: float = 1.0
     middle: float = 0.5
 
@@ -75,8 +85,8 @@ class ToxicModel:
         Shorter texts count missing bytes as neutral; a text without bytes gets 0.
         """
         keys, lengths = gram_keys(data, offsets)
-        seen = self.grams[_bucket(keys)]
-        ratio = np.where(np.isnan(seen), self.contexts[_bucket(keys >> 8)], seen).astype(float)
+        ratio, known = self.grams.find(keys)
+        ratio[~known] = self.contexts.find(keys[~known] >> 8)[0]
         total = np.concatenate([[0.0], np.cumsum(ratio)])
         first = np.concatenate([[0], np.cumsum(lengths)])
         out = np.zeros(len(lengths))
@@ -145,7 +155,7 @@ def shared_backoff(grams: DataFrame, order: int) -> DataFrame:
 
 
 def likelihood_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, ratio, weight) of grams and of contexts: log P(byte | context, toxic) - log P(byte | context, ordinary).
+    """(key, ratio) of grams and of contexts: log P(byte | context, toxic) - log P(byte | context, ordinary).
 
     Each class discounts its own gram counts and gives the mass to the backoff that both share, so for a gram that
     neither class has seen the backoff cancels and only the contexts' ratio of given mass is left.
@@ -166,18 +176,17 @@ def likelihood_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     def chance(c: str):
         return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"{c}_sum"), F.lit(1)) + F.col(f"{c}_given") * F.col("p")
 
-    grams = full.select(F.col("gram").alias("key"), F.log(chance("toxic") / chance("ordinary")).alias("ratio"), (F.col("ordinary") + F.col("toxic")).alias("weight"))
-    rest = contexts.select(F.col("context").alias("key"), F.log(F.col("toxic_given") / F.col("ordinary_given")).alias("ratio"), (F.col("ordinary_sum") + F.col("toxic_sum")).alias("weight"))
+    grams = full.select(F.col("gram").alias("key"), F.log(chance("toxic") / chance("ordinary")).alias("ratio"))
+    rest = contexts.select(F.col("context").alias("key"), F.log(F.col("toxic_given") / F.col("ordinary_given")).alias("ratio"))
     return grams, rest
 
 
-def _dense(rows: DataFrame, empty: float) -> np.ndarray:
-    """The bounded table of a key's bucket; keys that share a bucket count by their weights."""
-    bucket = F.shiftright((F.col("key") * F.lit(_FACTOR).cast("long")).bitwiseAND(F.lit((1 << TABLE_BITS + 31) - 1)), 31).cast("int")
-    found = rows.groupBy(bucket.alias("bucket")).agg((F.sum(F.col("ratio") * F.col("weight")) / F.sum("weight")).cast("float").alias("ratio")).toArrow()
-    out = np.full(1 << TABLE_BITS, empty, np.float32)
-    out[found["bucket"].to_numpy()] = found["ratio"].to_numpy()
-    return out
+def _table(rows: DataFrame) -> RatioTable:
+    """The exact table of ``rows(key, ratio)``; it reaches the driver and grows with the number of distinct keys."""
+    found = rows.select("key", F.col("ratio").cast("float").alias("ratio")).toArrow()
+    keys, ratios = found["key"].to_numpy().astype(np.uint32), found["ratio"].to_numpy()
+    order = np.argsort(keys)
+    return RatioTable(keys[order], ratios[order])
 
 
 def _strongest(docs: DataFrame, shared, extra: str, kind: str) -> DataFrame:
@@ -210,7 +219,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: str = "true", calib
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(usable)
     known = labels.filter("doc_id is not null and toxic is not null").filter(usable).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     grams, contexts = likelihood_ratios(gram_counts(prefilter(texts, known, "doc_id").join(known, "doc_id")))
-    model = ToxicModel(_dense(grams, np.nan), _dense(contexts, 0.0))
+    model = ToxicModel(_table(grams), _table(contexts))
     some = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(23)), "doc_id").limit(calibration_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     found = _strongest(texts.join(F.broadcast(some), "doc_id").select("toxic", "text"), shared, "toxic", "boolean").toArrow()
