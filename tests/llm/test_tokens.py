@@ -5,10 +5,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from weftgraph.llm import packing, separators
+from weftgraph.llm import packing, separators, wordcodes
+from weftgraph.llm.bytescan import text_bytes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -18,6 +20,29 @@ TEXTS = [
 ]
 
 
+ODD = ["<|endoftext|> x", "it's DON'T 'll", "é É ß ẞ İi ŉ ǅ", "a--b c- -c ...", "x2y 2021, ½", "Ａ ª", "a\x85b a\x1cb", "÷é é÷ É.", "z" * 300, "\ufeffx", "가 각", "a\0b", "ab\u200bcd", "naïve façade---", "Ça va&&& é"]
+
+
+@pytest.mark.parametrize("special", [False, True])
+def test_word_ids_equal_the_library(special):
+    """Merges in arrays, words kept between texts, and words whose hashes collide."""
+    rng = random.Random(4)
+    texts = ODD + ["".join(rng.choices("abethinonréüß .,'-3", k=rng.randint(0, 300))) for _ in range(200)]
+    library = Tokenizer.from_file(PATH)
+    library.encode_special_tokens = special
+    want = [[*e.ids, 1] for e in library.encode_batch(texts, add_special_tokens=False)]
+    coder = wordcodes.WordEncoder(PATH, special)
+    for _ in range(2):
+        ids, firsts = coder.encode(*text_bytes(pa.array(texts)), 1)
+        assert [ids[a:b].tolist() for a, b in zip(firsts, firsts[1:])] == want
+
+
+def test_colliding_hashes_do_not_change_ids(monkeypatch):
+    real = wordcodes.word_hashes
+    monkeypatch.setattr(wordcodes, "word_hashes", lambda *a: real(*a) % np.uint64(11))
+    test_word_ids_equal_the_library(False)
+
+
 def docs(spark, rows=TEXTS):
     return spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_tokens string").repartition(3)
 
@@ -66,15 +91,16 @@ def test_packing_keeps_every_token_once(spark, shard):
         rows = rows.sort_values("offset")
         assert rows.offset.tolist() == [0, *rows.length.cumsum().tolist()[:-1]] and rows.length.sum() <= 256
     full = pieces.groupby("sequence_id").length.sum()
-    assert (full < 256).sum() <= pieces.sequence_id.floordiv(1 << 32).nunique()
+    assert (full < 256).sum() <= pieces.sequence_id.floordiv(1 << 40).nunique()
 
 
 def test_seed_takes_its_best_neighbours():
     rng = np.random.default_rng(1)
     documents = [np.append(rng.integers(0, 50, 30) + 100 * (i % 2), 1).astype("<u2") for i in range(40)]
     idf = np.ones(300)
-    pieces = packing.pack_shard(documents, idf, 30.0, 62)
-    index = packing.ShardIndex(documents, idf, 30.0)
+    ids, firsts = np.concatenate(documents), np.arange(41) * 31
+    pieces, _, _ = packing.pack_shard(ids, firsts, idf, 30.0, 62)
+    index = packing.ShardIndex(ids, firsts, idf, 30.0)
     used = set()
     for sequence in range(20):
         members = [p[0] for p in pieces if p[3] == sequence]

@@ -89,6 +89,12 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
+def byte_positions(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions starts[i], starts[i] + 1, ... (sizes[i] of them) for all i, one after another."""
+    total = np.cumsum(sizes)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(starts - total + sizes, sizes)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span, the same wherever and in whatever text the word stands."""
     if not len(starts):

@@ -5,35 +5,57 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialize
-from .bytescan import text_chunks
+from .bytescan import byte_positions, text_chunks
 from .wordcodes import encoder
 
-#: Tokens of a shard, about. Each shard is packed by itself, so it ends with at most one sequence that is not full.
+#: Tokens of a shard, about.
 SHARD_TOKENS = 1 << 18
 K1, B = 1.2, 0.75
-#: Terms that a document draws for its place among the shards; copies with equal terms are told apart by _TIE_BITS of a hash.
-DRAWS, _TIE_BITS = 3, 15
-#: Shards whose first keys one task finds.
-_BOUND_SHARDS = 64
+#: Terms that a document draws for its place among the shards (16 bits each); a hash of the row of _TIE_BITS comes after them.
+DRAWS, _TIE_BITS = 2, 31
+#: Bits of a sequence's number within its task.
+_SEQUENCE_BITS = 40
 
 
 def token_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, n, ids): each document's token ids, little-endian of two or four bytes, with ``end_id`` last."""
+    """(row, doc_id, n, ids): each row's token ids, little-endian of two or four bytes, with ``end_id`` last.
+
+    ``row`` is a number of its own for each row, whatever its id; null and empty texts are the end id alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer)
+        coder, row = encoder(tokenizer), TaskContext.get().partitionId() << 36
         for rows, data, offsets in text_chunks(batches, limit=1 << 20):
-            ids = coder.encode(data, offsets, end_id)
-            n = np.array([len(x) // coder.dtype.itemsize for x in ids], np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+            ids, firsts = coder.encode(data, offsets, end_id)
+            n = len(firsts) - 1
+            flat = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((firsts * coder.dtype.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), rows.column(0), pa.array(np.diff(firsts)), flat], ["row", "doc_id", "n", "ids"])
+            row += n
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, doc_id long, n long, ids binary")
+
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
+def flat_ids(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a binary column one after another, and where each row's begin (n + 1)."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    ids = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(dtype) if len(column) and offsets[-1] > offsets[0] else np.zeros(0, dtype)
+    return ids, (offsets - offsets[0]) // np.dtype(dtype).itemsize
+
+
+def token_counts(ids: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, token, tf) of each distinct token of each document but its last id, ordered."""
+    doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+    keys = doc << 32 | ids.astype(np.int64)
+    keys = np.sort(np.delete(keys, firsts[1:] - 1) if len(firsts) > 1 else keys)
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[new] >> 32, keys[new] & 0xFFFFFFFF, np.diff(np.append(new, len(keys)))
 
 
 def document_frequencies(tokens: DataFrame, dtype: str) -> DataFrame:
@@ -42,11 +64,10 @@ def document_frequencies(tokens: DataFrame, dtype: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                found = np.unique(np.frombuffer(ids.as_py(), dtype))
-                if len(found) and found[-1] >= len(df):
-                    df = np.concatenate([df, np.zeros(int(found[-1]) + 1 - len(df), np.int64)])
-                df[found] += 1
+            _, token, _ = token_counts(*flat_ids(batch.column(0), dtype))
+            if len(token) and token.max() >= len(df):
+                df = np.concatenate([df, np.zeros(int(token.max()) + 1 - len(df), np.int64)])
+            df += np.bincount(token, minlength=len(df))
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(df[seen])], ["token", "df"])
 
@@ -58,63 +79,45 @@ def term_lots(vocabulary: int) -> np.ndarray:
     return -np.log1p(-np.random.default_rng(20240301).random((DRAWS, vocabulary)))
 
 
-def lexical_place(ids: np.ndarray, idf: np.ndarray, mean_length: float, lots: np.ndarray) -> int:
-    """The tokens that a document draws, 16 bits each: like documents draw the same ones and so sort together.
+def _weights(token: np.ndarray, tf: np.ndarray, length: np.ndarray, idf: np.ndarray, mean_length: float) -> np.ndarray:
+    return idf[token] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length)))
+
+
+def lexical_places(ids: np.ndarray, firsts: np.ndarray, idf: np.ndarray, mean_length: float, lots: np.ndarray) -> np.ndarray:
+    """The tokens that each document draws, 16 bits each: like documents draw the same ones and so sort together.
 
     A token is drawn with a chance in proportion to the square of its BM25 weight, by lots that all documents share
     (weighted min-hash), so rare and repeated tokens decide. Documents without weighted tokens get 0.
     """
-    t, tf = np.unique(ids[:-1], return_counts=True)
-    kept = idf[t] > 0
-    t, tf = t[kept], tf[kept]
-    if not len(t):
-        return 0
-    weight = idf[t] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * (len(ids) - 1) / mean_length)))
-    place = 0
-    for token in t[np.argmin(lots[:, t] / weight**2, axis=1)].tolist():
-        place = place << 16 | token & 0xFFFF
-    return place
-
-
-def _placed(tokens: DataFrame, carry: str, dtype: str, shared, mean_length: float, bounds=None) -> DataFrame:
-    """The columns ``carry`` of each document with its ``key``, or with its ``shard`` where the shards' first keys are given."""
-    names = [c.split()[0] for c in carry.split(", ")]
-    found = "shard" if bounds is not None else "key"
+    doc, token, tf = token_counts(ids, firsts)
+    weight = _weights(token, tf, (np.diff(firsts) - 1)[doc], idf, mean_length)
+    kept = weight > 0
+    doc, token, weight = doc[kept], token[kept], weight[kept]
+    out = np.zeros(len(firsts) - 1, np.int64)
+    if not len(doc):
+        return out
+    new = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    sizes = np.diff(np.append(new, len(doc)))
+    for lot in lots:
+        value = lot[token] / weight**2
+        least = np.flatnonzero(value == np.repeat(np.minimum.reduceat(value, new), sizes))
+        drawn = token[least[np.searchsorted(least, new)]]
+        out[doc[new]] = out[doc[new]] << 16 | drawn & 0xFFFF
+    return out
+
+
+def _placed(tokens: DataFrame, dtype: str, shared, mean_length: float) -> DataFrame:
+    """``tokens`` with each document's ``key`` in lexical order; rows of equal content are told apart by a hash of ``row``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lots = term_lots(len(shared.value))
         for batch in batches:
-            places = [lexical_place(np.frombuffer(x.as_py(), dtype), shared.value, mean_length, lots) for x in batch.column("ids")]
-            keys = np.array(places, np.int64) << _TIE_BITS | batch.column("tie").to_numpy()
-            if bounds is not None:
-                keys = np.searchsorted(bounds.value, keys, "right") - 1
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(keys)], [*names, found])
+            places = lexical_places(*flat_ids(batch.column("ids"), dtype), shared.value, mean_length, lots)
+            keys = places << _TIE_BITS | batch.column("tie").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(c) for c in ("row", "doc_id", "n", "ids"))], ["key", "row", "doc_id", "n", "ids"])
 
-    tie = F.xxhash64("doc_id", "ids").bitwiseAND(F.lit((1 << _TIE_BITS) - 1))
-    return tokens.select("doc_id", "n", "ids", tie.alias("tie")).mapInArrow(run, f"{carry}, {found} long")
-
-
-def shard_bounds(keys: DataFrame, shards: int, total: int) -> np.ndarray:
-    """First keys of all shards, where ``keys(key, n)`` in order of key are cut into ``shards`` stretches of equal tokens.
-
-    Documents of one key stay together. Keys are summed, sorted in ranges and cut range by range from the tokens before
-    each; a number a range and one a shard reach the driver.
-    """
-    ranges = max(1, shards // _BOUND_SHARDS)
-    sums = keys.groupBy("key").agg(F.sum("n").alias("n")).repartitionByRange(ranges, "key").withColumn("part", F.spark_partition_id())
-    sums = materialize(sums, "shard-keys")
-    before, tokens = {}, 0
-    for row in sorted(sums.groupBy("part").agg(F.sum("n").alias("n")).collect()):
-        before[row["part"]] = tokens
-        tokens += row["n"]
-
-    def cut(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("key")
-        shard = (before[int(key[0])] + rows["n"].cumsum() - rows["n"]) * shards // total
-        return rows["key"].groupby(shard).min().rename_axis("shard").reset_index()
-
-    firsts = sums.groupBy("part").applyInPandas(cut, "shard long, key long").groupBy("shard").agg(F.min("key").alias("key")).toArrow()
-    return np.sort(firsts["key"].to_numpy())
+    tie = F.xxhash64("row").bitwiseAND(F.lit((1 << _TIE_BITS) - 1)).alias("tie")
+    return tokens.select("row", "doc_id", "n", "ids", tie).mapInArrow(run, "key long, row long, doc_id long, n long, ids binary")
 
 
 class ShardIndex:
@@ -123,52 +126,49 @@ class ShardIndex:
     idf is max(0, ln((N - df + 0.5) / (df + 0.5))) with N and df of the whole corpus; tokens of weight 0 have no postings.
     """
 
-    def __init__(self, documents: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        pairs = [np.unique(d[:-1], return_counts=True) for d in documents]
-        kept = [idf[t] > 0 for t, _ in pairs]
-        self.terms = [t[k] for (t, _), k in zip(pairs, kept)]
-        tf = np.concatenate([c[k] for (_, c), k in zip(pairs, kept)] or [np.zeros(0)]).astype(float)
-        doc = np.repeat(np.arange(len(documents)), [len(t) for t in self.terms])
-        length = np.array([len(d) - 1 for d in documents], float)[doc]
-        token = np.concatenate(self.terms) if self.terms else np.zeros(0, np.int64)
-        order = np.argsort(token, kind="stable")
-        self.doc, token = doc[order], token[order]
-        self.weight = (idf[token] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length)))[order]) if len(token) else np.zeros(0)
-        self.first = np.searchsorted(token, np.arange(len(idf) + 1))
+    def __init__(self, ids: np.ndarray, firsts: np.ndarray, idf: np.ndarray, mean_length: float):
+        self.n = len(firsts) - 1
+        doc, token, tf = token_counts(ids, firsts)
+        weight = _weights(token, tf, (np.diff(firsts) - 1)[doc], idf, mean_length)
+        kept = weight > 0
+        doc, self.terms, weight = doc[kept], token[kept], weight[kept]
+        self.own = np.searchsorted(doc, np.arange(self.n + 1))
+        order = np.argsort(self.terms, kind="stable")
+        self.doc, self.weight = doc[order], weight[order]
+        self.first = np.searchsorted(self.terms[order], np.arange(len(idf) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document of the shard for the distinct tokens of one of them."""
-        begin, size = self.first[self.terms[seed]], self.first[self.terms[seed].astype(np.int64) + 1] - self.first[self.terms[seed]]
-        if not len(size):
-            return np.zeros(len(self.terms))
-        total = np.cumsum(size)
-        at = np.arange(total[-1]) + np.repeat(begin - total + size, size)
-        return np.bincount(self.doc[at], self.weight[at], len(self.terms))
+        terms = self.terms[self.own[seed] : self.own[seed + 1]]
+        at = byte_positions(self.first[terms], self.first[terms + 1] - self.first[terms])
+        return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
-def pack_shard(documents: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of every piece.
+def pack_shard(ids: np.ndarray, firsts: np.ndarray, idf: np.ndarray, mean_length: float, window: int, sequence: int = 0, used: int = 0) -> tuple[list[tuple[int, int, int, int, int]], int, int]:
+    """(document, start, length, sequence, offset) of every piece, and the last sequence with the tokens in it.
 
-    A seed's tokens come first; then its best-scored unused neighbour, and so on until the window is full. What does
-    not fit of a document opens the next window as its seed. Neighbours of equal score, or of none, come in the order given.
+    Packing goes on in ``sequence``, of which ``used`` tokens are taken. A seed's tokens come first; then its best-scored
+    unused neighbour, and so on until the window is full. What does not fit of a document opens the next window as its
+    seed. Neighbours of equal score, or of none, come in the order given.
     """
-    index = ShardIndex(documents, idf, mean_length)
-    unused = np.ones(len(documents), bool)
-    pieces, sequence, used, ahead = [], 0, 0, 0
+    index = ShardIndex(ids, firsts, idf, mean_length)
+    size = np.diff(firsts).tolist()
+    unused = np.ones(len(size), bool)
+    pieces, ahead = [], 0
 
     def place(d: int) -> None:
         nonlocal sequence, used
         unused[d] = False
         start = 0
-        while start < len(documents[d]):
+        while start < size[d]:
             if used == window:
                 sequence, used = sequence + 1, 0
-            n = min(window - used, len(documents[d]) - start)
+            n = min(window - used, size[d] - start)
             pieces.append((d, start, n, sequence, used))
             start, used = start + n, used + n
 
     seed = None
-    while ahead < len(documents):
+    while ahead < len(size):
         if not unused[ahead]:
             ahead += 1
             continue
@@ -184,19 +184,20 @@ def pack_shard(documents: list[np.ndarray], idf: np.ndarray, mean_length: float,
         place(best)
         if sequence != opened:
             seed, opened, scores = best, sequence, None
-    return pieces
+    return pieces, sequence, used
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): pieces of documents, in sequences of ``window`` tokens.
 
     Every token of every row is in exactly one piece; ``ids`` holds a piece's ids as little-endian unsigned 32-bit
-    integers. Shards are lexical: documents are sorted by the tokens that :func:`lexical_place` draws, then by a hash of id
-    and content, and cut into stretches of equal tokens, so like documents share a shard, and neither long documents nor
-    copies nor repeated ids gather. Each shard is packed in one group of about ``shard_tokens`` tokens (or one longer
-    document); neighbours that drew other tokens are in other shards and not found. Document frequencies, N and the mean
-    length are of all documents; the vocabulary's table (one number a token) and a key a shard reach the driver. All sequences but one a shard are full. Null and empty texts are the end id alone; rows with a null id are packed
-    like others. An empty table gives an empty result.
+    integers. Shards are lexical: documents are sorted, in ranges, by the tokens that :func:`lexical_places` draws, then by
+    a hash of the row, so neither copies nor repeated ids nor equal rows gather. Each range is cut into shards of about
+    ``shard_tokens`` tokens (or one longer document) as it is read; a shard's index returns the neighbours, and packing goes
+    on in the sequence that the shard before it left open, so one sequence a range is not full. Neighbours that drew other
+    tokens are in other shards and not found. Document frequencies, N and the mean length are of all documents; only the
+    vocabulary's table (one number a token) reaches the driver. Null and empty texts are the end id alone; rows with a null
+    id are packed like others; other columns are not read. An empty table gives an empty result.
     """
     coder = encoder(tokenizer)
     dtype, vocabulary = coder.dtype.str, coder.tokenizer.get_vocab_size()
@@ -207,20 +208,38 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
     df = found["df"].to_numpy()
     idf[found["token"].to_numpy()] = np.maximum(0, np.log((size["docs"] - df + 0.5) / (df + 0.5)))
     mean_length = max(1.0, size["tokens"] / max(size["docs"], 1) - 1)
-    shards = max(1, -(-size["tokens"] // shard_tokens))
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(idf)
-    bounds = context.broadcast(shard_bounds(_placed(tokens, "n long", dtype, shared, mean_length), shards, max(size["tokens"], 1)))
-
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "ids"], na_position="first", ignore_index=True)
-        documents = [np.frombuffer(x, dtype) for x in rows["ids"]]
-        pieces = pack_shard(documents, shared.value, mean_length, window)
-        d, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces))
-        ids = [documents[i][s : s + n].astype("<u4").tobytes() for i, s, n in zip(d, start, length)]
-        return pd.DataFrame(
-            {"doc_id": rows["doc_id"].astype("Int64").to_numpy()[d], "start": start, "length": length, "ids": ids, "doc_tokens": rows["n"].to_numpy()[d], "sequence_id": (int(key[0]) << 32) + sequence, "offset": offset}
-        )
-
-    dealt = _placed(tokens, "doc_id long, n long, ids binary", dtype, shared, mean_length, bounds)
-    return dealt.groupBy("shard").applyInPandas(pack, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, sequence, used, held, waiting = TaskContext.get().partitionId() << _SEQUENCE_BITS, 0, 0, [], 0
+
+        def shard() -> pa.RecordBatch:
+            nonlocal sequence, used
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            rows = rows.take(pa.array(np.lexsort((rows.column("row").to_numpy(), rows.column("doc_id").fill_null(0).to_numpy()))))
+            ids, firsts = flat_ids(rows.column("ids"), dtype)
+            pieces, sequence, used = pack_shard(ids, firsts, shared.value, mean_length, window, sequence, used)
+            d, start, length, number, offset = np.array(pieces, np.int64).T
+            cut = ids[byte_positions(firsts[d] + start, length)].astype("<u4")
+            ends = np.concatenate([[0], np.cumsum(length) * 4]).astype(np.int32)
+            flat = pa.Array.from_buffers(pa.binary(), len(d), [None, pa.py_buffer(ends), pa.py_buffer(cut)])
+            arrays = [rows.column("doc_id").take(pa.array(d)), pa.array(start), pa.array(length), flat, rows.column("n").take(pa.array(d)), pa.array(base + number), pa.array(offset)]
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+        for batch in batches:
+            total = np.cumsum(batch.column("n").to_numpy())
+            first = 0
+            while first < batch.num_rows:
+                before = int(total[first - 1]) if first else 0
+                last = min(batch.num_rows, int(np.searchsorted(total, before + shard_tokens - waiting)) + 1)
+                held.append(batch.slice(first, last - first))
+                waiting += int(total[last - 1]) - before
+                first = last
+                if waiting >= shard_tokens:
+                    yield shard()
+                    held, waiting = [], 0
+        if held:
+            yield shard()
+
+    ordered = _placed(tokens, dtype, shared, mean_length).repartitionByRange("key", "row").sortWithinPartitions("key", "row")
+    return ordered.select("row", "doc_id", "n", "ids").mapInArrow(pack, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

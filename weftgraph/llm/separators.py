@@ -41,7 +41,7 @@ def write_token_stream(docs: DataFrame, tokenizer: str, end_id: int, block_token
             )
 
         for part, data, offsets in text_chunks(batches, limit=1 << 20):
-            held += b"".join(coder.encode(data, offsets, end_id))
+            held += coder.encode(data, offsets, end_id)[0].tobytes()
             full = len(held) // width
             yield rows("block", list(range(block_no, block_no + full)), pa.nulls(full, pa.int64()), [held[i * width : (i + 1) * width] for i in range(full)])
             held, block_no = held[full * width :], block_no + full
