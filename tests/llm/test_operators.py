@@ -113,6 +113,7 @@ def test_repeated_passages(spark):
 
 def test_search_equals_exhaustive_scoring(spark, monkeypatch):
     monkeypatch.setattr(search, "SHARD_DOCS", 16)
+    monkeypatch.setattr(search, "BLOCK_TERMS", 200)
     rows = [(i, t) for i, t in enumerate(some_texts(7, 150, 0, 25))] + [(500, None), (501, "alpha"), (501, "alpha"), (502, "beta " * 3000)]
     docs = frame(spark, rows)
     queries = docs.filter("doc_id % 10 = 0 or doc_id >= 500").select(F.col("doc_id").alias("query_id"), "text")
@@ -227,3 +228,22 @@ def test_classifiers_on_held_out_labels(spark):
     none = labels.limit(0)
     assert {r.score for r in quality.score_quality(docs, quality.fit_quality(docs, none)).collect()} == {0.5}
     assert all(r.score < 0.5 for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, none)).collect())
+
+
+def test_search_skips_blocks():
+    """Documents of two vocabularies in blocks of their own: blocks of the other one are never scored, and no hit is lost."""
+    rng = np.random.default_rng(3)
+    n, per = 40 * search.BLOCK_DOCS, 12
+    doc = np.repeat(np.arange(n), per)
+    slot = np.concatenate([np.sort(rng.choice(30, per, False)) + 30 * (d >= n // 2) for d in range(n)])
+    gain = rng.integers(1, 1000, len(doc))
+    order = np.lexsort((doc, slot))
+    shard = search.Shard(n, slot[order], doc[order], gain[order].astype(float), 60)
+    term = np.concatenate([np.arange(0, 10), np.arange(35, 50)])
+    query = np.repeat([0, 1], [10, 15])
+    q, d, s = shard.top(query, term, 2, 5, np.zeros(2))
+    assert shard.skipped >= 40 and shard.scored > 0
+    for k in (0, 1):
+        full = np.bincount(doc, gain * np.isin(slot, term[query == k]), n)
+        want = sorted(zip(-full, range(n)))[:5]
+        assert sorted(zip((-s[q == k]).tolist(), d[q == k].tolist()))[:5] == want

@@ -1,4 +1,4 @@
-"""Exact BM25 top-k: a block-max inverted index for each shard, pruned by upper bounds and merged by global statistics."""
+"""Exact BM25 top-k: a kept block-max inverted index in shards, searched by block-max WAND and merged by global statistics."""
 
 from __future__ import annotations
 
@@ -10,17 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .bytescan import ALNUM, LOWER, text_chunks, word_hashes, word_spans
+from ..plans.storage import materialize
+from .bytescan import ALNUM, LOWER, byte_positions, text_chunks, word_hashes, word_spans
 
 K1, B = 1.2, 0.75
 #: Contributions are whole millionths, so sums do not depend on their order and ties are exact.
 UNIT = 1e6
-#: Documents of a shard, and of a block that shares one upper bound for each term.
-SHARD_DOCS, BLOCK_DOCS = 8192, 64
-#: A term that more than one in so many documents of a shard hold also has its contributions as a row over all of them.
-DENSE = 16
-#: Distinct terms of all queries that are searched at once (with repeats between queries): 32 MB.
-BLOCK_TERMS = 1 << 22
+#: Documents and postings of a shard at most (or one longer document), and documents of a block that shares one upper bound for each term.
+SHARD_DOCS, SHARD_POSTINGS, BLOCK_DOCS = 8192, 1 << 21, 32
+#: A term that more than one in DENSE documents of a shard hold has its contributions as a row over all of them, as far as DENSE_BYTES go.
+DENSE, DENSE_BYTES = 16, 32 << 20
+#: Queries whose bounds and scores are found together.
+BATCH_QUERIES = 128
+#: Distinct terms of all queries that are searched at once (with repeats between queries): 16 MB.
+BLOCK_TERMS = 1 << 21
 
 
 def term_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -46,136 +49,201 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.mapInArrow(run, "query_id long, terms array<long>").filter("size(terms) > 0")
 
 
-def _frequencies(docs: DataFrame, vocabulary) -> DataFrame:
-    """(slot, df): documents that hold each term of a block of queries; slot -1 has the documents, -2 their words."""
+_INDEX = "docs int, words long, ids array<long>, lengths binary, terms binary, counts binary, doc binary, tf binary"
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """One row a shard of ``docs(doc_id, text)``: ids, lengths, terms with their numbers of postings, and postings by term.
+
+    Documents of a shard are ordered by their most frequent word, then by length, so that a block's documents are alike
+    (of one language, mostly) and its bounds close to its scores. No shuffle; a row has at most SHARD_POSTINGS postings,
+    or one document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            ids = pa.concat_arrays([x[0] for x in held])
+            length = np.concatenate([x[4] for x in held])
+            base = np.cumsum([0, *(len(x[4]) for x in held)])
+            doc, terms, tf = (np.concatenate(x) for x in ([h[1] + b for h, b in zip(held, base)], [h[2] for h in held], [h[3] for h in held]))
+            first = np.searchsorted(doc, np.arange(len(length)))
+            main = np.zeros(len(length), np.uint64)
+            some = np.flatnonzero(length)
+            if len(some):
+                most = np.flatnonzero(tf == np.repeat(np.maximum.reduceat(tf, first[some]), np.diff(np.append(first[some], len(tf)))))
+                main[some] = terms[most[np.searchsorted(most, first[some])]]
+            order = np.lexsort((length, main))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            sort = np.lexsort((place[doc], terms))
+            terms = terms[sort]
+            new = np.flatnonzero(np.concatenate([np.ones(min(1, len(terms)), bool), terms[1:] != terms[:-1]]))
+            arrays = [
+                pa.array([len(length)], pa.int32()), pa.array([int(length.sum())], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.take(pa.array(order))),
+                *(pa.array([x.tobytes()], pa.binary()) for x in (length[order].astype("<i8"), terms[new].astype("<u8"), np.diff(np.append(new, len(terms))).astype("<i4"), place[doc[sort]].astype("<u2"), tf[sort].astype("<u4"))),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, ["docs", "words", "ids", "lengths", "terms", "counts", "doc", "tf"])
+
+        size = postings = 0
+        for rows, data, offsets in text_chunks(batches):
+            doc, terms, tf, length = term_counts(data, offsets)
+            if held and (size + len(length) > SHARD_DOCS or postings + len(doc) > SHARD_POSTINGS):
+                yield flush()
+                held, size, postings = [], 0, 0
+            held.append((rows.column(0), doc, terms, tf, length))
+            size, postings = size + len(length), postings + len(doc)
+        if held:
+            yield flush()
+
+    return docs.mapInArrow(run, _INDEX)
+
+
+def _frequencies(index: DataFrame, vocabulary) -> DataFrame:
+    """(slot, df): documents that hold each term of a block of queries, from the shards' dictionaries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.value
-        df, n, words = np.zeros(len(known), np.int64), 0, 0
-        for _, data, offsets in text_chunks(batches):
-            _, terms, _, length = term_counts(data, offsets)
-            at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
-            df += np.bincount(at[known[at] == terms], minlength=len(known))
-            n, words = n + len(length), words + int(length.sum())
+        df = np.zeros(len(known), np.int64)
+        for batch in batches:
+            for terms, counts in zip(batch.column(0), batch.column(1)):
+                terms, counts = np.frombuffer(terms.as_buffer(), "<u8"), np.frombuffer(counts.as_buffer(), "<i4")
+                at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+                hit = known[at] == terms
+                df[at[hit]] += counts[hit]
         seen = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, [-1, -2])), pa.array(np.append(df[seen], [n, words]))], ["slot", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(df[seen])], ["slot", "df"])
 
-    return docs.mapInArrow(run, "slot long, df long").groupBy("slot").agg(F.sum("df").alias("df"))
+    return index.select("terms", "counts").mapInArrow(run, "slot long, df long").groupBy("slot").agg(F.sum("df").alias("df"))
 
 
 class Shard:
-    """Postings of one shard by term and by document, with the greatest contribution of each term in each block."""
-
-    def __init__(self, ids: np.ndarray, doc: np.ndarray, slot: np.ndarray, gain: np.ndarray, terms: int):
-        self.ids, self.n = ids, len(ids)
-        gain = gain.astype(float)  # whole numbers below 2**53, so sums are exact
-        self.by_doc, self.doc_slot, self.doc_gain = np.searchsorted(doc, np.arange(self.n + 1)), slot, gain
-        order = np.argsort(slot, kind="stable")
-        self.doc, self.gain, slot = doc[order], gain[order], slot[order]
-        self.first = np.searchsorted(slot, np.arange(terms + 1))
-        block = slot.astype(np.int64) << 32 | self.doc // BLOCK_DOCS
-        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(block)), bool), block[1:] != block[:-1]]))
-        self.block = (block[new] & 0xFFFFFFFF).astype(np.int64)
-        self.block_most = np.maximum.reduceat(self.gain, new) if len(new) else np.zeros(0)
-        self.block_first = np.searchsorted(block[new] >> 32, np.arange(terms + 1))
-        self.most = np.zeros(terms)
-        np.maximum.at(self.most, block[new] >> 32, self.block_most)
-        self.mark = np.zeros(terms, bool)
-        common = np.flatnonzero(np.diff(self.first) * DENSE > self.n)
+    """A shard's contributions to the terms of a block of queries: postings with block maxima, and rows for common terms.
+
+    ``slot`` (ascending), ``doc`` and ``gain`` are its postings; documents are in the order of the index's blocks.
+    """
+
+    def __init__(self, n: int, slot: np.ndarray, doc: np.ndarray, gain: np.ndarray, terms: int):
+        self.n, self.blocks = n, -(-n // BLOCK_DOCS)
+        self.skipped = self.scored = 0
+        first = np.searchsorted(slot, np.arange(terms + 1))
+        df = np.diff(first)
+        common = np.flatnonzero(df * DENSE > n)
+        if len(common) > (most := max(1, DENSE_BYTES // (8 * n))):
+            common = np.sort(common[np.argsort(-df[common], kind="stable")[:most]])
         self.row = np.full(terms, -1)
         self.row[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), self.n))
-        for i, t in enumerate(common.tolist()):
-            self.dense[i, self.doc[self.first[t] : self.first[t + 1]]] = self.gain[self.first[t] : self.first[t + 1]]
-
-    @staticmethod
-    def _slices(first: np.ndarray, which: np.ndarray) -> np.ndarray:
-        begin, size = first[which], first[which + 1] - first[which]
-        total = np.cumsum(size)
-        return np.arange(total[-1] if len(total) else 0) + np.repeat(begin - total + size, size)
-
-    def top(self, query: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(document, score) of all that can be among the k best, given that k scores of ``least`` are known elsewhere.
-
-        Terms go in order of their upper bounds. As long as the terms still to come could lift an unseen document to
-        the threshold, the next ones are added up; where they no longer can, the pivot is reached: only documents seen
-        before it qualify, and of these only such whose score so far plus the sum of the later terms' maxima in
-        their block gets to the threshold. Those few are scored in full from their own terms.
+        width = self.blocks * BLOCK_DOCS
+        self.dense = np.zeros((len(common), width))
+        row = self.row[slot]
+        self.dense[row[row >= 0], doc[row >= 0]] = gain[row >= 0]  # whole numbers below 2**53, so sums are exact
+        self.dense_most = self.dense.reshape(len(common), self.blocks, BLOCK_DOCS).max(2)
+        slot, self.doc, self.gain = slot[row < 0], doc[row < 0], gain[row < 0].astype(float)
+        key = slot << 32 | self.doc // BLOCK_DOCS
+        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+        self.block, self.block_first = key[new] & 0xFFFFFFFF, new
+        self.block_size = np.diff(np.append(new, len(key)))
+        self.block_most = np.maximum.reduceat(self.gain, new) if len(new) else np.zeros(0)
+        self.entry = np.searchsorted(key[new] >> 32, np.arange(terms + 1))
+
+    def top(self, query: np.ndarray, term: np.ndarray, queries: int, k: int, least: np.ndarray, seeds: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray] | np.ndarray:
+        """(query, document, score) of all that can be among the k best, given that k scores of ``least`` are known elsewhere.
+
+        ``query`` and ``term`` are the distinct pairs of ``queries`` queries. A query's bound of a block is the sum of its
+        terms' maxima there. The block of the greatest bound is scored first and gives a threshold; then all other blocks
+        whose bound reaches it are, and the rest are skipped with their postings. ``seeds``: the thresholds of the first step.
         """
-        query = query[self.most[query] > 0]
-        query = query[np.argsort(-self.most[query], kind="stable")]
-        rest = np.append(np.cumsum(self.most[query][::-1])[::-1], 0)
-        score, at, step = np.zeros(self.n), 0, 8
-        threshold = least
-        while at < len(query) and rest[at] >= max(threshold, 1):
-            part = query[at : at + step]
-            rows = self.row[part]
-            found = self._slices(self.first, part[rows < 0])
-            if len(found):
-                score += np.bincount(self.doc[found], self.gain[found], self.n)
-            for r in rows[rows >= 0].tolist():
-                score += self.dense[r]
-            at, step = at + len(part), min(step * 2, 64)
-            if self.n >= k and rest[at] <= score.max():
-                threshold = max(threshold, int(np.partition(score, self.n - k)[self.n - k]))
-        left = query[at:]
-        alive = np.flatnonzero((score + rest[at] >= threshold) & (score > 0))
-        if len(left) and len(alive):
-            found = self._slices(self.block_first, left)
-            bound = np.bincount(self.block[found], self.block_most[found], self.n // BLOCK_DOCS + 1)
-            alive = alive[score[alive] + bound[alive // BLOCK_DOCS] >= threshold]
-            self.mark[left] = True
-            found = self._slices(self.by_doc, alive)
-            owner = np.repeat(np.arange(len(alive)), self.by_doc[alive + 1] - self.by_doc[alive])
-            score[alive] += np.bincount(owner, self.doc_gain[found] * self.mark[self.doc_slot[found]], len(alive))
-            self.mark[left] = False
-        alive = alive[score[alive] >= max(threshold, 1)]
-        return alive, score[alive].astype(np.int64)
-
-
-def _search(docs: DataFrame, shared, k: int) -> DataFrame:
-    """(query_id, doc_id, score): the k best of each query among each task's documents, shard after shard."""
+        row = self.row[term]
+        wanted = np.zeros((queries, len(self.dense)))
+        wanted[query[row >= 0], row[row >= 0]] = 1
+        count = (self.entry[term + 1] - self.entry[term])[row < 0]
+        owner = np.repeat(query[row < 0], count)
+        entry = byte_positions(self.entry[term[row < 0]], count)
+        at = owner * self.blocks + self.block[entry]
+        bound = wanted @ self.dense_most + np.bincount(at, self.block_most[entry], queries * self.blocks).reshape(queries, self.blocks)
+        score = np.zeros((queries, self.blocks, BLOCK_DOCS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, idf, mean, ids, firsts, slots = shared.value
-        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)] * len(ids)
-        held: list[tuple] = []
+        def fill(alive: np.ndarray) -> None:
+            """Scores of the alive pairs of a query and a block."""
+            keep = alive.ravel()[at]
+            size = self.block_size[entry[keep]]
+            posting = byte_positions(self.block_first[entry[keep]], size)
+            place = np.repeat(owner[keep], size) * (self.blocks * BLOCK_DOCS) + self.doc[posting]
+            score.ravel()[:] += np.bincount(place, self.gain[posting], score.size)
+            for b in np.flatnonzero(alive.any(0)).tolist():
+                some = np.flatnonzero(alive[:, b])
+                score[some, b] += wanted[some] @ self.dense[:, b * BLOCK_DOCS : (b + 1) * BLOCK_DOCS]
 
-        def flush() -> None:
-            base, parts = 0, []
-            for own, doc, slot, gain in held:
-                parts.append((doc + base, slot, gain))
-                base += len(own)
-            names = pa.concat_arrays([own for own, *_ in held])
-            shard = Shard(np.arange(len(names)), *(np.concatenate(x) for x in zip(*parts)), len(known))
-            value, null = names.fill_null(0).to_numpy(), names.is_null().to_numpy(zero_copy_only=False)
-            for q in range(len(ids)):
-                score, doc, none = best[q]
-                at, new = shard.top(slots[firsts[q] : firsts[q + 1]], k, int(score[k - 1]) if len(score) >= k else 0)
-                if len(at):
-                    score, doc, none = np.concatenate([score, new]), np.concatenate([doc, value[at]]), np.concatenate([none, null[at]])
-                    order = np.lexsort((doc, ~none, -score))[:k]
-                    best[q] = score[order], doc[order], none[order]
-            held.clear()
+        threshold = np.maximum(least, 1)
+        best = bound.argmax(1)
+        head = np.zeros(bound.shape, bool)
+        head[np.arange(queries), best] = bound[np.arange(queries), best] >= threshold
+        fill(head)
+        if k <= BLOCK_DOCS:
+            threshold = np.maximum(threshold, np.partition(score[np.arange(queries), best], BLOCK_DOCS - k, 1)[:, BLOCK_DOCS - k])
+        if seeds:
+            return threshold
+        rest = (bound >= threshold[:, None]) & ~head
+        fill(rest)
+        self.scored += int(rest.sum() + head.sum())
+        self.skipped += rest.size - int(rest.sum() + head.sum())
+        score = score.reshape(queries, -1)
+        q, doc = np.nonzero(score >= threshold[:, None])
+        return q, doc, score[q, doc].astype(np.int64)
 
-        for rows, data, offsets in text_chunks(batches):
-            doc, terms, tf, length = term_counts(data, offsets)
-            at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
-            hit = known[at] == terms
-            doc, slot, tf = doc[hit], at[hit], tf[hit]
-            gain = np.rint(UNIT * (idf[slot] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))))).astype(np.int64)
-            held.append((rows.column(0), doc, slot, gain))
-            if sum(len(x[0]) for x in held) >= SHARD_DOCS:
-                flush()
-        if held:
-            flush()
-        for i in range(0, len(ids), 4096):
-            part = best[i : i + 4096]
-            count = [len(x[0]) for x in part]
-            score, doc, none = (np.concatenate(x) for x in zip(*part))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + 4096], count)), pa.array(doc, mask=none), pa.array(score)], ["query_id", "doc_id", "score"])
 
-    return docs.mapInArrow(run, "query_id long, doc_id long, score long")
+def _search(index: DataFrame, shared, k: int, seeds: bool = False) -> DataFrame:
+    """(query_id, doc_id, score): the k best of each query among each task's shards, as far as they reach its threshold.
+
+    ``seeds``: (slot, score) instead, a score that k documents of one block of the task reach.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idf, mean, names, firsts, slots, least = shared.value
+        least = least.astype(float)
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+        best = none
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n, ids = batch.column("docs")[i].as_py(), batch.column("ids")[i].values
+                length, terms, counts, doc, tf = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("lengths", "<i8"), ("terms", "<u8"), ("counts", "<i4"), ("doc", "<u2"), ("tf", "<u4")))
+                at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+                hit = known[at] == terms
+                begin = np.cumsum(counts, dtype=np.int64) - counts
+                posting = byte_positions(begin[hit], counts[hit].astype(np.int64))
+                slot, doc, tf = np.repeat(at[hit], counts[hit]), doc[posting].astype(np.int64), tf[posting]
+                gain = np.rint(UNIT * (idf[slot] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean)))))
+                shard = Shard(n, slot, doc, gain, len(known))
+                value, null = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+                found = [best]
+                for first in range(0, len(names), BATCH_QUERIES):
+                    last = min(first + BATCH_QUERIES, len(names))
+                    query = np.repeat(np.arange(last - first), np.diff(firsts[first : last + 1]))
+                    term = slots[firsts[first] : firsts[last]]
+                    if seeds:
+                        least[first:last] = shard.top(query, term, last - first, k, least[first:last], True)
+                        continue
+                    q, d, s = shard.top(query, term, last - first, k, least[first:last])
+                    found.append((q + first, s, value[d], null[d]))
+                if not seeds:
+                    query, score, doc, null = (np.concatenate(x) for x in zip(*found))
+                    order = np.lexsort((doc, ~null, -score, query))
+                    query, score, doc, null = query[order], score[order], doc[order], null[order]
+                    nth = np.arange(len(query)) - np.searchsorted(query, query)
+                    full = query[nth == k - 1]
+                    least[full] = np.maximum(least[full], score[nth == k - 1])
+                    best = tuple(x[nth < k] for x in (query, score, doc, null))
+        if seeds:
+            some = np.flatnonzero(least > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(least[some].astype(np.int64))], ["slot", "score"])
+            return
+        query, score, doc, null = best
+        for i in range(0, len(query), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(names[query[part]]), pa.array(doc[part], mask=null[part]), pa.array(score[part])], ["query_id", "doc_id", "score"])
+
+    return index.mapInArrow(run, "slot long, score long" if seeds else "query_id long, doc_id long, score long")
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -184,14 +252,19 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased; a query's distinct words
     count once. idf = ln(1 + (N - df + 0.5) / (df + 0.5)), with N, df and the mean length of all rows. Equal scores rank by doc_id
     (null first); only scores above 0 rank. Null and empty texts match nothing; queries without words have no rows;
-    several query rows of one id are one query; each row of ``docs`` is a document of its own.
+    several query rows of one id are one query; each row of ``docs`` is a document of its own; other columns are not read.
 
-    Queries come in blocks of about BLOCK_TERMS terms, each broadcast to all documents in place: documents are never
-    shuffled. A task makes shards of SHARD_DOCS documents and keeps k rows a query, from which a window takes the best.
+    The index is built once, as a table in the shared folder. Queries come in blocks of about BLOCK_TERMS terms, each
+    broadcast to all shards in place: documents are never shuffled. A first pass scores one block of documents a query and
+    shard; the greatest k-th score of any is a threshold that all tasks of the second pass start from. A task keeps at most
+    k rows a query, from which a window takes the best. One number a term and a query of a block reach the driver.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    queries = query_terms(queries.filter("query_id is not null").select("query_id", F.col("text").cast("string").alias("text")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    queries = query_terms(queries.filter("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("text").cast("string").alias("text")))
+    index = materialize(build_index(docs), "bm25-index")
+    size = index.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+    n, mean = size["n"], max(size["words"] / max(size["n"], 1), 1e-9)
     terms = queries.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-terms // BLOCK_TERMS))
     found = []
@@ -199,18 +272,20 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
         if not part.num_rows:
             continue
-        ids = np.repeat(part["query_id"].to_numpy(), part["terms"].combine_chunks().value_lengths().to_numpy()) if part.num_rows else np.zeros(0, np.int64)
+        ids = np.repeat(part["query_id"].to_numpy(), part["terms"].combine_chunks().value_lengths().to_numpy())
         flat = part["terms"].combine_chunks().flatten().to_numpy().view(np.uint64)
         known = np.unique(flat)
         pairs = np.unique(np.stack([ids, np.searchsorted(known, flat)], 1), axis=0)
         names, firsts = np.unique(pairs[:, 0], return_index=True)
-        counts = _frequencies(docs, spark.sparkContext.broadcast(known)).toArrow()
+        counts = _frequencies(index, spark.sparkContext.broadcast(known)).toArrow()
         slot, df = counts["slot"].to_numpy(), counts["df"].to_numpy()
-        n, words = int(df[slot == -1].sum()), int(df[slot == -2].sum())
         idf = np.zeros(len(known))
-        idf[slot[slot >= 0]] = np.log(1 + (n - df[slot >= 0] + 0.5) / (df[slot >= 0] + 0.5))
-        shared = spark.sparkContext.broadcast((known, idf, max(words / max(n, 1), 1e-9), names, np.append(firsts, len(pairs)), pairs[:, 1]))
-        found.append(_search(docs, shared, k))
+        idf[slot] = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        known_of = (known, idf, mean, names, np.append(firsts, len(pairs)), pairs[:, 1].copy())
+        seeds = _search(index, spark.sparkContext.broadcast((*known_of, np.zeros(len(names), np.int64))), k, True).groupBy("slot").agg(F.max("score").alias("score")).toArrow()
+        least = np.zeros(len(names), np.int64)
+        least[seeds["slot"].to_numpy()] = seeds["score"].to_numpy()
+        found.append(_search(index, spark.sparkContext.broadcast((*known_of, least)), k))
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     every = found[0]
