@@ -111,6 +111,46 @@ def test_repeated_passages(spark):
     assert suffixdedup.repeated_passages(frame(spark, [])).count() == 0
 
 
+def test_repeated_ids_and_null_ids_are_rows_of_their_own(spark):
+    """Rows of one id, or of none, are cut each by its own passages; of equal rows one stays."""
+    p, u = " ".join(f"p{i}" for i in range(80)), " ".join(f"u{i}" for i in range(100))
+    rows = [(1, p), (2, p), (2, "short text"), (2, u), (None, p + " tail"), (None, u.upper()), (3, u), (4, "v " + u.lower()), (4, "v " + u.lower()), (5, None), (5, None)]
+    docs = frame(spark, rows)
+    got = Counter((r.doc_id, r.text) for r in suffixdedup.cut_later(docs, suffixdedup.repeated_passages(docs)).collect())
+    assert got == Counter([(None, p + " tail"), (None, u.upper()), (2, "short text"), (2, u), (4, "v "), (5, None), (5, None)])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_passages_over_many_ranges(spark, seed):
+    """Common passages that fill ranges of sorted suffixes and go on in the next ones, against all windows."""
+    rng = random.Random(seed)
+    pool = [[f"{k}x{i}" for i in range(120)] for k in range(3)] + [["a", "b"] * 60]
+    texts = []
+    for _ in range(90):
+        t = list(rng.choice(pool))
+        a, b = sorted(rng.choices(range(len(t) + 1), k=2))
+        t = t[a:b] + ([f"n{rng.randrange(10**6)}"] if rng.random() < 0.4 else []) + t[b:]
+        texts.append(t)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = {(r.doc_id, r.part, r.start_word, r.end_word) for r in suffixdedup.repeated_passages(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    grams = [(i, q, tuple(t[q : q + 50])) for i, t in enumerate(texts) for q in range(len(t) - 49)]
+    times, seen, marks = Counter(g for *_, g in grams), set(), {"repeated": set(), "later": set()}
+    for i, q, g in grams:
+        if times[g] > 1:
+            marks["repeated"] |= {(i, q + k) for k in range(50)}
+        if g in seen:
+            marks["later"] |= {(i, q + k) for k in range(50)}
+        seen.add(g)
+    cells = {part: {(i, p) for i, x, a, b in got if x == part for p in range(a, b)} for part in marks}
+    assert cells == marks
+
+
 def test_search_equals_exhaustive_scoring(spark, monkeypatch):
     monkeypatch.setattr(search, "SHARD_DOCS", 16)
     monkeypatch.setattr(search, "BLOCK_TERMS", 200)

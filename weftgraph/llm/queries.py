@@ -55,7 +55,8 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that occur more than once in the documents, and what of them occurs before."""
     from .suffixdedup import repeated_passages
 
-    return repeated_passages(table(spark, sf_dir, "documents")).withColumn("n_words", F.col("end_word") - F.col("start_word"))
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "part", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
 
 
 ORACLES["op5_suffix_array_dedup"] = r"""

@@ -1,4 +1,4 @@
-"""Repeated passages by sparse suffix arrays: suffixes at minimiser positions, compared and extended both ways."""
+"""Repeated passages by sparse suffix arrays: suffixes at minimiser positions, sorted, compared with neighbours and extended both ways."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..plans.storage import materialize
 from .bitmap import hashed_bitmap, is_set
-from .bytescan import SPACE, gram_hashes, mix, text_chunks, word_hashes, word_spans
+from .bytescan import SPACE, byte_positions, gram_hashes, mix, text_chunks, word_hashes, word_spans
 
 #: Least number of words of a passage.
 MIN_WORDS = 50
@@ -24,6 +25,16 @@ SPREAD = 25
 BITMAP_BITS = 1 << 27
 
 
+def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Position of the least of values[i:i + width] (the leftmost on ties) for every i that has so many values."""
+    at, step = np.arange(len(values)), 1
+    while 2 * step <= width:
+        left, right = at[:-step], at[step:]
+        at, step = np.where(values[right] < values[left], right, left), 2 * step
+    left, right = at[: len(values) - width + 1], at[width - step :]
+    return np.where(values[right] < values[left], right, left)
+
+
 class Suffixes:
     """The retained suffixes of the texts of one chunk.
 
@@ -45,7 +56,7 @@ class Suffixes:
         if not len(q):
             return
         grams = gram_hashes(words, GRAM)
-        least = q + np.lib.stride_tricks.sliding_window_view(grams, SPREAD)[q].argmin(1)
+        least = leftmost_least(grams, SPREAD)[q]
         new = np.flatnonzero(np.concatenate([[True], (np.diff(least) != 0) | (np.diff(q) != 1) | (np.diff(doc[q]) != 0)]))
         self.lo, self.hi = q[new], q[np.append(new[1:], len(q)) - 1]
         self.at, self.doc = least[new], doc[q[new]]
@@ -63,101 +74,201 @@ def _beginnings(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, "key long")
 
 
+_PLACE = "key long, run long, row long, doc_id long, digest long, word long"
+
+
 def _candidates(docs: DataFrame, shared, min_words: int) -> DataFrame:
-    """Retained suffixes whose beginning may repeat: the hash of what all their windows cover, place, and window hashes."""
+    """Retained suffixes whose beginning may repeat: ``key`` of the beginning, ``run`` of all that their windows cover, place, and window hashes.
+
+    ``row`` is a number of its own for each row of ``docs``, whatever its id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
         for rows, data, offsets in text_chunks(batches):
             s = Suffixes(data, offsets, min_words)
             keep = np.flatnonzero(is_set(shared.value, (s.key & np.uint64(BITMAP_BITS - 1)).astype(np.int64)))
             count = s.hi[keep] - s.lo[keep] + 1
             begin = np.concatenate([[0], np.cumsum(count)])
-            pick = np.arange(begin[-1]) - np.repeat(begin[:-1] - s.lo[keep], count)
-            hashes = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(s.windows[pick].view(np.int64)))
-            word = s.lo[keep] - s.firsts[s.doc[keep]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.run[keep].view(np.int64)), rows.column(0).take(pa.array(s.doc[keep])), pa.array(word), pa.array(count.astype(np.int32)), hashes],
-                ["run", "doc_id", "word", "n", "hashes"],
-            )
+            hashes = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(s.windows[byte_positions(s.lo[keep], count)].view(np.int64)))
+            own = pa.array(s.doc[keep])
+            arrays = [pa.array(s.key[keep].view(np.int64)), pa.array(s.run[keep].view(np.int64)), pa.array(row + s.doc[keep]), rows.column(0).take(own), rows.column(2).take(own), pa.array(s.lo[keep] - s.firsts[s.doc[keep]]), hashes]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "run", "row", "doc_id", "digest", "word", "hashes"])
+            row += rows.num_rows
 
-    return docs.mapInArrow(run, "run long, doc_id long, word long, n int, hashes array<long>")
+    return docs.mapInArrow(run, f"{_PLACE}, hashes array<long>")
 
 
-def _stretches(marked: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, start_word, end_word) of each run of set bits of ``marked(doc_id, word, mask)``: bit i is window word + i."""
+def compare_neighbours(run: np.ndarray, owner: np.ndarray, word: np.ndarray, hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mask, later) of sorted suffixes, whole groups of equal beginnings: bit i is set if the suffix's window i occurs more than once, or before.
+
+    ``owner`` numbers the rows that the suffixes stand in, in their order. Neighbours that agree in all their windows are
+    one from here on; of the others, every window (so many words to the left of the suffix, the rest from it on) is
+    compared with the equal ones.
+    """
+    _, first, back = np.unique(run, return_index=True, return_inverse=True)
+    copies = np.bincount(back)
+    count = np.diff(firsts)[first]
+    h = hashes[byte_positions(firsts[first], count)]
+    of = np.repeat(np.arange(len(first)), count)
+    bit = byte_positions(np.zeros(len(first), np.int64), count)
+    place = (owner[first] << 32)[of] + word[first][of] + bit
+    order = np.lexsort((place, h))
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[order][1:] != h[order][:-1]]))
+    size = np.diff(np.append(new, len(h)))
+    times = np.add.reduceat(copies[of[order]], new) if len(new) else np.zeros(0, np.int64)
+    again = np.repeat(times > 1, size)
+    flag = (np.int64(1) << bit)[order]
+    mask, own = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    np.bitwise_or.at(mask, of[order][again], flag[again])
+    head = new[times > 1]
+    np.bitwise_or.at(own, of[order][head], flag[head])
+    least = np.zeros(len(run), np.int64)
+    least[first] = own
+    return mask[back], mask[back] - least
+
+
+def _compared(ordered: DataFrame) -> DataFrame:
+    """Each range of the sorted suffixes, compared: (row, doc_id, digest, word, mask, later) of suffixes with repeated windows.
+
+    Suffixes that begin as a range's first or last one may go on in the next range. They come as they are, with the
+    number of the range as ``part``; the others have no ``hashes``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, edge, held = TaskContext.get().partitionId(), None, []
+        names = ["part", "run", "row", "doc_id", "digest", "word", "mask", "later", "hashes"]
+
+        def raw(rows: pa.RecordBatch) -> pa.RecordBatch:
+            none = pa.nulls(rows.num_rows, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, part)), *(rows.column(c) for c in ("run", "row", "doc_id", "digest", "word")), none, none, rows.column("hashes")], names)
+
+        def done(rows: pa.RecordBatch) -> pa.RecordBatch:
+            row, word = rows.column("row").to_numpy(), rows.column("word").to_numpy()
+            lists = rows.column("hashes")
+            firsts = lists.offsets.to_numpy().astype(np.int64)
+            owner = np.cumsum(np.concatenate([[0], (np.diff(row) != 0).astype(np.int64)]))
+            mask, later = compare_neighbours(rows.column("run").to_numpy(), owner, word, lists.flatten().to_numpy(), firsts - firsts[0])
+            some = pa.array(np.flatnonzero(mask))
+            kept = [rows.column(c).take(some) for c in ("row", "doc_id", "digest", "word")]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), part)), pa.nulls(len(some), pa.int64()), *kept, pa.array(mask).take(some), pa.array(later).take(some), pa.nulls(len(some), pa.list_(pa.int64()))], names)
+
         for batch in batches:
-            word, mask = (batch.column(i).to_numpy() for i in (1, 2))
-            bits = (mask[:, None] >> np.arange(SPREAD + 1) & 1).astype(np.int8)
-            change = np.diff(bits, axis=1, prepend=0)
-            r, begin = np.nonzero(change > 0)
-            end = np.nonzero(change < 0)[1]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), pa.array(word[r] + begin), pa.array(word[r] + end - 1 + min_words)], ["doc_id", "start_word", "end_word"])
+            if not batch.num_rows:
+                continue
+            keys = batch.column("key").to_numpy()
+            edge = keys[0] if edge is None else edge
+            begin = int(np.searchsorted(keys, edge, "right"))
+            if begin:
+                yield raw(batch.slice(0, begin))
+            if begin == batch.num_rows:
+                continue
+            held.append(batch.slice(begin))
+            last = int(np.searchsorted(keys, keys[-1]))
+            if last > begin or held[0].column("key")[0].as_py() != keys[-1]:
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                cut = int(np.searchsorted(rows.column("key").to_numpy(), keys[-1]))
+                yield done(rows.slice(0, cut))
+                held = [rows.slice(cut)]
+        for rows in held:
+            yield raw(rows)
+
+    return ordered.mapInArrow(run, "part long, run long, row long, doc_id long, digest long, word long, mask long, later long, hashes array<long>")
+
+
+def _across(edges: DataFrame) -> DataFrame:
+    """(row, doc_id, digest, word, mask, later) of the suffixes at the ranges' edges.
+
+    What a range has of a run of equal suffixes is one row, so that a common passage, which fills many ranges, meets in
+    one row a range; windows are then compared by partial aggregates.
+    """
+    place = F.struct("doc_id", "row", "word")
+    runs = edges.groupBy("part", "run").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.min_by("hashes", place).alias("hashes"))
+    one = runs.select("part", "run", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row"), F.col("first.word").alias("word"), F.posexplode("hashes").alias("i", "h"))
+    one = materialize(one.withColumn("q", F.col("word") + F.col("i")), "windows")
+    at = F.struct("doc_id", "row", "q")
+    windows = materialize(one.groupBy("h").agg(F.sum("copies").alias("times"), F.min(at).alias("least")).filter("times > 1"), "repeated-windows")
+    bit = F.expr("shiftleft(1L, i)")
+    masks = (
+        one.join(windows, "h")
+        .groupBy("part", "run")
+        .agg(F.bit_or(bit).alias("mask"), F.bit_or(F.when(at.eqNullSafe(F.col("least")), bit).otherwise(F.lit(0))).alias("own"), F.min(place).alias("first"))
+    )
+    masks = materialize(masks, "masks")
+    own = F.when(F.col("first").eqNullSafe(place), F.col("own")).otherwise(F.lit(0))
+    return edges.select("part", "run", "row", "doc_id", "digest", "word").join(masks, ["part", "run"]).select("row", "doc_id", "digest", "word", "mask", (F.col("mask") - own).alias("later"))
 
-    return marked.select("doc_id", "word", "mask").filter("mask <> 0").mapInArrow(run, "doc_id long, start_word long, end_word long")
 
+def _stretches(marked: DataFrame, min_words: int) -> DataFrame:
+    """(row, doc_id, digest, part, start_word, end_word) of each run of set bits of ``mask`` ('repeated') and ``later``: bit i is window word + i."""
 
-def _united(stretches: DataFrame, *keys: str) -> DataFrame:
-    """Overlapping or touching stretches of a document as one. A window never holds more than one document's rows."""
-    by = W.partitionBy("doc_id", *keys).orderBy("start_word", "end_word")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word = batch.column("word").to_numpy()
+            for part in ("mask", "later"):
+                bits = (batch.column(part).to_numpy()[:, None] >> np.arange(SPREAD + 1) & 1).astype(np.int8)
+                change = np.diff(bits, axis=1, prepend=0)
+                r, begin = np.nonzero(change > 0)
+                end = np.nonzero(change < 0)[1]
+                own = [batch.column(c).take(pa.array(r)) for c in ("row", "doc_id", "digest")]
+                label = pa.array(["repeated" if part == "mask" else "later"] * len(r), pa.string())
+                yield pa.RecordBatch.from_arrays([*own, label, pa.array(word[r] + begin), pa.array(word[r] + end - 1 + min_words)], ["row", "doc_id", "digest", "part", "start_word", "end_word"])
+
+    return marked.select("row", "doc_id", "digest", "word", "mask", "later").filter("mask <> 0").mapInArrow(run, "row long, doc_id long, digest long, part string, start_word long, end_word long")
+
+
+def _united(stretches: DataFrame) -> DataFrame:
+    """Overlapping or touching stretches of a row as one. A window never holds more than one row's stretches."""
+    by = W.partitionBy("row", "part").orderBy("start_word", "end_word")
     reach = F.max("end_word").over(by.rowsBetween(W.unboundedPreceding, -1))
     islands = stretches.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("start_word")).cast("int"))
     islands = islands.withColumn("island", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    return islands.groupBy("doc_id", *keys, "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).drop("island")
+    whole = [F.min("doc_id").alias("doc_id"), F.min("digest").alias("digest"), F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")]
+    return islands.groupBy("row", "part", "island").agg(*whole).select("row", "doc_id", "digest", "part", "start_word", "end_word")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, part, start_word, end_word): stretches of words whose every ``min_words``-word window occurs twice or more.
+    """(row, doc_id, digest, part, start_word, end_word): stretches of words whose every ``min_words``-word window occurs twice or more.
 
-    Words are runs of anything but ASCII white space, compared byte by byte; end_word is exclusive. ``part`` is
-    'repeated' for all of a stretch, and 'later' for what of it also occurs before, in order of (doc_id, word): cutting
-    the 'later' stretches leaves one occurrence of everything. Occurrences within one document count like others.
+    Words are runs of anything but ASCII white space, compared by 64-bit hashes; end_word is exclusive. ``part`` is
+    'repeated' for all of a stretch, and 'later' for what of it also occurs before, in order of (doc_id, row, word): cutting
+    the 'later' stretches leaves one occurrence of everything. Occurrences within one document count like others. ``row``
+    numbers the rows of ``docs`` and ``digest`` is the hash of their text.
 
     1. Suffixes are retained at minimiser positions (about 2 in SPREAD + 1 words). Those whose first
        min_words - SPREAD + 1 words occur once are out: an aggregate over 8-byte hashes finds the others, and a
        bounded bitmap tells tasks, so no text is shuffled.
-    2. The other suffixes are grouped by all that their windows cover. Of each distinct one, every split of a window
-       left and right of the suffix (at most SPREAD) is compared with all equal ones by hash aggregation. Copies are one row
-       by then and minima and counts are partial aggregates, so no passage, however common, gathers in a task.
-    3. Runs of repeated windows become stretches, and stretches that overlap are united within each document.
-
-    Null and short texts have no windows. An id that occurs on several rows counts each row; its first rows are kept
-    alike. Rows with a null id are compared too and reported under null. An empty table gives an empty result.
+    2. The other suffixes are sorted in ranges, by the hash of their beginning and then by place. In each range, neighbours
+       of one beginning are compared and extended word by word to the left (at most SPREAD - 1) and right, as hashes of
+       every window that they are in. Ranges part a common passage by place; what begins as a range's first or last suffix
+       is compared across ranges, by one row a range and distinct suffix.
+    3. Runs of repeated windows become stretches, and stretches that overlap are united within each row.
+
+    Null and short texts have no windows. An id that occurs on several rows, or is null, counts each row for itself; of equal
+    rows the one that is read first is the earlier. Other columns are not read. An empty table gives an empty result.
     """
     if not 2 * GRAM + SPREAD - 1 <= min_words:
         raise ValueError(f"min_words must be {2 * GRAM + SPREAD - 1} or more")
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
     again = _beginnings(docs, min_words).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = hashed_bitmap(again.select(F.col("key").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("h")), BITMAP_BITS)
     found = materialize(_candidates(docs, shared, min_words), "suffixes")
-
-    place = F.struct("doc_id", "word")
-    runs = found.groupBy("run").agg(F.count("*").alias("copies"), F.min(place).alias("first"))
-    rows = found.select("run", "doc_id", "word", "n", "hashes").join(runs, "run")
-    one = rows.filter(F.col("first").eqNullSafe(place)).select("run", "copies", "doc_id", "word", F.posexplode("hashes").alias("i", "h"))
-    one = materialize(one.withColumn("q", F.col("word") + F.col("i")).drop("word"), "windows")
-    windows = one.groupBy("h").agg(F.sum("copies").alias("times"), F.min(F.struct("doc_id", "q")).alias("least")).filter("times > 1")
-    bit = F.expr("shiftleft(1, i)")
-    masks = (
-        one.join(windows, "h")
-        .groupBy("run")
-        .agg(F.bit_or(bit).cast("long").alias("mask"), F.bit_or(F.when(F.struct("doc_id", "q").eqNullSafe(F.col("least")), bit).otherwise(0)).cast("long").alias("own"))
-    )
-    own = F.when(F.col("first").eqNullSafe(place), F.col("own")).otherwise(F.lit(0))
-    marked = found.select("run", "doc_id", "word").join(runs, "run").join(masks, "run").select("doc_id", "word", "mask", (F.col("mask") - own).alias("later"))
-    marked = materialize(marked, "masks")
-    whole = _united(_stretches(marked, min_words))
-    later = _united(_stretches(marked.select("doc_id", "word", F.col("later").alias("mask")), min_words))
-    return whole.select("doc_id", F.lit("repeated").alias("part"), "start_word", "end_word").union(later.select("doc_id", F.lit("later"), "start_word", "end_word"))
+    order = ["key", "doc_id", "row", "word"]
+    compared = materialize(_compared(found.repartitionByRange(*order).sortWithinPartitions(*order)), "compared")
+    marked = compared.filter("hashes is null").select("row", "doc_id", "digest", "word", "mask", "later").union(_across(compared.filter("hashes is not null")))
+    return _united(_stretches(marked, min_words))
 
 
 def cut_later(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """``docs`` with the 'later' stretches cut out of their texts; documents that lose all their words are dropped.
+    """``docs`` with the 'later' stretches of :func:`repeated_passages` cut out of their texts; documents that lose all their words are dropped.
 
-    Ids must not be null for a text to be cut. Other columns stay as they are.
+    Rows are told apart by id (null is an id like others) and text. Of rows with windows that are equal in both one stays,
+    cut as the first of them. Rows without windows, with null and with empty texts stay. Other columns stay as they are.
     """
-    spans = passages.filter("part = 'later'").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans"))
+    place = F.when(F.col("part") == "later", F.struct("start_word", "end_word"))
+    spans = passages.groupBy("doc_id", "digest", "row").agg(F.sort_array(F.collect_list(place)).alias("spans"))
+    spans = spans.groupBy("doc_id", "digest").agg(F.count("*").alias("_times"), F.min_by("spans", "row").alias("_spans"))
+    spans = materialize(spans.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "_times", "_spans"), "spans")
     columns = docs.columns
     at = columns.index("text")
 
@@ -181,4 +292,8 @@ def cut_later(docs: DataFrame, passages: DataFrame) -> DataFrame:
             arrays = [pa.array(new, batch.column(at).type) if i == at else batch.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays(arrays, columns).filter(keep)
 
-    return docs.join(spans, "doc_id", "left").select(*columns, "_spans").mapInArrow(run, docs.schema)
+    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_digest")), "left")
+    if spans.filter("_times > 1").limit(1).count():
+        single = joined.filter("coalesce(_times, 1) = 1")
+        joined = single.union(joined.filter("_times > 1").dropDuplicates(["_id", "_digest"]))
+    return joined.select(*columns, "_spans").mapInArrow(run, docs.schema)
