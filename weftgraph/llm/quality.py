@@ -172,9 +172,10 @@ def _features_of(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_chunks(batches):
             x = text_features(data, offsets)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(list(x), pa.list_(pa.float32()))], ["positive", "x"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(list(x), pa.list_(pa.float32()))], ["positive", "doc_id", "x"])
 
-    return docs.select("positive", "text").mapInArrow(run, "positive boolean, x array<float>")
+    rows = docs.select("positive", "doc_id", "text").mapInArrow(run, "positive boolean, doc_id long, x array<float>")
+    return rows.groupBy("positive", "doc_id").agg(F.min("x").alias("x")).select("positive", "x")
 
 
 def _matrix(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +193,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: str = "true", sample
 
     Both samples are the rows of least hashed doc_id among those that satisfy the SQL condition ``usable`` on doc_id, so
     they do not depend on partitioning. Labels of 0 are not read: the prior is estimated from scores of positives and
-    unlabelled texts alone. Only sampled ids are broadcast and only their features reach the driver, both bounded.
+    unlabelled texts alone. Only sampled ids are broadcast, and one row of features an id reaches the driver (that of the least
+    features where an id repeats), so both are bounded. Null ids are not sampled.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit(17))
     ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).filter(usable)

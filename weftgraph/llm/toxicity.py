@@ -17,7 +17,7 @@ from .idset import prefilter
 #: Bytes of a gram: the byte that is predicted and its context.
 ORDER = 4
 DISCOUNT = 0.75
-#: Bytes over which log-likelihoods are compared; a text's score is that of its most toxic stretch of this length.
+#: Bytes of a stretch. Besides the whole text's, the log-likelihoods of its most toxic stretch of this length are compared.
 WINDOW = 20
 #: Labelled training rows that the two-parameter calibration uses at most (those of least hashed id).
 CALIBRATION_ROWS = 8000
@@ -72,39 +72,48 @@ class RatioTable:
 
 @dataclass
 class ToxicModel:
-    """Log-likelihood ratios of grams and of contexts, and the calibration of the window's mean."""
+    """Log-likelihood ratios of grams and of contexts, and the calibration of a text's length-normalised ratios.
+
+    ``growth`` is what the most toxic stretch of an ordinary text gains when the text has e times as many stretches; it is
+    taken off, so that a score does not rise with the length of an ordinary text. ``weights`` are those of the whole text's
+    ratio, of the stretch's corrected ratio, and the constant.
+    """
 
     grams: RatioTable
     contexts: RatioTable
-    slope: float = 1.0
-    middle: float = 0.5
+    growth: float = 0.0
+    weights: tuple[float, float, float] = (0.0, 0.0, -2.0)
 
-    def strongest(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Mean log-likelihood ratio per byte (toxic against ordinary) of each text's most toxic WINDOW bytes.
+    def ratios(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mean log-likelihood ratio a byte (toxic against ordinary) of each whole text and of its most toxic WINDOW bytes, and
+        its number of stretches.
 
-        Shorter texts count missing bytes as neutral; a text without bytes gets 0.
+        Texts shorter than a stretch count missing bytes as neutral and are one stretch; a text without bytes gets 0.
         """
         keys, lengths = gram_keys(data, offsets)
         ratio, known = self.grams.find(keys)
         ratio[~known] = self.contexts.find(keys[~known] >> 8)[0]
         total = np.concatenate([[0.0], np.cumsum(ratio)])
         first = np.concatenate([[0], np.cumsum(lengths)])
-        out = np.zeros(len(lengths))
+        whole = total[first[1:]] - total[first[:-1]]
+        most = whole.copy()
         short = lengths < WINDOW
-        out[short] = total[first[1:][short]] - total[first[:-1][short]]
         if len(ratio) >= WINDOW and not short.all():
             sums = np.full(len(ratio), -np.inf)
             sums[: len(ratio) - WINDOW + 1] = total[WINDOW:] - total[:-WINDOW]
             left = np.repeat(first[1:], lengths) - np.arange(len(ratio))
             sums[left < WINDOW] = -np.inf
             full = lengths > 0
-            most = np.full(len(lengths), -np.inf)
-            most[full] = np.maximum.reduceat(sums, first[:-1][full])
-            out[~short] = most[~short]
-        return out / WINDOW
+            most[full] = np.where(short[full], most[full], np.maximum.reduceat(sums, first[:-1][full]))
+        return whole / np.maximum(lengths, 1), most / WINDOW, np.maximum(lengths - WINDOW + 1, 1).astype(float)
+
+    def score(self, whole: np.ndarray, most: np.ndarray, stretches: np.ndarray) -> np.ndarray:
+        a, b, c = self.weights
+        return 1 / (1 + np.exp(-np.clip(a * whole + b * (most - self.growth * np.log(stretches)) + c, -30, 30)))
 
-    def scores(self, strongest: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (strongest - self.middle), -30, 30)))
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Score of each text, 0 to 1."""
+        return self.score(*self.ratios(data, offsets))
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
@@ -189,32 +198,41 @@ def _table(rows: DataFrame) -> RatioTable:
     return RatioTable(keys[order], ratios[order])
 
 
-def _strongest(docs: DataFrame, shared, extra: str, kind: str) -> DataFrame:
+def _rated(docs: DataFrame, shared) -> DataFrame:
+    """(toxic, doc_id, whole, most, stretches) of every row of ``docs(toxic, doc_id, text)``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_chunks(batches):
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(shared.value.strongest(data, offsets))], [extra, "strongest"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *map(pa.array, shared.value.ratios(data, offsets))], ["toxic", "doc_id", "whole", "most", "stretches"])
+
+    return docs.select("toxic", "doc_id", "text").mapInArrow(run, "toxic boolean, doc_id long, whole double, most double, stretches double")
 
-    return docs.select(extra, "text").mapInArrow(run, f"{extra} {kind}, strongest double")
 
+def calibrate(whole: np.ndarray, most: np.ndarray, stretches: np.ndarray, toxic: np.ndarray) -> tuple[float, tuple[float, float, float]]:
+    """(growth, weights) from labelled texts: growth by least squares over ordinary ones, weights by logistic regression.
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and middle of a logistic curve, by Newton steps with a weak prior on the slope; one class alone gives (4, its edge)."""
-    if not len(x) or y.min() == y.max():
-        return 4.0, (float(x.max()) + 1 if len(x) and not y.max() else 0.5)
-    w = np.array([0.0, 0.0])
-    design = np.stack([x, np.ones(len(x))], 1)
-    for _ in range(50):
+    Newton steps with a weak prior on weights. Without texts of both classes every score is low.
+    """
+    if not len(toxic) or toxic.min() == toxic.max():
+        return 0.0, (0.0, 0.0, -2.0)
+    own = toxic == 0
+    at = np.log(stretches[own])
+    spread = ((at - at.mean()) ** 2).sum()
+    growth = max(0.0, float(((at - at.mean()) * most[own]).sum() / spread)) if spread > 0 else 0.0
+    design = np.stack([whole, most - growth * np.log(stretches), np.ones(len(toxic))], 1)
+    prior, w = np.diag([0.02, 0.02, 1e-6]), np.zeros(3)
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        grad = design.T @ (y - p) - np.array([0.02, 0.0]) * w
-        w = w + np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + np.diag([0.02, 1e-6]), grad).clip(-4, 4)
-    return (float(w[0]), float(-w[1] / w[0])) if w[0] > 1e-3 else (4.0, 0.5)
+        w = w + np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + prior, design.T @ (toxic - p) - prior @ w).clip(-4, 4)
+    return growth, tuple(w.tolist())
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: str = "true", calibration_rows: int = CALIBRATION_ROWS) -> ToxicModel:
     """Count grams over all labelled rows that satisfy the SQL condition ``usable`` on doc_id, and build the model.
 
     Rows with a null label or id are not used; a doc_id with any toxic label counts as toxic. Only texts that may be
-    labelled are shuffled. Without labelled rows every score is low.
+    labelled are shuffled. The calibration takes one row an id (the most toxic where an id repeats) of at most
+    ``calibration_rows`` ids. Without labelled rows of both classes every score is low.
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(usable)
     known = labels.filter("doc_id is not null and toxic is not null").filter(usable).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
@@ -222,20 +240,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: str = "true", calib
     model = ToxicModel(_table(grams), _table(contexts))
     some = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(23)), "doc_id").limit(calibration_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    found = _strongest(texts.join(F.broadcast(some), "doc_id").select("toxic", "text"), shared, "toxic", "boolean").toArrow()
-    model.slope, model.middle = _calibrate(found["strongest"].to_numpy(), np.array(found["toxic"].to_pylist(), float))
+    rated = _rated(texts.join(F.broadcast(some), "doc_id"), shared)
+    found = rated.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(F.struct("most", "whole", "stretches")).alias("x")).select("toxic", "x.*").toArrow()
+    model.growth, model.weights = calibrate(*(found[c].to_numpy() for c in ("whole", "most", "stretches")), np.array(found["toxic"].to_pylist(), float))
     return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """(doc_id, score) for every row, in place: no shuffle. Null texts score as empty ones, whose ratio is 0."""
+    """(doc_id, score) for every row, in place: no shuffle. Null texts score as empty ones, whose ratios are 0; null ids stay null."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rated = _strongest(docs.select("doc_id", F.col("text").cast("string").alias("text")), shared, "doc_id", "long")
-    bent = F.lit(float(model.slope)) * (F.col("strongest") - F.lit(float(model.middle)))
-    return rated.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), bent))))).alias("score"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in text_chunks(batches):
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(shared.value.scores(data, offsets))], ["doc_id", "score"])
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_ordinary(docs: DataFrame, model: ToxicModel, below: float) -> DataFrame:
-    """Rows that score under ``below``, with all their columns; no shuffle."""
+    """Rows that score under ``below``, with all their columns; no shuffle. Null and empty texts stay if an empty text scores so low."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return keep_rows(docs, lambda data, offsets: shared.value.scores(shared.value.strongest(data, offsets)) < below)
+    return keep_rows(docs, lambda data, offsets: shared.value.scores(data, offsets) < below)
