@@ -219,6 +219,23 @@ def test_flac_round_trip_and_damage(spark):
         assert got[i].payload == flac.payload(raw) and got[i].n_bytes == len(raw)
         samples = np.frombuffer(got[i].payload, np.uint8).astype(int) - 128
         assert flac.read_samples(got[i].media, 10, 4200).tolist() == samples[10:4210].tolist()
+    kinds = set()
+    for r in got.values():
+        total, _, points, base = flac.parse_stream(r.media)
+        for _, offset, _ in points:
+            size = flac._parse_header(r.media, base + offset)[2]
+            kinds.add(r.media[base + offset + size] >> 1 & 63)
+        bare = r.media[:4] + bytes([0x80]) + r.media[5:42] + r.media[base:]  # without the seek table
+        assert flac.decode_streams([bare]) == [r.payload] and flac.parse_stream(bare)[2] == points
+    assert 31 + flac.TAPS in kinds and 0 in kinds
+    stored = flac.store_media(frame(spark, [(i, t) for i, t in rows if i is not None]))
+    found = {}
+    for r in flac.pcm_blocks(stored).collect():
+        found.setdefault(r.doc_id, {})[r.sample] = bytes(r.pcm)
+    for i, t in rows:
+        blocks = sorted(found[i].items())
+        assert b"".join(b for _, b in blocks) == flac.payload((t or "").encode())
+        assert [k for k, _ in blocks] == list(np.cumsum([0, *(len(b) for _, b in blocks)])[:-1])
     bad = bytearray(got[53].media)
     bad[-40] ^= 4
     with pytest.raises(ValueError):
@@ -237,6 +254,11 @@ def test_flac_linear_predictor():
     frame_ = head + bytes([flac.crc8(head)]) + int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
     data = np.frombuffer(frame_, np.uint8)
     frame_ += int(flac.crc16(data, np.array([0]), np.array([len(data)]))[0]).to_bytes(2, "big")
+    for reserved in (2, 7, 13, 31):
+        broken = frame_[: 8 + 0] + bytes([reserved << 1]) + frame_[9:-2]
+        broken += int(flac.crc16(np.frombuffer(broken, np.uint8), np.array([0]), np.array([len(broken)]))[0]).to_bytes(2, "big")
+        with pytest.raises(ValueError):
+            flac.decode_frames(broken, [(0, len(broken), len(x))])
     coefficients_fit = flac.decode_frames(frame_, [(0, len(frame_), len(x))])[0].tolist()
     assert coefficients_fit == x
 

@@ -16,6 +16,8 @@ from .bytescan import text_bytes
 BLOCK, RATE, STEP_BYTES = 4096, 8000, 1 << 19
 #: A text's payload is filled up with zero bytes to a positive multiple of this.
 PAD = 64
+#: Order of the linear predictors that the encoder tries, and bits of their quantised coefficients.
+TAPS, PRECISION = 4, 10
 
 
 def _crc_table(width: int, poly: int) -> np.ndarray:
@@ -77,6 +79,34 @@ def _residuals(x: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _linear(x: np.ndarray, place: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(coefficients, shift, residuals) of a linear predictor of TAPS taps for every frame, by its autocorrelation.
+
+    Levinson's recursion runs over all frames at once; coefficients are rounded to PRECISION bits and the residuals are
+    those of the rounded ones. The first TAPS samples of a frame keep their values.
+    """
+    y = x.astype(float)
+    lags = []
+    for lag in range(TAPS + 1):
+        product = y * y if not lag else np.concatenate([np.zeros(min(lag, len(y))), y[lag:] * y[:-lag]]) * (place >= lag)
+        lags.append(np.add.reduceat(product, begin))
+    error, a = lags[0] * (1 + 1e-9) + 1e-9, np.zeros((TAPS, len(begin)))
+    for i in range(TAPS):
+        k = (lags[i + 1] - sum((a[j] * lags[i - j] for j in range(i)), np.zeros(len(begin)))) / error
+        old = a[:i].copy()
+        a[i] = k
+        for j in range(i):
+            a[j] = old[j] - k * old[i - 1 - j]
+        error = np.maximum(error * (1 - k * k), 1e-9)
+    shift = np.clip(PRECISION - 2 - np.floor(np.log2(np.maximum(np.abs(a).max(0), 1e-3))).astype(np.int64), 0, 15)
+    top = (1 << (PRECISION - 1)) - 1
+    taps = np.clip(np.rint(a * 2.0**shift), -top - 1, top).astype(np.int32)
+    guess = np.zeros(len(x), np.int32)
+    for j in range(TAPS):
+        guess[j + 1 :] += np.repeat(taps[j], length)[j + 1 :] * x[: -j - 1]
+    return taps, shift, np.where(place >= TAPS, x - (guess >> np.repeat(shift.astype(np.int32), length)), x)
+
+
 def _put(bits: np.ndarray, at: np.ndarray, value: np.ndarray, width: np.ndarray | int) -> None:
     """Write the lower ``width`` bits of each value, highest first, at bit ``at``."""
     width = np.broadcast_to(width, at.shape)
@@ -92,7 +122,7 @@ def encode_streams(payloads: list[bytes], block: int = BLOCK, rate: int = RATE)
     """A FLAC stream for each payload, its bytes as unsigned samples moved to -128..127 (8 bits, one channel).
 
     Frames hold ``block`` samples (the last one the rest) and use the cheapest of a constant, the fixed predictors of
-    order 0 to 4 with one Rice parameter, and verbatim samples. STREAMINFO has the samples' MD5, and a SEEKTABLE has
+    order 0 to 4, a linear predictor of TAPS taps, each with one Rice parameter, and verbatim samples. STREAMINFO has the samples' MD5, and a SEEKTABLE has
     the sample number and byte offset of every frame.
     """
     if not payloads:
@@ -107,11 +137,17 @@ def encode_streams(payloads: list[bytes], block: int = BLOCK, rate: int = RATE)
     place = (np.arange(len(raw)) - np.repeat(begin, length)).astype(np.int32)
     x = raw.astype(np.int32) - 128
 
-    residuals = _residuals(x, place)
-    cost = np.stack([np.add.reduceat(np.abs(r), begin, dtype=np.int64) for r in residuals])
-    cost += np.where(length[None, :] > np.arange(5)[:, None], 0, 1 << 40)
-    order = cost.argmin(0)
-    folded = residuals[0] if not order.any() else np.choose(np.repeat(order.astype(np.int8), length), residuals)
+    taps, tap_shift, linear = _linear(x, place, begin, length)
+    residuals = [*_residuals(x, place), linear]
+    cost = np.stack([np.add.reduceat(np.abs(r), begin, dtype=np.int64) for r in residuals]).astype(float)
+    # bits, about: what Rice codes of the mean cost, and the predictor's own
+    cost = length * np.log2(1 + cost / length) + 8.0 * np.array([0, 1, 2, 3, 4, TAPS])[:, None]
+    cost[5] += 9 + TAPS * PRECISION
+    cost[length[None, :] <= np.array([0, 1, 2, 3, 4, TAPS])[:, None]] = np.inf
+    which = cost.argmin(0)
+    lpc = which == 5
+    order = np.where(lpc, TAPS, which)
+    folded = np.choose(np.repeat(which.astype(np.int8), length), residuals)
     folded = (folded << 1) ^ (folded >> 31)
     coded = place >= np.repeat(order.astype(np.int32), length)
     folded[~coded] = 0
@@ -119,7 +155,7 @@ def encode_streams(payloads: list[bytes], block: int = BLOCK, rate: int = RATE)
     near = np.clip(np.log2(np.maximum(mean, 1)).astype(np.int64), 0, 7)
     rice = [np.add.reduceat(folded >> np.repeat(c.astype(np.int8), length), begin, dtype=np.int64) + (length - order) * (1 + c) for c in (near, near + 1, np.maximum(near - 1, 0))]
     k = np.choose(np.argmin(rice, axis=0), (near, near + 1, np.maximum(near - 1, 0)))
-    rice_bits = np.min(rice, axis=0) + 8 * order + 10
+    rice_bits = np.min(rice, axis=0) + 8 * order + 10 + lpc * (9 + TAPS * PRECISION)
     kind = np.where(rice_bits < 8 * length, 2, 1)
     first = x[begin]
     kind = np.where(np.maximum.reduceat(np.where(x == np.repeat(first, length), 0, 1), begin) == 0, 0, kind)
@@ -135,13 +171,19 @@ def encode_streams(payloads: list[bytes], block: int = BLOCK, rate: int = RATE)
     frame_at = np.concatenate([[0], np.cumsum(frame_size)])
     bits = np.zeros(int(frame_at[-1]) * 8, np.uint8)
     start = (frame_at[:-1] + head_size) * 8
-    _put(bits, start, np.where(kind == 0, 0, np.where(kind == 1, 2, 2 * (8 + order))), 8)
+    _put(bits, start, np.where(kind == 0, 0, np.where(kind == 1, 2, np.where(lpc, 2 * (31 + TAPS), 2 * (8 + order)))), 8)
     _put(bits, start[kind == 0] + 8, first[kind == 0] & 255, 8)
     of = np.repeat(np.arange(len(kind)), length)
     plain = (kind[of] == 1) | ((kind[of] == 2) & ~coded)
     _put(bits, start[of[plain]] + 8 + 8 * place[plain], x[plain] & 255, 8)
     riced = kind == 2
     at = start + 8 + 8 * order
+    own = riced & lpc
+    _put(bits, at[own], np.full(int(own.sum()), PRECISION - 1), 4)
+    _put(bits, at[own] + 4, tap_shift[own], 5)
+    for j in range(TAPS):
+        _put(bits, at[own] + 9 + j * PRECISION, taps[j][own] & ((1 << PRECISION) - 1), PRECISION)
+    at = at + lpc * (9 + TAPS * PRECISION)
     _put(bits, at[riced], k[riced], 10)  # method 0, partition order 0, four bits of parameter
     for kk in np.unique(k[riced]).tolist():
         chosen = riced & (k == kk)
@@ -240,6 +282,8 @@ def parse_stream(raw: bytes) -> tuple[int, bytes, list[tuple[int, int, int]], in
             table = np.frombuffer(body, [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
             points = [(int(a), int(b), int(c)) for a, b, c in table.tolist() if a != (1 << 64) - 1]
         at += 4 + size
+    if sum(p[2] for p in points) != total and at < len(raw):
+        points = scan_frames(raw, at)
     return total, md5, points, at
 
 
@@ -256,6 +300,59 @@ def _unpredict(residual: np.ndarray, warm: np.ndarray, order: int) -> np.ndarray
     return x
 
 
+def _unpredict_linear(frames: list[tuple], residual: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Samples of frames (number, warm-up samples, (taps, shift)) from their residuals; frames of one order go sample by sample together."""
+    out = {}
+    for order in {len(warm) for _, warm, _ in frames}:
+        some = sorted((f for f in frames if len(f[1]) == order), key=lambda f: -len(residual[f[0]]))
+        count = np.array([len(residual[f[0]]) for f in some], np.int64)
+        x = np.zeros((order + int(count[0]), len(some)), np.int64)
+        for j, (i, warm, _) in enumerate(some):
+            x[:order, j] = warm
+            x[order : order + count[j], j] = residual[i]
+        taps = np.array([f[2][0] for f in some], np.int64).T
+        shift = np.array([f[2][1] for f in some], np.int64)
+        left, right = np.maximum(-shift, 0), np.maximum(shift, 0)
+        live = np.searchsorted(-count, -np.arange(int(count[0])), "left").tolist()
+        for t, m in enumerate(live):
+            guess = taps[0, :m] * x[order + t - 1, :m]
+            for j in range(1, order):
+                guess += taps[j, :m] * x[order + t - 1 - j, :m]
+            x[order + t, :m] += (guess << left[:m]) >> right[:m]
+        for j, (i, *_) in enumerate(some):
+            out[i] = x[: order + count[j], j].copy()
+    return out
+
+
+def scan_frames(raw: bytes, first: int) -> list[tuple[int, int, int]]:
+    """Seek points of a stream without a whole seek table: frames that follow one another with right numbers and checksums."""
+    data, points, sample, begin = np.frombuffer(raw, np.uint8), [], 0, first
+    starts = first + np.flatnonzero((data[first:-1] == 0xFF) & (data[first + 1 :] == 0xF8))
+    for at in [*starts.tolist(), len(raw)]:
+        if at == begin and at < len(raw):
+            _, n, _ = _parse_header(raw, at)
+            continue
+        if at <= begin:
+            continue
+        if at < len(raw):
+            try:
+                number, following, _ = _parse_header(raw, at)
+            except (ValueError, IndexError):
+                continue
+            if number != len(points) + 1:
+                continue
+        total = int(crc16(data, np.array([begin]), np.array([at - 2]))[0])
+        if total != int.from_bytes(raw[at - 2 : at], "big"):
+            continue
+        points.append((sample, begin - first, n))
+        sample, begin = sample + n, at
+        if at < len(raw):
+            n = following
+    if begin != len(raw):
+        raise ValueError("frames do not follow one another to the stream's end")
+    return points
+
+
 def decode_frames(raw: bytes, frames: list[tuple[int, int, int]]) -> list[np.ndarray]:
     """Samples of each frame (first byte, byte after the frame, samples); CRC-16 and CRC-8 of all are verified.
 
@@ -280,6 +377,8 @@ def decode_frames(raw: bytes, frames: list[tuple[int, int, int]]) -> list[np.nda
             raise ValueError("a frame holds another number of samples than the seek table says")
         at = (b + head - low) * 8
         kind, wasted = raw[b + head] >> 1 & 63, raw[b + head] & 1
+        if raw[b + head] >> 7 or 2 <= kind < 8 or 12 < kind < 32:
+            raise ValueError("a subframe is of a reserved type")
         at += 8
         if wasted:
             wasted = int(ones[np.searchsorted(ones, at)]) - at + 1
@@ -305,23 +404,18 @@ def decode_frames(raw: bytes, frames: list[tuple[int, int, int]]) -> list[np.nda
         parts.append([i, at + 6, 4 if method == 0 else 5, split, order])
     residual = _rice(bits, ones, parts, samples)
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(frames)
+    predicted = [(i, _signed(_numbers(bits, at + np.arange(order) * width, width), width), coefficients) for i, what, at, width, _, order, coefficients in plans if what == "linear"]
+    linear = _unpredict_linear(predicted, residual)
     for i, what, at, width, wasted, order, coefficients in plans:
         n = int(samples[i])
         if what == "constant":
             x = np.repeat(_signed(_numbers(bits, np.array([at]), width), width), n)
         elif what == "verbatim":
             x = _signed(_numbers(bits, at + np.arange(n) * width, width), width)
+        elif what == "linear":
+            x = linear[i]
         else:
-            warm = _signed(_numbers(bits, at + np.arange(order) * width, width), width)
-            if what == "fixed":
-                x = _unpredict(residual[i], warm, order)
-            else:
-                x = np.concatenate([warm, residual[i]])
-                taps, shift = coefficients[0].tolist(), coefficients[1]
-                values = x.tolist()
-                for t in range(order, n):
-                    values[t] += sum(c * values[t - 1 - j] for j, c in enumerate(taps)) >> shift
-                x = np.array(values, np.int64)
+            x = _unpredict(residual[i], _signed(_numbers(bits, at + np.arange(order) * width, width), width), order)
         out[i] = x << wasted
     return out
 
@@ -372,7 +466,7 @@ def _rice(bits: np.ndarray, ones: np.ndarray, parts: list[list[int]], samples: n
 
 
 def decode_streams(streams: list[bytes]) -> list[bytes]:
-    """Payload bytes of each stream that has a seek point for every frame; checksums, lengths and MD5 are verified."""
+    """Payload bytes of each stream; checksums, lengths and MD5 are verified. Streams without a seek point for every frame are scanned."""
     raw, frames, shape = b"".join(streams), [], []
     base = 0
     for s in streams:
@@ -429,7 +523,10 @@ def store_media(docs: DataFrame) -> DataFrame:
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """``stored(doc_id, n_bytes, media)`` with the decoded ``payload`` and ``feature``: samples, mean, level and sign changes of the PCM."""
+    """``stored(doc_id, n_bytes, media)`` with the decoded ``payload`` and ``feature``: samples, sum, level and sign changes of the PCM.
+
+    Ids are carried as they are, null or repeated; a null ``media`` fails, as a damaged one does. An empty table gives an empty result.
+    """
 
     def feature(x: bytes) -> str:
         s = np.frombuffer(x, np.uint8).astype(np.int64) - 128
@@ -458,8 +555,22 @@ def read_samples(media: bytes, first: int, count: int) -> np.ndarray:
     return np.concatenate(blocks)[first - need[0][0][0] : stop - need[0][0][0]]
 
 
-def pcm_blocks(stored: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, sample, pcm): PCM in blocks of ``block`` samples, each with the number of its first sample, to seek by."""
-    read = read_media(stored).select("doc_id", "payload")
-    begin = F.explode(F.sequence(F.lit(0), F.octet_length("payload") - 1, F.lit(block))).alias("sample")
-    return read.select("doc_id", "payload", begin).select("doc_id", F.col("sample").cast("long").alias("sample"), F.substring(F.col("payload"), F.col("sample") + 1, F.lit(block)).alias("pcm"))
+def pcm_blocks(stored: DataFrame) -> DataFrame:
+    """(doc_id, sample, pcm): the PCM of ``stored(doc_id, media)``, a block a frame, each with the number of its first sample to seek by.
+
+    Checksums are verified. Null ids stay null, equal ids keep their streams' blocks apart only by order; an empty table gives none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, media in enumerate(batch.column(1).to_pylist()):
+                total, _, points, base = parse_stream(media)
+                ends = [p[1] for p in points[1:]] + [len(media) - base]
+                for a in range(0, len(points), STEP_BYTES // BLOCK):
+                    part = points[a : a + STEP_BYTES // BLOCK]
+                    blocks = decode_frames(media, [(base + p[1], base + e, p[2]) for p, e in zip(part, ends[a:])])
+                    pcm = [(x.astype(np.int8).view(np.uint8) ^ 128).tobytes() for x in blocks]
+                    own = pa.array(np.full(len(part), i))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(own), pa.array([p[0] for p in part], pa.int64()), pa.array(pcm, pa.binary())], ["doc_id", "sample", "pcm"])
+
+    return stored.select("doc_id", "media").mapInArrow(run, "doc_id long, sample long, pcm binary")
