@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
 from ..plans.storage import materialize
-from .bytescan import text_chunks
+from .bytescan import LOWER, SPACE, gram_hashes, mix, text_chunks, word_hashes, word_spans
+from .idset import prefilter
+
+#: Near copies: words of a shingle, least Jaccard similarity, fingerprints of words, and bits in which two texts'
+#: fingerprints of shingles may differ before they are compared exactly.
+COPY_WORDS, SIMILAR, WORD_PRINTS, LOOSE_BITS = 5, 0.8, 3, 20
+#: Groups of so many texts are compared in all pairs; larger ones with one central text after another, so many times.
+ALL_PAIRS, CENTRES = 64, 8
 
 #: Variants that one numpy step may hold; larger groups are cut by further bits of the variant.
 STEP_VARIANTS = 2_000_000
@@ -63,9 +70,9 @@ def _masks(bits: int, radius: int) -> list[int]:
 
 
 def _collide(low: np.ndarray, who: np.ndarray, left: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (first of a bucket, another of it) over all variants of the lower ``bits`` bits.
+    """Index pairs (first of a bucket, another of it), and neighbours in a bucket, over all variants of the lower ``bits`` bits.
 
-    ``left`` is how many flips each fingerprint has left. Buckets get one star each, never all pairs.
+    ``left`` is how many flips each fingerprint has left. Buckets get a star and a chain each, never all pairs.
     """
     sizes = np.array([sum(math.comb(bits, i) for i in range(r + 1)) for r in range(int(left.max(initial=0)) + 1)])
     if len(low) < 2:
@@ -87,21 +94,27 @@ def _collide(low: np.ndarray, who: np.ndarray, left: np.ndarray, bits: int) -> I
     v, w = np.concatenate(variants), np.concatenate(owners)
     order = np.argsort(v, kind="stable")
     v, w = v[order], w[order]
+    same = np.flatnonzero(v[1:] == v[:-1]) + 1
     begins = np.concatenate([[True], v[1:] != v[:-1]])
-    head = w[np.maximum.accumulate(np.where(begins, np.arange(len(v)), 0))]
-    pair = head != w
-    yield head[pair], w[pair]
+    head = np.maximum.accumulate(np.where(begins, np.arange(len(v)), 0))[same]
+    yield w[head], w[same]
+    chain = head != same - 1
+    yield w[same[chain] - 1], w[same[chain]]
+
 
+def _link_group(fps: np.ndarray, prefix: int, top_bits: int, radius: int, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A forest over the fingerprints that share a variant with this prefix: (fingerprint, its group's first), by number.
 
-def _link_group(fps: np.ndarray, prefix: int, top_bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest over the fingerprints that share a variant with this prefix: (fingerprint, its group's least)."""
-    fps = np.unique(fps)
+    ``check``: further fingerprints, of which linked ones may differ in LOOSE_BITS bits.
+    """
     bits = 64 - top_bits
     left = radius // 2 - np.bitwise_count((fps >> np.uint64(bits)).astype(np.int64) ^ prefix).astype(np.int64)
     label = np.arange(len(fps))
     seen = [np.zeros(0, np.int64)]
     for a, b in _collide(fps & np.uint64((1 << bits) - 1), np.arange(len(fps)), left, bits):
-        near = np.bitwise_count(fps[a] ^ fps[b]) <= radius
+        near = (np.bitwise_count(fps[a] ^ fps[b]) <= radius) & (a != b)
+        if check is not None:
+            near &= np.bitwise_count(check[a] ^ check[b]) <= LOOSE_BITS
         seen.append(np.unique(np.minimum(a, b)[near] * len(fps) + np.maximum(a, b)[near]))
     pairs = np.unique(np.concatenate(seen))
     a, b = pairs // max(len(fps), 1), pairs % max(len(fps), 1)
@@ -114,8 +127,19 @@ def _link_group(fps: np.ndarray, prefix: int, top_bits: int, radius: int) -> tup
             label = label[label]
         if (label == before).all():
             break
-    moved = label != np.arange(len(fps))
-    return fps[moved], fps[label[moved]]
+    moved = np.flatnonzero(label != np.arange(len(fps)))
+    return moved, label[moved]
+
+
+def _sent(fps: DataFrame, radius: int, bits: int) -> DataFrame:
+    """``fps`` once for each ``bits``-bit ``prefix`` that a variant of its ``fp`` within half the radius has."""
+    masks = F.array(*[F.lit(m) for m in _masks(bits, radius // 2)])
+    prefix = F.shiftrightunsigned("fp", 64 - bits).cast("long").bitwiseXOR(F.col("mask")).alias("prefix")
+    return fps.select("*", F.explode(masks).alias("mask")).select(prefix, *fps.columns)
+
+
+def _prefix_bits(n: int) -> int:
+    return max(10, math.ceil(math.log2(max(2, n) / 256)))
 
 
 def ball_links(fps: DataFrame, radius: int = 4, prefix_bits: int | None = None) -> DataFrame:
@@ -130,15 +154,14 @@ def ball_links(fps: DataFrame, radius: int = 4, prefix_bits: int | None = None)
     """
     if radius % 2 or not 2 <= radius <= 6:
         raise ValueError("radius must be 2, 4 or 6")
-    bits = prefix_bits or max(10, math.ceil(math.log2(max(2, fps.count()) / 256)))
-    masks = F.array(*[F.lit(m) for m in _masks(bits, radius // 2)])
-    sent = fps.select("fp", F.explode(masks).alias("mask")).select((F.shiftrightunsigned("fp", 64 - bits).cast("long").bitwiseXOR(F.col("mask"))).alias("prefix"), "fp")
+    bits = prefix_bits or _prefix_bits(fps.count())
 
     def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = _link_group(rows["fp"].to_numpy().view(np.uint64), int(key[0]), bits, radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        fps = np.unique(rows["fp"].to_numpy().view(np.uint64))
+        a, b = _link_group(fps, int(key[0]), bits, radius)
+        return pd.DataFrame({"a": fps[a].view(np.int64), "b": fps[b].view(np.int64)})
 
-    return sent.groupBy("prefix").applyInPandas(link, "a long, b long").distinct()
+    return _sent(fps.select("fp"), radius, bits).groupBy("prefix").applyInPandas(link, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -154,16 +177,164 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = connected_components(ball_links(distinct.select("fp"), radius))
     placed = distinct.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     placed = materialize(placed, "simhash-class")
-    named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.join(placed.select("fp", "component"), "fp").join(named, "component").select("doc_id", "fp", "component_id")
+    named = materialize(placed.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-name")
+    placed = materialize(placed.join(named, "component").select("fp", "component_id"), "simhash-id")
+    return marked.join(placed, "fp").select("doc_id", "fp", "component_id")
+
+
+def _votes(hashes: np.ndarray, weight: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprint of each of ``n`` owners: a bit is set where the weights of its hashes with that bit are more than half."""
+    votes = np.zeros((n, 64), np.float32)
+    for i in range(0, len(hashes), 1 << 14):
+        part = slice(i, i + (1 << 14))
+        bits = np.unpackbits(hashes[part].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+        new = np.flatnonzero(np.concatenate([[True], owner[part][1:] != owner[part][:-1]]))
+        votes[owner[part][new]] += np.add.reduceat((2 * bits - 1) * weight[part, None].astype(np.float32), new, axis=0)
+    return np.packbits(votes > 0, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def keep_representatives(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """One row of each component of :func:`near_duplicates`: that of the smallest doc_id, with all its columns.
+def _shingles(words: np.ndarray, first: int, last: int, grams: np.ndarray) -> np.ndarray:
+    """Distinct hashes of the COPY_WORDS-word shingles of one text; fewer words are one shingle, none are none."""
+    if last - first >= COPY_WORDS:
+        return np.unique(grams[first : last - COPY_WORDS + 1])
+    return gram_hashes(words[first:last], last - first) if last > first else np.zeros(0, np.uint64)
 
-    Of rows that repeat with one id and text one stays. Rows with a null id cannot be told apart by id and all stay.
+
+def copy_prints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """WORD_PRINTS SimHashes of each text's words (weights: square roots of their numbers), and one of its shingles.
+
+    A-Z is lower-cased. Of texts with a similarity of 0.8 on five-word shingles, few words differ, so the words' prints
+    differ in 3 bits or so where the shingles' differ in 10.
     """
-    found = near_duplicates(docs, shingle=shingle, radius=radius)
-    named = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(docs.columns).union(docs.filter("doc_id is null"))
+    starts, ends, firsts = word_spans(data, offsets, ~SPACE)
+    words = word_hashes(LOWER[data], starts, ends)
+    n = len(offsets) - 1
+    owner = np.repeat(np.arange(n), np.diff(firsts))
+    grams = gram_hashes(words, COPY_WORDS)
+    inside = owner[: len(grams)] == owner[COPY_WORDS - 1 :] if len(grams) else np.zeros(0, bool)
+    check = _votes(grams[inside], np.ones(int(inside.sum())), owner[: len(grams)][inside], n)
+    order = np.lexsort((words, owner))
+    words, owner = words[order], owner[order]
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(words)), bool), (owner[1:] != owner[:-1]) | (words[1:] != words[:-1])]))
+    weight = np.sqrt(np.diff(np.append(new, len(words))))
+    prints = [_votes(mix(words[new] ^ np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), weight, owner[new], n) for i in range(WORD_PRINTS)]
+    return np.stack([*prints, check], 1)
+
+
+def _copy_candidates(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) between ``nodes(node, p0, p1, ..., check)``: ball hashing of each word print, held against the shingles' print."""
+    bits, links = _prefix_bits(nodes.count()), None
+
+    def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        node = rows["node"].to_numpy()
+        a, b = _link_group(rows["fp"].to_numpy().view(np.uint64), int(key[0]), bits, 4, rows["check"].to_numpy().view(np.uint64))
+        return pd.DataFrame({"a": node[a], "b": node[b]})
+
+    for i in range(WORD_PRINTS):
+        found = _sent(nodes.select(F.col(f"p{i}").alias("fp"), "node", "check"), 4, bits).groupBy("prefix").applyInPandas(link, "a long, b long")
+        links = found if links is None else links.union(found)
+    return links.distinct()
+
+
+def _shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, component, size, check, shingles) of ``members(node, pick, component, size, check)``, from one row of ``docs(pick, text)`` each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in text_chunks(batches):
+            starts, ends, firsts = word_spans(data, offsets, ~SPACE)
+            words = word_hashes(LOWER[data], starts, ends)
+            grams = gram_hashes(words, COPY_WORDS)
+            sets = [_shingles(words, a, b, grams) for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist())]
+            ends_of = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends_of), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("node", "component", "size", "check")), lists], ["node", "component", "size", "check", "shingles"])
+
+    rows = prefilter(docs, members.select("pick"), "pick").dropDuplicates(["pick"])
+    return rows.join(members, "pick").select("node", "component", "size", "check", "text").mapInArrow(run, "node long, component long, size long, check long, shingles array<long>")
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, True))
+    return both >= SIMILAR * (len(a) + len(b) - both)
+
+
+def _verified(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) between texts of one candidate group whose shingles have a Jaccard similarity of SIMILAR or more.
+
+    Groups of up to ALL_PAIRS texts are compared in all pairs. In larger ones each text is compared with a central one: that
+    whose print of shingles is nearest to the majority of the group's. Those that are not alike are a group of their own in
+    the next of CENTRES rounds; what is left after them stays unlinked.
+    """
+
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        node, own = rows["node"].to_numpy(), [np.sort(x) for x in rows["shingles"]]
+        found = [(node[i], node[j]) for i in range(len(node)) for j in range(i) if _alike(own[i], own[j])]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, other = batch.column("shingles"), batch.column("centre_shingles")
+            alike = [_alike(np.sort(own[i].values.to_numpy()), np.sort(other[i].values.to_numpy())) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("centre"), pa.array(alike, pa.bool_())], ["a", "b", "alike"])
+
+    edges = sets.filter(F.col("size") <= ALL_PAIRS).groupBy("component").applyInPandas(pairs, "a long, b long")
+    left = sets.filter(F.col("size") > ALL_PAIRS)
+    for _ in range(CENTRES):
+        if not left.limit(1).count():
+            break
+        bits = [F.sum(F.shiftright("check", i).bitwiseAND(F.lit(1)) * 2 - 1) > 0 for i in range(64)]
+        majority = left.groupBy("component").agg(*[b.alias(f"b{i}") for i, b in enumerate(bits)])
+        value = sum((F.when(F.col(f"b{i}"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i in range(64)), F.lit(0))
+        majority = materialize(majority.select("component", value.alias("most")), "copy-majority")
+        apart = F.bit_count(F.col("check").bitwiseXOR(F.col("most")))
+        centre = left.select("component", "node", "check").join(majority, "component").groupBy("component").agg(F.min(F.struct(apart.alias("apart"), "node")).alias("best"))
+        centre = materialize(centre.select("component", F.col("best.node").alias("node")), "copy-centre")
+        centre = centre.join(left.select("component", "node", F.col("shingles").alias("centre_shingles")), ["component", "node"])
+        centre = materialize(centre.select("component", F.col("node").alias("centre"), "centre_shingles"), "copy-centre-set")
+        found = left.join(centre, "component").filter("node <> centre").select("node", "shingles", "centre", "centre_shingles")
+        found = materialize(found.mapInArrow(compare, "a long, b long, alike boolean"), "copy-compared")
+        edges = edges.union(found.filter("alike").select("a", "b"))
+        left = materialize(left.join(found.filter("not alike").select(F.col("a").alias("node")), "node", "left_semi"), "copy-left")
+    return edges
+
+
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies, with all its columns: that of the smallest doc_id.
+
+    Texts are near copies if their sets of COPY_WORDS-word shingles (A-Z lower-cased) have a Jaccard similarity of SIMILAR or
+    more; groups are linked texts. Candidates are texts of which one of WORD_PRINTS SimHashes of words differs in at most
+    4 bits, found by ball hashing, and every link is verified on the texts' shingles. Equal texts (told apart by 64-bit
+    hashes) are one text from the start, so a group of copies of any size is one row in all later steps.
+
+    Null and empty texts are equal, and one row of them stays. Rows that repeat with one id and text count once. Rows with
+    a null id take part and stay only where a group has no other. An empty table gives an empty result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in text_chunks(batches):
+            prints = copy_prints(data, offsets).view(np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("node"), *(pa.array(np.ascontiguousarray(p)) for p in prints.T)], names)
+
+    prints = [*(f"p{i}" for i in range(WORD_PRINTS)), "check"]
+    names = ["doc_id", "node", *prints]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("node"))
+    marked = materialize(own.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "copy-prints")
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.min(p).alias(p) for p in prints))
+    nodes = materialize(nodes.withColumn("pick", F.xxhash64("node", "least")), "copy-nodes")
+    classes = connected_components(_copy_candidates(nodes)).withColumnRenamed("component", "candidate")
+    size = materialize(classes.groupBy("candidate").agg(F.count("*").alias("size")), "copy-sizes")
+    members = classes.join(size, "candidate").withColumnRenamed("candidate", "component").join(nodes.select("node", "pick", "check"), "node")
+    members = materialize(members, "copy-members")
+    sets = materialize(_shingle_sets(own.select("text", F.xxhash64("node", "doc_id").alias("pick")), members), "copy-shingles")
+    groups = connected_components(_verified(sets))
+    placed = nodes.select("node", "least").join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node"))
+    kept = materialize(placed.groupBy("component").agg(first.alias("k")).select(F.col("k.least").alias("_id"), F.col("k.node").alias("_node")), "copy-kept")
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_node")), "left_semi")
+    if marked.groupBy("doc_id", "node").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        joined = joined.withColumn("_node", F.xxhash64(text)).dropDuplicates(["doc_id", "_node"]).drop("_node")
+    return joined.select(docs.columns)
