@@ -1,6 +1,7 @@
 """A training corpus from the table of documents: score, filter, deduplicate twice, pack.
 
-Each stage takes what its predecessor kept, as a Parquet table in the shared folder, and returns a DataFrame.
+Each stage takes what its predecessor kept, as a Parquet table in the shared folder, and returns a DataFrame. Null texts
+count as empty ones; ids may be null or repeat; extra columns are carried; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,34 +21,40 @@ LEAST_QUALITY, TOXIC = 0.5, 0.5
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled quality classifier accepts."""
+    """Documents that the positive-unlabelled quality classifier accepts; each row is judged by its text alone."""
     small_batches(spark)
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_quality(docs, model, LEAST_QUALITY)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the class-conditional Kneser-Ney models do not call toxic."""
+    """Documents that the class-conditional Kneser-Ney models do not call toxic; each row is judged by its text alone."""
     small_batches(spark)
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_ordinary(docs, model, TOXIC)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash links."""
+    """One document of each group of texts that are alike in 0.8 or more of their five-word shingles, found by SimHash.
+
+    Equal texts, empty ones among them, are such a group; rows with a null id stay only where a group has no other.
+    """
     small_batches(spark)
-    return simhash.keep_representatives(docs, shingle=4, radius=4)
+    return simhash.keep_representatives(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 50 words and more that occur in an earlier place; emptied ones go."""
+    """Documents without the passages of 50 words and more that occur in an earlier place; those emptied by it go.
+
+    Rows are told apart by id and text; null and empty texts stay as they are.
+    """
     small_batches(spark)
     cut = suffixdedup.cut_later(docs, suffixdedup.repeated_passages(docs))
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens, with their ids."""
+    """Pieces of the documents in sequences of 2048 tokens, with their ids; a null or empty text is the end id alone."""
     small_batches(spark)
     import public_tokenizers
 
