@@ -31,7 +31,7 @@ def token_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, row = encoder(tokenizer), TaskContext.get().partitionId() << 36
-        for rows, data, offsets in text_chunks(batches, limit=1 << 20):
+        for rows, data, offsets in text_chunks(batches, limit=1 << 19):
             ids, firsts = coder.encode(data, offsets, end_id)
             n = len(firsts) - 1
             flat = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((firsts * coder.dtype.itemsize).astype(np.int32)), pa.py_buffer(ids)])

@@ -40,7 +40,7 @@ def write_token_stream(docs: DataFrame, tokenizer: str, end_id: int, block_token
                 [pa.array([kind] * n, pa.string()), pa.array([file_id] * n, pa.int64()), pa.array(numbers, pa.int64()), ids, pa.array(tokens, pa.binary())], ["kind", "file_id", "no", "doc_id", "tokens"]
             )
 
-        for part, data, offsets in text_chunks(batches, limit=1 << 20):
+        for part, data, offsets in text_chunks(batches, limit=1 << 19):
             held += coder.encode(data, offsets, end_id)[0].tobytes()
             full = len(held) // width
             yield rows("block", list(range(block_no, block_no + full)), pa.nulls(full, pa.int64()), [held[i * width : (i + 1) * width] for i in range(full)])

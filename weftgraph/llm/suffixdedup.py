@@ -21,6 +21,8 @@ MIN_WORDS = 50
 GRAM = 8
 #: One position of each run of so many is retained at least; a window's own position is at most SPREAD - 1 words in.
 SPREAD = 25
+#: Suffixes that one row holds at most on their way from comparison to stretches.
+BUNDLE = 256
 #: Bits of the bitmap of repeated suffix beginnings (16 MB), whatever the corpus. A fuller one lets more suffixes through.
 BITMAP_BITS = 1 << 27
 
@@ -128,20 +130,37 @@ def compare_neighbours(run: np.ndarray, owner: np.ndarray, word: np.ndarray, has
     return mask[back], mask[back] - least
 
 
+_LISTS = ["row", "doc_id", "digest", "word", "mask", "later"]
+_BUNDLES = ", ".join(f"{c} array<long>" for c in _LISTS)
+
+
+def _bundles(columns: list[pa.Array], firsts: np.ndarray) -> list[pa.Array]:
+    """List columns whose row i has the values from firsts[i] to firsts[i + 1]."""
+    return [pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), c) for c in columns]
+
+
 def _compared(ordered: DataFrame) -> DataFrame:
-    """Each range of the sorted suffixes, compared: (row, doc_id, digest, word, mask, later) of suffixes with repeated windows.
+    """Each range of the sorted suffixes, compared: bundles of suffixes with repeated windows, and of what lies at its edges.
 
-    Suffixes that begin as a range's first or last one may go on in the next range. They come as they are, with the
-    number of the range as ``part``; the others have no ``hashes``.
+    Suffixes that begin as a range's first or last one may go on in the next range. Of those, the equal ones of a batch are
+    a row with their places, without masks, and with ``run``, ``hashes`` and the number of the range as ``part``; the
+    others have no ``hashes``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, edge, held = TaskContext.get().partitionId(), None, []
-        names = ["part", "run", "row", "doc_id", "digest", "word", "mask", "later", "hashes"]
-
-        def raw(rows: pa.RecordBatch) -> pa.RecordBatch:
-            none = pa.nulls(rows.num_rows, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, part)), *(rows.column(c) for c in ("run", "row", "doc_id", "digest", "word")), none, none, rows.column("hashes")], names)
+        names = ["part", "run", *_LISTS, "hashes"]
+        places = _LISTS[:4]
+
+        def raw(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for i in range(0, rows.num_rows, BUNDLE):
+                some = rows.slice(i, BUNDLE)
+                own, first, back = np.unique(some.column("run").to_numpy(), return_index=True, return_inverse=True)
+                order = pa.array(np.argsort(back, kind="stable"))
+                firsts = np.concatenate([[0], np.cumsum(np.bincount(back))])
+                none = pa.nulls(len(own), pa.list_(pa.int64()))
+                lists = _bundles([some.column(c).take(order) for c in places], firsts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part)), pa.array(own), *lists, none, none, some.column("hashes").take(pa.array(first))], names)
 
         def done(rows: pa.RecordBatch) -> pa.RecordBatch:
             row, word = rows.column("row").to_numpy(), rows.column("word").to_numpy()
@@ -149,9 +168,12 @@ def _compared(ordered: DataFrame) -> DataFrame:
             firsts = lists.offsets.to_numpy().astype(np.int64)
             owner = np.cumsum(np.concatenate([[0], (np.diff(row) != 0).astype(np.int64)]))
             mask, later = compare_neighbours(rows.column("run").to_numpy(), owner, word, lists.flatten().to_numpy(), firsts - firsts[0])
-            some = pa.array(np.flatnonzero(mask))
-            kept = [rows.column(c).take(some) for c in ("row", "doc_id", "digest", "word")]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), part)), pa.nulls(len(some), pa.int64()), *kept, pa.array(mask).take(some), pa.array(later).take(some), pa.nulls(len(some), pa.list_(pa.int64()))], names)
+            some = np.flatnonzero(mask)
+            take = pa.array(some)
+            firsts = np.append(np.arange(0, len(some), BUNDLE), len(some))
+            n = len(firsts) - 1
+            kept = _bundles([*(rows.column(c).take(take) for c in places), pa.array(mask[some]), pa.array(later[some])], firsts)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.nulls(n, pa.int64()), *kept, pa.nulls(n, pa.list_(pa.int64()))], names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -160,7 +182,7 @@ def _compared(ordered: DataFrame) -> DataFrame:
             edge = keys[0] if edge is None else edge
             begin = int(np.searchsorted(keys, edge, "right"))
             if begin:
-                yield raw(batch.slice(0, begin))
+                yield from raw(batch.slice(0, begin))
             if begin == batch.num_rows:
                 continue
             held.append(batch.slice(begin))
@@ -171,19 +193,19 @@ def _compared(ordered: DataFrame) -> DataFrame:
                 yield done(rows.slice(0, cut))
                 held = [rows.slice(cut)]
         for rows in held:
-            yield raw(rows)
+            yield from raw(rows)
 
-    return ordered.mapInArrow(run, "part long, run long, row long, doc_id long, digest long, word long, mask long, later long, hashes array<long>")
+    return ordered.mapInArrow(run, f"part long, run long, {_BUNDLES}, hashes array<long>")
 
 
 def _across(edges: DataFrame) -> DataFrame:
-    """(row, doc_id, digest, word, mask, later) of the suffixes at the ranges' edges.
+    """Bundles with masks of the suffixes at the ranges' edges.
 
-    What a range has of a run of equal suffixes is one row, so that a common passage, which fills many ranges, meets in
-    one row a range; windows are then compared by partial aggregates.
+    What a range has of a run of equal suffixes is one row for BUNDLE of them, so that a common passage, which fills many
+    ranges, meets in few rows a range; windows are then compared by partial aggregates.
     """
-    place = F.struct("doc_id", "row", "word")
-    runs = edges.groupBy("part", "run").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.min_by("hashes", place).alias("hashes"))
+    place = F.struct(F.expr("doc_id[0]").alias("doc_id"), F.expr("row[0]").alias("row"), F.expr("word[0]").alias("word"))
+    runs = edges.groupBy("part", "run").agg(F.sum(F.size("row")).alias("copies"), F.min(place).alias("first"), F.min_by("hashes", place).alias("hashes"))
     one = runs.select("part", "run", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row"), F.col("first.word").alias("word"), F.posexplode("hashes").alias("i", "h"))
     one = materialize(one.withColumn("q", F.col("word") + F.col("i")), "windows")
     at = F.struct("doc_id", "row", "q")
@@ -192,29 +214,33 @@ def _across(edges: DataFrame) -> DataFrame:
     masks = (
         one.join(windows, "h")
         .groupBy("part", "run")
-        .agg(F.bit_or(bit).alias("mask"), F.bit_or(F.when(at.eqNullSafe(F.col("least")), bit).otherwise(F.lit(0))).alias("own"), F.min(place).alias("first"))
+        .agg(F.bit_or(bit).alias("all"), F.bit_or(F.when(at.eqNullSafe(F.col("least")), bit).otherwise(F.lit(0))).alias("own"), F.min(F.struct("doc_id", "row", "word")).alias("first"))
     )
-    masks = materialize(masks, "masks")
-    own = F.when(F.col("first").eqNullSafe(place), F.col("own")).otherwise(F.lit(0))
-    return edges.select("part", "run", "row", "doc_id", "digest", "word").join(masks, ["part", "run"]).select("row", "doc_id", "digest", "word", "mask", (F.col("mask") - own).alias("later"))
+    found = edges.join(materialize(masks, "masks"), ["part", "run"])
+    every = F.array_repeat("all", F.size("row"))
+    later = F.when(F.col("first").eqNullSafe(place), F.concat(F.array(F.col("all") - F.col("own")), F.array_repeat("all", F.size("row") - 1))).otherwise(every)
+    return found.select(*_LISTS[:4], every.alias("mask"), later.alias("later"))
 
 
-def _stretches(marked: DataFrame, min_words: int) -> DataFrame:
+def _stretches(bundles: DataFrame, min_words: int) -> DataFrame:
     """(row, doc_id, digest, part, start_word, end_word) of each run of set bits of ``mask`` ('repeated') and ``later``: bit i is window word + i."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word = batch.column("word").to_numpy()
-            for part in ("mask", "later"):
-                bits = (batch.column(part).to_numpy()[:, None] >> np.arange(SPREAD + 1) & 1).astype(np.int8)
-                change = np.diff(bits, axis=1, prepend=0)
-                r, begin = np.nonzero(change > 0)
-                end = np.nonzero(change < 0)[1]
-                own = [batch.column(c).take(pa.array(r)) for c in ("row", "doc_id", "digest")]
-                label = pa.array(["repeated" if part == "mask" else "later"] * len(r), pa.string())
-                yield pa.RecordBatch.from_arrays([*own, label, pa.array(word[r] + begin), pa.array(word[r] + end - 1 + min_words)], ["row", "doc_id", "digest", "part", "start_word", "end_word"])
-
-    return marked.select("row", "doc_id", "digest", "word", "mask", "later").filter("mask <> 0").mapInArrow(run, "row long, doc_id long, digest long, part string, start_word long, end_word long")
+            flat = {c: batch.column(c).flatten() for c in _LISTS}
+            for first in range(0, len(flat["row"]), 1 << 14):
+                some = {c: x.slice(first, 1 << 14) for c, x in flat.items()}
+                word = some["word"].to_numpy()
+                for part in ("mask", "later"):
+                    bits = (some[part].to_numpy()[:, None] >> np.arange(SPREAD + 1) & 1).astype(np.int8)
+                    change = np.diff(bits, axis=1, prepend=0)
+                    r, begin = np.nonzero(change > 0)
+                    end = np.nonzero(change < 0)[1]
+                    own = [some[c].take(pa.array(r)) for c in _LISTS[:3]]
+                    label = pa.array(["repeated" if part == "mask" else "later"] * len(r), pa.string())
+                    yield pa.RecordBatch.from_arrays([*own, label, pa.array(word[r] + begin), pa.array(word[r] + end - 1 + min_words)], ["row", "doc_id", "digest", "part", "start_word", "end_word"])
+
+    return bundles.select(*_LISTS).mapInArrow(run, "row long, doc_id long, digest long, part string, start_word long, end_word long")
 
 
 def _united(stretches: DataFrame) -> DataFrame:
@@ -255,7 +281,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = materialize(_candidates(docs, shared, min_words), "suffixes")
     order = ["key", "doc_id", "row", "word"]
     compared = materialize(_compared(found.repartitionByRange(*order).sortWithinPartitions(*order)), "compared")
-    marked = compared.filter("hashes is null").select("row", "doc_id", "digest", "word", "mask", "later").union(_across(compared.filter("hashes is not null")))
+    marked = compared.filter("hashes is null").select(*_LISTS).union(_across(compared.filter("hashes is not null")))
     return _united(_stretches(marked, min_words))
 
 
