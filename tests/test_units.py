@@ -131,3 +131,28 @@ def test_stream_rewriting_equals_whole_text():
             new, held, last = rewrite_tokens(text[i : i + n], targets, held, last)
             out, i = out + new, i + n
         assert out + held == whole + tail
+
+
+def test_latest_graph_does_not_depend_on_order(spark):
+    """Late items and several patches of one id, in one batch or in many: of each field the item of the greatest seq counts."""
+    from weftgraph.streaming import jobs
+
+    items = [(1, 7, 3, ["name"], "old", None), (1, 7, 9, ["name"], "new", None), (1, 7, 5, ["q"], None, "asked"), (1, 7, 6, ["name", "q"], "mid", None), (1, 8, 1, ["q"], None, "x"), (2, 7, 4, ["name"], None, None), (1, 9, None, ["name"], "lost", None)]
+    schema = "map_id long, id long, seq long, given array<string>, name string, q string"
+    want = {(1, 7): ("new", None), (1, 8): (None, "x"), (2, 7): (None, None), (3, 1): ("kept", "kept")}
+    for cuts in ([items], [items[:1], items[1:]], [[x] for x in items[::-1]]):
+        held = {"now": spark.createDataFrame([(3, 1, "kept", "kept")], "map_id long, id long, name string, q string")}
+
+        class Stream:
+            def foreachBatch(self, fold):
+                for part in cuts:
+                    fold(spark.createDataFrame(part, schema), 0)
+
+        stream = type("Items", (), {"writeStream": Stream()})()
+        jobs.stream_latest_graph(stream, lambda: held["now"], lambda g: held.update(now=spark.createDataFrame(g.collect(), g.schema)), ["name", "q"])
+        assert {(r.map_id, r.id): (r.name, r.q) for r in held["now"].collect()} == want
+
+
+def test_pieces_end_at_the_text_end_only(spark):
+    got = spark.sql("SELECT 'a b c. d e\\n' AS t UNION ALL SELECT 'one.\\n'").select(chunking.split_on_separators(F.col("t"), "[.] ", 2).alias("p")).collect()
+    assert sorted(r.p for r in got) == [["a b c.", "d e"], ["one."]]

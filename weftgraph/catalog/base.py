@@ -20,8 +20,9 @@ FIXTURES = {
     "fx_edges": """SELECT l_partkey % 5 AS map_id, CAST(l_partkey % 500 AS BIGINT) AS origin, CAST((l_orderkey * 7 + l_linenumber) % 500 AS BIGINT) AS target,
         CASE WHEN l_linenumber = 3 THEN NULL ELSE CAST(floor(l_quantity) AS INT) % 5 + CAST(0.5 AS DOUBLE) END AS weight,
         CASE WHEN l_linestatus = 'O' THEN 'related' ELSE 'artificial' END AS type FROM {lineitem}""",
+    "fx_links": """SELECT vec_id % 5 AS map_id, vec_id AS origin, CASE WHEN vec_id % 6 = 0 THEN vec_id - 30 ELSE vec_id + 5 * (1 + vec_id % 3) END AS target FROM {embeddings}""",
     "fx_cited": """SELECT doc_id AS id, doc_id % 7 AS map_id, substr(text, 1, 40) || ' ^[' || doc_id || '.1.1]^ . ^[' || doc_id || '.1.2]^ '
-        || substr(text, 41, 40) || ' ^[' || (doc_id + 1) || '.3]^ ' || substr(text, 81, 20) AS details FROM {documents}""",
+        || substr(text, 41, 40) || ' ^[' || (doc_id + 1) || '.3]^ ' || substr(text, 81) AS details FROM {documents}""",
     "fx_facts": """SELECT doc_id AS id, doc_id % 7 AS map_id, p.pos AS pos, 'fact ' || doc_id || ' ' || p.pos AS fact,
         CAST(doc_id % 97 + p.pos * (doc_id % 3) AS BIGINT) AS part_a, CAST(doc_id % 89 + 7 AS BIGINT) AS part_b
         FROM {documents} CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) p""",

@@ -112,13 +112,14 @@ def c13_page_description_chunks(spark, sf):
     return C.page_description_chunks(d)
 
 
-@query(r"""WITH RECURSIVE p AS (SELECT doc_id, regexp_extract_all(substr(text, 1, 2000), '(?s).+?(?:[.] |$)') AS l FROM documents),
-g AS (SELECT doc_id, l, 1 AS i, '' AS now, 0 AS grp FROM p
-UNION ALL SELECT doc_id, l, i + 1, CASE WHEN len(regexp_extract_all(now, '[^\x09-\x0D ]+')) >= 12 THEN l[i] ELSE now || l[i] END, CASE WHEN len(regexp_extract_all(now, '[^\x09-\x0D ]+')) >= 12 THEN grp + 1 ELSE grp END FROM g WHERE i <= len(l)),
-last AS (SELECT doc_id, grp, max_by(now, i) AS text FROM g GROUP BY ALL)
-SELECT doc_id, CAST(count(*) AS INTEGER) AS n, md5(string_agg(trim(text), '|' ORDER BY grp)) AS digest FROM last WHERE trim(text) <> '' GROUP BY doc_id""")
+@query(r"""WITH RECURSIVE l AS (SELECT doc_id, regexp_extract_all(text, '(?s).+?(?:[.] |$)') AS l FROM documents), p AS (SELECT doc_id, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM l),
+s AS (SELECT doc_id, i, piece, len(regexp_extract_all(piece, '[^\x09-\x0D ]+')) AS w FROM p),
+g AS (SELECT doc_id, i, w AS now, 0 AS grp FROM s WHERE i = 1
+UNION ALL SELECT s.doc_id, s.i, CASE WHEN now >= 12 THEN s.w ELSE now + s.w END, CASE WHEN now >= 12 THEN grp + 1 ELSE grp END FROM g JOIN s ON s.doc_id = g.doc_id AND s.i = g.i + 1),
+last AS (SELECT doc_id, grp, regexp_replace(string_agg(piece, '' ORDER BY i), '^[\x09-\x0D ]+|[\x09-\x0D ]+$', '', 'g') AS text FROM g JOIN s USING (doc_id, i) GROUP BY ALL)
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n, md5(string_agg(text, '|' ORDER BY grp)) AS digest FROM last WHERE text <> '' GROUP BY doc_id""")
 def c14_split_on_separators(spark, sf):
-    pieces = C.split_on_separators(F.substr("text", F.lit(1), F.lit(2000)), "[.] ", 12)
+    pieces = C.split_on_separators(F.col("text"), "[.] ", 12)
     d = table(spark, sf, "documents").select("doc_id", pieces.alias("p")).filter("size(p) > 0")
     return d.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "|").cast("binary")).alias("digest"))
 

@@ -135,10 +135,10 @@ def f16_resolve_references(spark, sf):
     return C.resolve_references(texts, of(1, "p"), of(5, "c"), nodes)
 
 
-@query("""WITH h AS (SELECT event_id // 10 AS id, CAST(event_id % 10 AS INTEGER) AS r FROM events WHERE event_id < 2000)
+@query("""WITH h AS (SELECT event_id // 10 AS id, CAST(event_id % 10 AS INTEGER) AS r FROM events)
 SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY CASE WHEN r % 3 = 0 THEN 0 ELSE 1 END, r) AS INTEGER) AS n,
 CASE WHEN r % 3 = 0 THEN 'N' || r ELSE 'd' || (r % 2) || '.1.' || (CASE WHEN r % 4 = 1 THEN r + 100 ELSE r + (r % 2) * 5 + 1 END) END AS target FROM h""")
 def f17_build_citation_map(spark, sf):
-    h = table(spark, sf, "events").filter("event_id < 2000").selectExpr("event_id div 10 AS id", "cast(event_id % 10 as int) AS rank")
+    h = table(spark, sf, "events").selectExpr("event_id div 10 AS id", "cast(event_id % 10 as int) AS rank")
     hits = h.selectExpr("id", "CASE WHEN rank % 3 = 0 THEN 'card' ELSE 'chunk' END AS kind", "rank", "'N' || rank AS node_id", "'d' || (rank % 2) AS doc", "1 AS version", "CASE WHEN rank % 4 = 1 THEN rank + 100 END AS page", "rank AS chunk_id")
     return C.build_citation_map(hits, h.selectExpr("'d' || (rank % 2) AS doc", "1 AS version", "(rank % 2) * 5 AS n_chunks").distinct())

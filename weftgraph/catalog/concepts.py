@@ -128,7 +128,7 @@ def d7_duplicate_node_report(spark, sf):
     return X.duplicate_node_report(table(spark, sf, "documents").select(F.expr("doc_id % 7").alias("map_id"), F.col("doc_id").alias("id"), F.lit("Same?").alias("question"), F.col("text").alias("details")))
 
 
-@query(r"SELECT page_id, (length(trim(regexp_replace(t, '[!-/:-@\[-`{-~]', '', 'g'))) = 0 OR length(trim(t)) <= 1) AS trivial FROM (SELECT page_id, substr(url, 1 + CAST(page_id % 9 AS INTEGER), CAST(page_id % 4 AS INTEGER)) AS t FROM pages)")
+@query(r"SELECT page_id, (length(trim(regexp_replace(t, '[!-/:-@\[-`{-~]', '', 'g'))) = 0 OR length(trim(t)) <= 1) AS trivial FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN regexp_replace(url, '[A-Za-z0-9]', '', 'g') ELSE url END AS t FROM pages)")
 def d8_is_trivial_text(spark, sf):
-    p = table(spark, sf, "pages").selectExpr("page_id", "substr(url, 1 + cast(page_id % 9 as int), cast(page_id % 4 as int)) AS t")
+    p = table(spark, sf, "pages").selectExpr("page_id", "CASE WHEN page_id % 4 = 0 THEN regexp_replace(url, '[A-Za-z0-9]', '') ELSE url END AS t")
     return p.select("page_id", is_trivial_text(F.col("t")).alias("trivial"))

@@ -56,14 +56,14 @@ def e2_adjust_root_edges(spark, sf):
     return E.adjust_root_edges(e, r)
 
 
-@query("WITH " + _PAIRS + """, e AS (SELECT DISTINCT map_id, origin, target FROM fx_edges WHERE origin % 20 = target % 20), nb AS (SELECT map_id, origin AS id, target AS other FROM e UNION SELECT map_id, target, origin FROM e),
+@query("WITH " + _PAIRS + """, e AS (SELECT DISTINCT map_id, origin, target FROM fx_links), nb AS (SELECT map_id, origin AS id, target AS other FROM e UNION SELECT map_id, target, origin FROM e),
 o AS (SELECT map_id, origin AS id, count(*) AS n FROM e GROUP BY ALL), i AS (SELECT map_id, target AS id, count(*) AS n FROM e GROUP BY ALL),
 need AS (SELECT v.map_id, v.id, greatest(3 - coalesce(o.n, 0), 0) AS no, greatest(1 - coalesce(i.n, 0), 0) AS ni FROM v LEFT JOIN o ON o.map_id = v.map_id AND o.id = v.id LEFT JOIN i ON i.map_id = v.map_id AND i.id = v.id),
 k AS (SELECT p.*, no, ni, row_number() OVER (PARTITION BY p.map_id, p.id ORDER BY s DESC, p.other) AS r FROM p JOIN need USING (map_id, id) WHERE NOT EXISTS (SELECT 1 FROM nb WHERE nb.map_id = p.map_id AND nb.id = p.id AND nb.other = p.other)),
 m AS (SELECT *, count(*) OVER (PARTITION BY map_id, id) AS n FROM k WHERE r <= no + ni)
-SELECT map_id, id AS origin, other AS target, round(s, 6) AS weight, 'related' AS type FROM m WHERE r <= no UNION ALL SELECT map_id, other, id, round(s, 6), 'related' FROM m WHERE r > n - ni""", "fx_concepts fx_edges")
+SELECT map_id, id AS origin, other AS target, round(s, 6) AS weight, 'related' AS type FROM m WHERE r <= no UNION ALL SELECT map_id, other, id, round(s, 6), 'related' FROM m WHERE r > n - ni""", "fx_concepts fx_links")
 def e3_min_degree_edges(spark, sf):
-    e = fixture(spark, sf, "fx_edges").filter("origin % 20 = target % 20").select("map_id", "origin", "target").distinct()
+    e = fixture(spark, sf, "fx_links").distinct()
     return _rounded(E.min_degree_edges(_vectors(spark, sf), e))
 
 
@@ -73,20 +73,20 @@ def e4_demote_other_root_edges(spark, sf):
     return E.demote_other_root_edges(e, _roots(e)).select("map_id", "origin", "target", "weight", "type")
 
 
-def _sparse(spark, sf):
-    return fixture(spark, sf, "fx_edges").filter("(origin * 31 + target) % 61 = 0").select("map_id", "origin", "target").distinct()
+def _distinct(spark, sf):
+    return fixture(spark, sf, "fx_edges").select("map_id", "origin", "target").distinct()
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.map_id, origin, target FROM fx_edges a WHERE (origin * 31 + target) % 61 = 0 AND EXISTS (SELECT 1 FROM fx_concepts c WHERE c.map_id = a.map_id AND c.id = origin) AND EXISTS (SELECT 1 FROM fx_concepts c WHERE c.map_id = a.map_id AND c.id = target)),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.map_id, origin, target FROM fx_edges a WHERE EXISTS (SELECT 1 FROM fx_concepts c WHERE c.map_id = a.map_id AND c.id = origin) AND EXISTS (SELECT 1 FROM fx_concepts c WHERE c.map_id = a.map_id AND c.id = target)),
 reach AS (SELECT map_id, id AS a, id AS b FROM fx_concepts UNION SELECT r.map_id, r.a, e.target FROM reach r JOIN e ON e.map_id = r.map_id AND e.origin = r.b)
 SELECT x.map_id, x.a AS id, min(x.b) AS component FROM reach x JOIN reach y ON y.map_id = x.map_id AND y.a = x.b AND y.b = x.a GROUP BY ALL""", "fx_concepts fx_edges")
 def e5_strong_components(spark, sf):
-    return strong_components(_sparse(spark, sf), fixture(spark, sf, "fx_concepts"))
+    return strong_components(_distinct(spark, sf), fixture(spark, sf, "fx_concepts"))
 
 
 @query()
 def e6_bridge_components(spark, sf):
-    e = _sparse(spark, sf)
+    e = fixture(spark, sf, "fx_links")
     return _rounded(E.bridge_components(_vectors(spark, sf), strong_components(e, fixture(spark, sf, "fx_concepts")), e))
 
 
@@ -114,11 +114,11 @@ def e10_default_weights(spark, sf):
 
 
 @query("WITH " + _PAIRS + """, near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY map_id, id ORDER BY s DESC, other) AS r FROM p) WHERE r <= 3),
-kept AS (SELECT DISTINCT map_id, origin, target, 'Manual' AS type FROM fx_edges WHERE type = 'related' AND (origin * 31 + target) % 61 = 0), have AS (SELECT map_id, origin AS id, count(DISTINCT target) AS n FROM kept GROUP BY ALL),
+kept AS (SELECT DISTINCT map_id, origin, target, 'Manual' AS type FROM fx_edges WHERE type = 'related'), have AS (SELECT map_id, origin AS id, count(DISTINCT target) AS n FROM kept GROUP BY ALL),
 now AS (SELECT * FROM kept UNION ALL SELECT near.map_id, near.id, other, 'Generated' FROM near LEFT JOIN have h ON h.map_id = near.map_id AND h.id = near.id WHERE coalesce(h.n, 0) < 3 AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.map_id = near.map_id AND k.origin = near.id AND k.target = other))
 SELECT * FROM now UNION ALL SELECT map_id, other, id, 'Generated' FROM near WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM now WHERE now.map_id = near.map_id AND now.target = near.id)""", "fx_concepts fx_edges")
 def e11_auto_edges(spark, sf):
-    e = fixture(spark, sf, "fx_edges").filter("(origin * 31 + target) % 61 = 0").select("map_id", "origin", "target", F.expr("CASE WHEN type = 'related' THEN 'Manual' ELSE 'Generated' END").alias("type")).distinct()
+    e = fixture(spark, sf, "fx_edges").select("map_id", "origin", "target", F.expr("CASE WHEN type = 'related' THEN 'Manual' ELSE 'Generated' END").alias("type")).distinct()
     return E.auto_edges(_vectors(spark, sf), e)
 
 

@@ -86,21 +86,30 @@ def recursive_split(docs: DataFrame, size: int = TXT_SIZE, overlap: int = TXT_OV
 def greedy_groups(sizes: DataFrame, keys: list[str], order: str, budgets: dict[str, int], out: str = "grp") -> DataFrame:
     """``out`` = 1, 2, ...: in ``order``, a row joins the open group while every budget's running sum holds, else opens one.
 
-    Only keys, order and sizes travel to the helper, never texts; a group of keys (a document) is one task's work.
+    Only keys, order and sizes travel to the helper, never texts: one array a group of keys (a document), many of them a batch.
+    Null sizes count as 0.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sizes.select(*keys, order).schema) + f", {out} long"
+    kinds = {f.name: f.dataType.simpleString() for f in sizes.select(*keys, order).schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + f", _rows array<struct<{order}: {kinds[order]}, {out}: bigint>>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            rows["_rows"] = [[{order: r[order], out: g} for r, g in zip(own, group_numbers([[r[c] or 0 for c in budgets] for r in own], list(budgets.values())))] for own in rows["_rows"]]
+            yield rows
+
+    lists = sizes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, *budgets))).alias("_rows"))
+    return lists.mapInPandas(run, schema).select(*keys, F.explode("_rows").alias("_r")).select(*keys, "_r.*")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        group, totals, numbers = 0, None, []
-        for values in zip(*(rows[c].fillna(0).tolist() for c in budgets)):
-            if totals is None or any(t + v > m for t, v, m in zip(totals, values, budgets.values())):
-                group, totals = group + 1, [0] * len(budgets)
-            totals = [t + v for t, v in zip(totals, values)]
-            numbers.append(group)
-        return rows[[*keys, order]].assign(**{out: numbers})
 
-    return sizes.select(*keys, order, *budgets).groupBy(*keys).applyInPandas(run, schema)
+def group_numbers(sizes: list[list[float]], most: list[float]) -> list[int]:
+    """Number of the group of each row of ``sizes``: a row opens a new one where a sum would go over its budget."""
+    group, totals, out = 0, None, []
+    for values in sizes:
+        if totals is None or any(t + v > m for t, v, m in zip(totals, values, most)):
+            group, totals = group + 1, [0] * len(most)
+        totals = [t + v for t, v in zip(totals, values)]
+        out.append(group)
+    return out
 
 
 def merge_small_chunks(chunks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -108,10 +117,21 @@ def merge_small_chunks(chunks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataF
 
     Texts are joined by a blank line, differing headers by " and "; token sums are kept, not counted again.
     """
-    groups = greedy_groups(chunks, ["doc_id"], "pos", {"tokens": max_tokens})
-    rows = chunks.join(groups, ["doc_id", "pos"]).groupBy("doc_id", "grp").agg(F.sort_array(F.collect_list(F.struct("pos", "text", "header"))).alias("l"), F.sum("tokens").alias("tokens"))
-    heads = F.array_distinct(F.filter(F.col("l.header"), lambda h: h.isNotNull()))
-    return rows.select("doc_id", "grp", F.array_join(F.col("l.text"), "\n\n").alias("text"), F.when(F.size(heads) > 0, F.array_join(heads, " and ")).alias("header"), "tokens")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for doc_id, own in zip(rows["doc_id"], rows["l"]):
+                held: dict[int, list] = {}
+                for grp, row in zip(group_numbers([[r["tokens"] or 0] for r in own], [max_tokens]), own):
+                    held.setdefault(grp, []).append(row)
+                for grp, part in held.items():
+                    heads = dict.fromkeys(r["header"] for r in part if r["header"] is not None)
+                    out.append((doc_id, grp, "\n\n".join(r["text"] for r in part if r["text"] is not None), " and ".join(heads) if heads else None, sum(r["tokens"] or 0 for r in part)))
+            yield pd.DataFrame(out, columns=["doc_id", "grp", "text", "header", "tokens"])
+
+    lists = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "text", "header", F.col("tokens").cast("long").alias("tokens")))).alias("l"))
+    return lists.mapInPandas(run, f"doc_id {chunks.schema['doc_id'].dataType.simpleString()}, grp long, text string, header string, tokens long")
 
 
 def group_pages(pages: DataFrame, max_tokens: int = MAX_TOKENS, max_images: int = MAX_IMAGES) -> DataFrame:
@@ -196,7 +216,7 @@ def page_description_chunks(descriptions: DataFrame) -> DataFrame:
 
 def split_on_separators(text: Column, pattern: str, min_words: int) -> Column:
     """Pieces cut at matches of ``pattern`` (kept with what precedes it), only where the current piece has ``min_words`` words."""
-    parts = F.regexp_extract_all(text, F.lit(f"(?s).+?(?:{pattern}|$)"), F.lit(0))
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).+?(?:{pattern}|\\z)"), F.lit(0))
     words = lambda t: F.regexp_count(t, F.lit(r"\S+"))
     begin = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
     joined = F.aggregate(
@@ -205,7 +225,7 @@ def split_on_separators(text: Column, pattern: str, min_words: int) -> Column:
         lambda a, p: F.when(words(a["now"]) >= min_words, F.struct(F.array_append(a["done"], a["now"]).alias("done"), p.alias("now"))).otherwise(F.struct(a["done"].alias("done"), F.concat(a["now"], p).alias("now"))),
         lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.array_append(a["done"], a["now"])),
     )
-    return F.filter(F.transform(joined, lambda t: F.trim(t)), lambda t: t != "")
+    return F.filter(F.transform(joined, lambda t: F.regexp_replace(t, r"\A\s+|\s+\z", "")), lambda t: t != "")
 
 
 def language_sample(docs: DataFrame, budget: int = SAMPLE_BUDGET) -> DataFrame:

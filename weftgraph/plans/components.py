@@ -30,8 +30,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)`` that has a neighbour; component = smallest node reachable.
 
     Large-star / small-star rounds (Kiveris et al., 2014) halve the depth of every tree, so a chain of n nodes needs
-    about log n rounds. Minima are partial aggregates, so a hub never gathers in one task; the joins back are
-    sort-merge joins that adaptive execution may split. Self-loops and rows with a null end are ignored; an empty
+    about log n rounds. Minima are partial aggregates; in the join back, the distinct edges of one node (two numbers each)
+    meet in one task. Self-loops and rows with a null end are ignored; an empty
     table gives an empty result. Each round is cut by a table in the shared folder.
     """
     edges = edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

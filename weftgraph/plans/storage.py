@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; where it is unset (tests, notebooks) one is made and set once."""
+    """Folder named by ``spark.checkpoint.dir``; where it is unset one is made on this machine, if Spark runs on this machine alone."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -12,7 +12,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import progress
 from ..operators.chunking import recursive_split
-from ..operators.graphs import upsert
 
 #: Characters of an unfinished ``[...`` that are held back.
 HELD = 10
@@ -84,14 +83,20 @@ def stream_rewrite_refs(pieces: DataFrame, targets: dict[int, str]) -> DataFrame
 
 
 def stream_latest_graph(items: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], fields: list[str]):
-    """A stream writer that folds items ``(map_id, id, seq, given, fields)`` into the latest graph: of each batch the last item of an id counts.
+    """A stream writer that folds items ``(map_id, id, seq, given, fields)`` into the latest graph: of each field the item of the greatest seq
+    that gives it counts, in whatever order and batches items arrive.
 
-    ``read`` returns the graph as it is and ``write`` replaces it; a batch that is tried again folds to the same graph.
+    ``read`` returns the graph as it is and ``write`` replaces it. The graph keeps ``<field>_seq`` beside each field, null where
+    the value was there before any item. A batch that is tried again folds to the same graph. Items with a null seq do not count.
     """
 
     def fold(batch: DataFrame, _: int) -> None:
-        newest = batch.groupBy("map_id", "id").agg(F.max_by(F.struct("given", *fields), "seq").alias("i")).select("map_id", "id", "i.*")
-        write(upsert(read(), newest, fields))
+        held = read()
+        first = F.lit(-(1 << 63)).cast("long")
+        old = held.select("map_id", "id", *[F.col(f) for f in fields], *[(F.coalesce(f"{f}_seq", first) if f"{f}_seq" in held.columns else first).alias(f"{f}_seq") for f in fields])
+        new = batch.filter("seq is not null").select("map_id", "id", *fields, *[F.when(F.array_contains("given", f), F.col("seq")).alias(f"{f}_seq") for f in fields])
+        rows = old.unionByName(new).groupBy("map_id", "id").agg(*[F.max_by(f, f"{f}_seq").alias(f) for f in fields], *[F.max(f"{f}_seq").alias(f"{f}_seq") for f in fields])
+        write(rows.withColumns({f"{f}_seq": F.when(F.col(f"{f}_seq") > first, F.col(f"{f}_seq")) for f in fields}))
 
     return items.writeStream.foreachBatch(fold)
 
