@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import cited
 from weftgraph.operators import chunking, clustering, concepts, edges, graphs, numbering
-from weftgraph.plans.components import connected_components
+from weftgraph.plans.components import _stars, connected_components
 from weftgraph.plans.strong import strong_components, tarjan
 from weftgraph.sources.html import link_anchors, markdown
 from weftgraph.streaming.jobs import rewrite_tokens
@@ -82,6 +82,19 @@ def test_components_match_union_find(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_stars_keep_components():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 60, 400):
+        a, b = rng.integers(-n, n, (2, n))
+        root = {int(x): int(x) for x in [*a, *b]}
+        for _ in range(len(root)):
+            for x, y in zip(a.tolist(), b.tolist()):
+                root[x] = root[y] = min(root[x], root[y])
+        node, least = _stars(a, b)
+        assert dict(zip(node.tolist(), least.tolist())) == {x: r for x, r in root.items() if x != r}
+    assert [len(x) for x in _stars(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0]
+
+
 def test_strong_components_both_ways(spark):
     rng = random.Random(5)
     pairs = [(1, rng.randrange(40), rng.randrange(40)) for _ in range(55)]
