@@ -290,10 +290,9 @@ def _verified(sets: DataFrame) -> DataFrame:
         value = sum((F.when(F.col(f"b{i}"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i in range(64)), F.lit(0))
         majority = materialize(majority.select("component", value.alias("most")), "copy-majority")
         apart = F.bit_count(F.col("check").bitwiseXOR(F.col("most")))
-        centre = left.select("component", "node", "check").join(majority, "component").groupBy("component").agg(F.min(F.struct(apart.alias("apart"), "node")).alias("best"))
-        centre = materialize(centre.select("component", F.col("best.node").alias("node")), "copy-centre")
-        centre = centre.join(left.select("component", "node", F.col("shingles").alias("centre_shingles")), ["component", "node"])
-        centre = materialize(centre.select("component", F.col("node").alias("centre"), "centre_shingles"), "copy-centre-set")
+        nearest = F.min(F.struct(apart.alias("apart"), "node", "shingles")).alias("best")
+        centre = left.join(majority, "component").groupBy("component").agg(nearest)
+        centre = materialize(centre.select("component", F.col("best.node").alias("centre"), F.col("best.shingles").alias("centre_shingles")), "copy-centre")
         found = left.join(centre, "component").filter("node <> centre").select("node", "shingles", "centre", "centre_shingles")
         found = materialize(found.mapInArrow(compare, "a long, b long, alike boolean"), "copy-compared")
         edges = edges.union(found.filter("alike").select("a", "b"))
