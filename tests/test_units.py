@@ -4,10 +4,12 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.functions import cited
 from weftgraph.operators import chunking, clustering, concepts, edges, graphs, numbering
+from weftgraph.plans import components
 from weftgraph.plans.components import _stars, connected_components
 from weftgraph.plans.strong import strong_components, tarjan
 from weftgraph.sources.html import link_anchors, markdown
@@ -64,7 +66,10 @@ def test_names_lose_from_first_underscore(spark):
     assert concepts.duplicate_groups(df, roots, suffix_only=True).count() == 0
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("contracted", [1 << 18, 3])
+def test_components_match_union_find(spark, monkeypatch, contracted):
+    """Both where one contraction ends the rounds and where rounds of stars go on."""
+    monkeypatch.setattr(components, "CONTRACTED", contracted)
     rng = random.Random(3)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs + [(None, 3)], "a long, b long")).collect()}

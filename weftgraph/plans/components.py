@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .storage import materialize
 
-#: Edges that a task contracts at once before the first round.
+#: Edges (two longs each) that a task contracts at once; a table of no more is settled by one such step.
 CONTRACTED = 1 << 18
 
 
@@ -71,17 +71,21 @@ def _contract(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)`` that has a neighbour; component = smallest node reachable.
 
-    Large-star / small-star rounds (Kiveris et al., 2014) halve the depth of every tree, so a chain of n nodes needs
-    about log n rounds, fewer as tasks contract their edges to stars before them. Minima are partial aggregates; in the join back, the distinct edges of one node (two numbers each)
-    meet in one task. Self-loops and rows with a null end are ignored; an empty
-    table gives an empty result. Each round is cut by a table in the shared folder.
+    Tasks contract their edges to stars, and large-star / small-star rounds (Kiveris et al., 2014) halve the depth of
+    every tree, so a chain of n nodes needs about log n rounds. As soon as no more than CONTRACTED edges are left, one
+    contraction of them all ends the rounds; components do not depend on where that is. Minima are partial aggregates;
+    in the join back, the distinct edges of one node (two numbers each) meet in one task. Self-loops and rows with a null
+    end are ignored; an empty table gives an empty result. Each round is cut by a table in the shared folder.
     """
     edges = edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = materialize(_contract(_contract(edges).distinct()), "cc")
     before = None
     for _ in range(max_rounds):
         mark = _fingerprint(now)
-        if mark == before or not mark[0]:
+        if mark[0] <= CONTRACTED:
+            now = materialize(_contract(now.coalesce(1)), "cc")
+            break
+        if mark == before:
             break
         before = mark
         now = materialize(_small_star(_large_star(now)), "cc")
