@@ -21,8 +21,9 @@ from .idset import prefilter
 #: Near copies: words of a shingle, least Jaccard similarity, fingerprints of words, and bits in which two texts'
 #: fingerprints of shingles may differ before they are compared exactly.
 COPY_WORDS, SIMILAR, WORD_PRINTS, LOOSE_BITS = 5, 0.8, 3, 20
-#: Groups of so many texts are compared in all pairs; larger ones with one central text after another, so many times.
-ALL_PAIRS, CENTRES = 64, 8
+#: Groups of so many texts are compared in pairs; larger ones with one central text after another, so many times, and
+#: what is left in blocks of so many texts. Distances to a central text are told apart in so many steps.
+ALL_PAIRS, CENTRES, BLOCK, BINS = 64, 8, 256, 50
 
 #: Variants that one numpy step may hold; larger groups are cut by further bits of the variant.
 STEP_VARIANTS = 2_000_000
@@ -254,50 +255,102 @@ def _shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     return rows.join(members, "pick").select("node", "component", "size", "check", "text").mapInArrow(run, "node long, component long, size long, check long, shingles array<long>")
 
 
-def _alike(a: np.ndarray, b: np.ndarray) -> bool:
-    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
-        return False
+def _similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, True))
-    return both >= SIMILAR * (len(a) + len(b) - both)
+    return both / max(1, len(a) + len(b) - both)
 
 
-def _verified(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) between texts of one candidate group whose shingles have a Jaccard similarity of SIMILAR or more.
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    return min(len(a), len(b)) >= SIMILAR * max(len(a), len(b)) and _similarity(a, b) >= SIMILAR
 
-    Groups of up to ALL_PAIRS texts are compared in all pairs. In larger ones each text is compared with a central one: that
-    whose print of shingles is nearest to the majority of the group's. Those that are not alike are a group of their own in
-    the next of CENTRES rounds; what is left after them stays unlinked.
-    """
 
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        node, own = rows["node"].to_numpy(), [np.sort(x) for x in rows["shingles"]]
-        found = [(node[i], node[j]) for i in range(len(node)) for j in range(i) if _alike(own[i], own[j])]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def _in_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    """Edges (a, b) of the alike among ``rows(node, shingles[, block])``; with two blocks, of those between the two.
+
+    Texts that are connected already are not compared again.
+    """
+    rows = rows.drop_duplicates("node").sort_values("node")
+    node, own = rows["node"].to_numpy(), [np.sort(x) for x in rows["shingles"]]
+    block = rows["block"].to_numpy() if "block" in rows else np.zeros(len(node), np.int64)
+    within, label, found = len(set(block)) < 2, np.arange(len(node)), []
+    for i in range(len(node)):
+        for j in range(i):
+            if label[i] != label[j] and (within or block[i] != block[j]) and _alike(own[i], own[j]):
+                label[label == label[i]] = label[j]
+                found.append((node[i], node[j]))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def _compared(left: DataFrame) -> DataFrame:
+    """(node, component, check, shingles, centre, alike, bin): each of ``left`` against its group's central text.
+
+    That is the one whose print of shingles is nearest to the majority of the group's; ``bin`` is the distance in BINS-ths.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, other = batch.column("shingles"), batch.column("centre_shingles")
-            alike = [_alike(np.sort(own[i].values.to_numpy()), np.sort(other[i].values.to_numpy())) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("centre"), pa.array(alike, pa.bool_())], ["a", "b", "alike"])
+            like = np.array([_similarity(own[i].values.to_numpy(), other[i].values.to_numpy()) for i in range(batch.num_rows)])
+            columns = [batch.column(c) for c in ("node", "component", "check", "shingles", "centre")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(like >= SIMILAR), pa.array(((1 - like) * BINS).astype(np.int32))], names)
+
+    names = ["node", "component", "check", "shingles", "centre", "alike", "bin"]
+    votes = left.select("component", "check", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
+    votes = votes.groupBy("component", "bit").agg(F.expr("sum((shiftright(check, bit) & 1) * 2 - 1) > 0").alias("most"))
+    majority = votes.groupBy("component").agg(F.expr("bit_or(if(most, shiftleft(1L, bit), 0L))").alias("most"))
+    apart = F.bit_count(F.col("check").bitwiseXOR(F.col("most")))
+    nearest = F.min(F.struct(apart.alias("apart"), "node", "shingles")).alias("best")
+    centre = left.join(materialize(majority, "copy-majority"), "component").groupBy("component").agg(nearest)
+    centre = materialize(centre.select("component", F.col("best.node").alias("centre"), F.col("best.shingles").alias("centre_shingles")), "copy-centre")
+    rows = left.join(centre, "component").filter("node <> centre")
+    schema = "node long, component long, check long, shingles array<long>, centre long, alike boolean, bin int"
+    return materialize(rows.select("node", "component", "check", "shingles", "centre", "centre_shingles").mapInArrow(compare, schema), "copy-compared")
+
+
+def _undecided(found: DataFrame) -> DataFrame:
+    """(node, component, size, check, shingles) of the texts whose links their central text leaves open, in smaller groups.
+
+    Jaccard distance is a metric: texts can only be alike if their distances to the central text differ by at most
+    1 - SIMILAR. So what is alike to the central text is done unless a text that is not lies within that reach, and groups
+    part where no text's distance lies in a gap of that width. Distances count in bins, at most BINS + 1 a group.
+    """
+    reach = math.ceil((1 - SIMILAR) * BINS) + 1
+    bins = found.groupBy("component").agg(F.collect_set("bin").alias("bins"), F.expr("collect_set(bin) filter (where not alike)").alias("open"))
+    bins = bins.select("component", F.expr(f"array_sort(filter(bins, b -> exists(open, o -> abs(o - b) <= {reach})))").alias("bins"))
+    rows = found.join(materialize(bins, "copy-bins"), "component").filter("array_contains(bins, bin)")
+    band = F.expr(f"size(filter(bins, (b, i) -> b <= bin and b - get(bins, i - 1) > {reach}))")
+    rows = materialize(rows.select("node", F.xxhash64("component", band).alias("component"), "check", "shingles"), "copy-left")
+    size = rows.groupBy("component").agg(F.count("*").alias("size"))
+    return rows.join(size, "component").select("node", "component", "size", "check", "shingles")
 
-    edges = sets.filter(F.col("size") <= ALL_PAIRS).groupBy("component").applyInPandas(pairs, "a long, b long")
+
+def _in_blocks(left: DataFrame) -> DataFrame:
+    """Edges (a, b) of the alike in ``left``'s groups: BLOCK texts or so against as many a task, so no task holds a group."""
+    blocks = F.ceil(F.col("size") / BLOCK)
+    rows = left.select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("node", "component"), blocks).alias("block"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("node", "component", "shingles", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    return rows.groupBy("component", "p", "q").applyInPandas(_in_pairs, "a long, b long")
+
+
+def _verified(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what is connected by a Jaccard similarity of SIMILAR or more of shingles in a candidate group.
+
+    Groups of up to ALL_PAIRS texts are compared in pairs, as long as they are apart. In larger ones each text is compared
+    with a central one, and what that leaves open goes on in smaller groups, for at most CENTRES rounds. Groups that are
+    still larger then are compared in blocks. No link is lost at any size.
+    """
+    edges = sets.filter(F.col("size") <= ALL_PAIRS).groupBy("component").applyInPandas(_in_pairs, "a long, b long")
     left = sets.filter(F.col("size") > ALL_PAIRS)
     for _ in range(CENTRES):
         if not left.limit(1).count():
-            break
-        bits = [F.sum(F.shiftright("check", i).bitwiseAND(F.lit(1)) * 2 - 1) > 0 for i in range(64)]
-        majority = left.groupBy("component").agg(*[b.alias(f"b{i}") for i, b in enumerate(bits)])
-        value = sum((F.when(F.col(f"b{i}"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i in range(64)), F.lit(0))
-        majority = materialize(majority.select("component", value.alias("most")), "copy-majority")
-        apart = F.bit_count(F.col("check").bitwiseXOR(F.col("most")))
-        nearest = F.min(F.struct(apart.alias("apart"), "node", "shingles")).alias("best")
-        centre = left.join(majority, "component").groupBy("component").agg(nearest)
-        centre = materialize(centre.select("component", F.col("best.node").alias("centre"), F.col("best.shingles").alias("centre_shingles")), "copy-centre")
-        found = left.join(centre, "component").filter("node <> centre").select("node", "shingles", "centre", "centre_shingles")
-        found = materialize(found.mapInArrow(compare, "a long, b long, alike boolean"), "copy-compared")
-        edges = edges.union(found.filter("alike").select("a", "b"))
-        left = materialize(left.join(found.filter("not alike").select(F.col("a").alias("node")), "node", "left_semi"), "copy-left")
-    return edges
+            return edges
+        found = _compared(left)
+        edges = edges.union(found.filter("alike").select(F.col("node").alias("a"), F.col("centre").alias("b")))
+        rest = materialize(_undecided(found), "copy-open")
+        edges = edges.union(rest.filter(F.col("size") <= ALL_PAIRS).groupBy("component").applyInPandas(_in_pairs, "a long, b long"))
+        left = rest.filter(F.col("size") > ALL_PAIRS)
+    return edges.union(_in_blocks(left))
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
