@@ -21,9 +21,9 @@ from .idset import prefilter
 #: Near copies: words of a shingle, least Jaccard similarity, fingerprints of words, and bits in which two texts'
 #: fingerprints of shingles may differ before they are compared exactly.
 COPY_WORDS, SIMILAR, WORD_PRINTS, LOOSE_BITS = 5, 0.8, 3, 20
-#: Groups of so many texts are compared in pairs; larger ones with one central text after another, so many times, and
+#: Groups of so many texts are compared in pairs; larger ones with a central text, in so many rounds, and
 #: what is left in blocks of so many texts. Distances to a central text are told apart in so many steps.
-ALL_PAIRS, CENTRES, BLOCK, BINS = 64, 8, 256, 50
+ALL_PAIRS, CENTRES, BLOCK, BINS = 64, 1, 256, 50
 
 #: Variants that one numpy step may hold; larger groups are cut by further bits of the variant.
 STEP_VARIANTS = 2_000_000
@@ -338,7 +338,7 @@ def _verified(sets: DataFrame) -> DataFrame:
 
     Groups of up to ALL_PAIRS texts are compared in pairs, as long as they are apart. In larger ones each text is compared
     with a central one, and what that leaves open goes on in smaller groups, for at most CENTRES rounds. Groups that are
-    still larger then are compared in blocks. No link is lost at any size.
+    still larger then are compared in blocks, at a cost that grows with the square of such a group. No link is lost at any size.
     """
     edges = sets.filter(F.col("size") <= ALL_PAIRS).groupBy("component").applyInPandas(_in_pairs, "a long, b long")
     left = sets.filter(F.col("size") > ALL_PAIRS)
