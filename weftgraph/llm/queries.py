@@ -172,6 +172,14 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, some of them with a tail that repeats, and the text without the repeats."""
+    from .runs import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents"), planted=True).drop("runs")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline's sequences, each piece by digest columns."""
