@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
 from ..plans.storage import materialize
-from .bytescan import LOWER, SPACE, gram_hashes, mix, text_chunks, word_hashes, word_spans
+from .bytescan import LOWER, SPACE, byte_positions, gram_hashes, mix, text_chunks, word_hashes, word_spans
 from .idset import prefilter
 
 #: Bands and hashes of a band: a pair of similarity 0.8 shares no band with a chance of 5e-7, one of 0.3 shares one with 0.034.
@@ -21,6 +21,8 @@ BANDS, ROWS = 48, 6
 BATCH, MISS = 48, 1e-7
 #: Sets of a task's block of a large bucket; sets that are verified with one copy of their partner; pairs of one numpy step.
 BLOCK, FAN, STEP = 1024, 256, 1 << 16
+#: Shingles of a task's block of a large bucket.
+BLOCK_SHINGLES = 1 << 22
 
 _rng = np.random.default_rng(20240517)
 _A = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -133,26 +135,37 @@ def _judge_pairs(pairs: DataFrame, sets: DataFrame, similar: float, miss: float)
 
 
 def _judge_buckets(rows: DataFrame, similar: float, miss: float) -> DataFrame:
-    """(a, b) of the kept pairs of one bucket's sets in different components; ``rows(key, i, j, blk, sid, comp, n, sig)``.
+    """(a, b): pairs that join all sets of a bucket that may be alike; ``rows(key, i, j, blk, sid, comp, n, sig, short)``.
 
-    Task rows of one (key, i, j) are a bucket's blocks i and j; pairs inside a block are judged where i = j.
+    Task rows of one (key, i, j) are a bucket's blocks i and j; pairs inside a block are judged where i = j. Pairs of
+    different components that the sequential test keeps are counted on ``short``, 32 bits of each shingle's hash, which
+    never counts too few. A pair that reaches ``similar`` joins its components, so a task returns no more pairs than sets.
     """
-    least = least_matches(similar, miss)
+    least, share = least_matches(similar, miss), round(100 * similar)
 
     def judge(part: pa.Table) -> pa.RecordBatch:
-        sid, comp, blk, n = (part.column(c).to_numpy() for c in ("sid", "comp", "blk", "n"))
-        sig = _sigs(part.column("sig"))
+        sid, comp, blk, n = (part.column(c).to_numpy().copy() for c in ("sid", "comp", "blk", "n"))
+        sig, bounds = _sigs(part.column("sig")), np.concatenate([[0], np.cumsum(n)])
+        codes = np.unique(np.frombuffer(b"".join(part.column("short").to_pylist()), np.uint32), return_inverse=True)[1]
+        mine = np.zeros(len(codes), bool)
         i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
         left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        out = [np.zeros((0, 2), np.int64)]
+        out: list[tuple[int, int]] = []
         for x in left.tolist():
             y = right[(right > x) | (i != j)]
             y = y[comp[y] != comp[x]]
-            kept, _ = _survive(sig, sig, n, n, np.full(len(y), x), y, similar, least)
-            if len(kept):
-                out.append(np.column_stack([np.minimum(sid[x], sid[y[kept]]), np.maximum(sid[x], sid[y[kept]])]))
-        a, b = np.concatenate(out).T
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            y = y[_survive(sig, sig, n, n, np.full(len(y), x), y, similar, least)[0]]
+            if not len(y):
+                continue
+            own = codes[bounds[x] : bounds[x + 1]]
+            mine[own] = True
+            both = np.add.reduceat(mine[codes[byte_positions(bounds[y], n[y])]], np.cumsum(n[y]) - n[y], dtype=np.int64)
+            mine[own] = False
+            for z in y[100 * both >= share * (n[x] + n[y] - both)].tolist():
+                if comp[z] != comp[x]:
+                    comp[comp == comp[z]] = comp[x]
+                    out.append((min(sid[x], sid[z]), max(sid[x], sid[z])))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -173,15 +186,9 @@ def _judge_buckets(rows: DataFrame, similar: float, miss: float) -> DataFrame:
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, similar: float) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= 100 * similar * union.
-
-    Only the sets that are asked for are made again from one text each. A set travels to its partner: one copy of ``a``
-    for up to about FAN partners, and every partner after it, so a task holds two sets whatever the number of pairs.
-    """
-    share = round(100 * similar)
-    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    asked = materialize(ends.join(sets.select("sid", "least"), "sid"), "asked")
+def _full_sets(ids: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(sid, hashes) of the sets ``ids(sid)``, made again from one text each."""
+    asked = materialize(ids.join(sets.select("sid", "least"), "sid"), "asked")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_chunks(batches):
@@ -192,7 +199,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int,
 
     texts = prefilter(docs, asked.select(F.col("least").alias("doc_id")), "doc_id")
     made = texts.mapInArrow(make, "sid long, hashes binary").join(asked.select("sid"), "sid", "left_semi")
-    made = materialize(made.groupBy("sid").agg(F.any_value("hashes").alias("hashes")), "sets")
+    return materialize(made.groupBy("sid").agg(F.any_value("hashes").alias("hashes")), "sets")
+
+
+def _open_buckets(bands: DataFrame, sets: DataFrame, placed: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The rows that :func:`_judge_buckets` takes: buckets that hold sets of several components, in blocks, a row for each pair of blocks."""
+    where = sets.select("sid", "n", "sig").join(placed.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", "sig", F.coalesce("component", "sid").alias("comp"))
+    named = bands.join(where.select("sid", "comp", "n"), "sid")
+    mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n").alias("words")).filter("low <> high")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("words") / BLOCK_SHINGLES)).cast("int")
+    rows = materialize(named.select("key", "sid", "size").join(mixed.select("key", "words"), "key").select("key", "sid", blocks.alias("blocks")), "minhash-open")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [(np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], ["sid", "short"])
+
+    made = _full_sets(rows.select("sid").distinct(), sets, docs, shingle).mapInArrow(cut, "sid long, short binary")
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    rows = rows.select("key", "sid", "blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "sid")
+    return rows.join(where.join(made, "sid"), "sid").select("key", "i", "j", "blk", "sid", "comp", "n", "sig", "short")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= 100 * similar * union.
+
+    Only the sets that are asked for are made again. A set travels to its partner: one copy of ``a`` for up to about FAN
+    partners, and every partner after it, so a task holds two sets whatever the number of pairs.
+    """
+    share = round(100 * similar)
+    ends = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    made = _full_sets(ends, sets, docs, shingle)
     fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fans"))
     dealt = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("fans")).cast("int").alias("fan"))
     heads = fans.select("a", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan")).join(made.withColumnRenamed("sid", "a"), "a")
@@ -228,8 +266,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates. In each bucket every class is tested against the bucket's least one: matches of the signatures are
     counted batch by batch, and a pair is given up as soon as the posterior chance of ``similar`` is below ``miss``. The
     best survivor of each class is verified, which already joins most of a group. Then only pairs of a bucket in different
-    components are left: they are tested in blocks (a large bucket is many tasks) and the survivors are verified. So every
-    candidate pair is verified, given up by the test, or connected already; none is dropped for the size of a bucket. A
+    components are left: they are tested in blocks (a large bucket is many tasks), the survivors are counted there on 32
+    bits of each shingle, and what joins two components is verified in full. So every candidate pair is counted, given up
+    by the test, or connected already; none is dropped for the size of a bucket, and no list of pairs is written. A
     link of exactly 0.8 is missed with a chance of about 5e-7 (bands) and 5e-6 (test).
 
     Null and empty texts have no set: n_shingles 0, component_id their own id, linked with nothing. Rows repeat as often
@@ -249,18 +288,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = materialize(_verified(materialize(best, "minhash-best"), sets, docs, shingle, similar), "minhash-links")
 
     placed = materialize(connected_components(linked), "minhash-placed")
-    where = sets.select("sid", "n", "sig").join(placed.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", "sig", F.coalesce("component", "sid").alias("comp"))
-    named = bands.join(where.select("sid", "comp"), "sid")
-    mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = named.join(mixed, "key").select("key", "sid", F.col("sid").alias("_sid"), blocks.alias("blocks")).withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    open_ = open_.select("key", "sid", "blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    open_ = open_.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "sid").join(where, "sid").select("key", "i", "j", "blk", "sid", "comp", "n", "sig")
-    apart = lambda c: where.select(F.col("sid").alias(c), F.col("comp").alias(f"comp_{c}"))
-    left = stars.select("a", "b").join(apart("a"), "a").join(apart("b"), "b").filter("comp_a <> comp_b").select("a", "b")
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = _judge_buckets(open_, similar, miss).union(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct().join(tried, ["a", "b"], "left_anti")
-    left = materialize(left, "minhash-left")
+    left = materialize(_judge_buckets(_open_buckets(bands, sets, placed, docs, shingle), similar, miss), "minhash-left")
     if left.limit(1).count():
         linked = linked.union(materialize(_verified(left, sets, docs, shingle, similar), "minhash-more"))
         placed = materialize(connected_components(linked), "minhash-placed")
