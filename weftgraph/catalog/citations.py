@@ -22,10 +22,10 @@ def _parts(spark, sf):
     return fixture(spark, sf, "fx_parts")
 
 
-@query("""WITH e AS (SELECT id, [part_a, part_b] AS ids FROM fx_facts WHERE pos = 1), x AS (SELECT id, unnest(ids) AS part_id, unnest([0, 1]) AS k FROM e)
+@query("""WITH e AS (SELECT id * 4 + pos AS id, [part_a, part_b] AS ids FROM fx_facts), x AS (SELECT id, unnest(ids) AS part_id, unnest([0, 1]) AS k FROM e)
 SELECT id, coalesce(list(citation ORDER BY k) FILTER (citation IS NOT NULL), []) AS citations FROM x LEFT JOIN fx_parts USING (part_id) GROUP BY id""", "fx_facts fx_parts")
 def f1_concept_citations(spark, sf):
-    return C.concept_citations(fixture(spark, sf, "fx_facts").filter("pos = 1").select("id", F.array("part_a", "part_b").alias("part_ids")), _parts(spark, sf))
+    return C.concept_citations(fixture(spark, sf, "fx_facts").select(F.expr("id * 4 + pos").alias("id"), F.array("part_a", "part_b").alias("part_ids")), _parts(spark, sf))
 
 
 @query(f"""WITH {_SETS}, x AS (SELECT id, pos, fact, unnest(p) AS part_id FROM f) SELECT id, CAST(pos AS INTEGER) AS pos, fact, coalesce(list_sort(list_distinct(list(citation) FILTER (citation IS NOT NULL))), []) AS source_ids

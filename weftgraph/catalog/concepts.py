@@ -103,6 +103,26 @@ def d3_merge_duplicates(spark, sf):
     return moved.select("map_id", "origin", "target", F.round("weight", 6).alias("weight"))
 
 
+def merge_answers(spark, sf):
+    """Answers that bring names together again: n0 .. n179 become four names m0 .. m3 a map, and those one name but for m3, which becomes two."""
+    c = fixture(spark, sf, "fx_concepts").selectExpr("map_id", "id % 180 AS k").distinct()
+    first = c.select("map_id", F.expr("concat('n', k)").alias("base"), F.lit(0).alias("pos"), F.expr("concat('m', k div 5 % 4)").alias("name"))
+    later = c.select("map_id").distinct().crossJoin(spark.createDataFrame([("m0", 0, "all"), ("m1", 0, "all"), ("m2", 0, "all"), ("m3", 0, "all"), ("m3", 1, "rest")], "base string, pos int, name string"))
+    return first.union(later).withColumns({"question": F.lit(None).cast("string"), "is_root": F.col("pos") == 0})
+
+
+@query()
+def d3_merge_to_fixed_point(spark, sf):
+    """All rounds: n names, then m names, then one; relations of the answers go from each merged name to the next."""
+    c = fixture(spark, sf, "fx_concepts").drop("embedding")
+    answers = merge_answers(spark, sf)
+    links = answers.filter("base = 'm3'").selectExpr("map_id", "base", "'rest' AS origin_name", "'all' AS target_name")
+    done, edges, roots = X.merge_to_fixed_point(c, fixture(spark, sf, "fx_edges"), _roots(c), answers, links)
+    ends = edges.groupBy("map_id", F.col("origin").alias("id")).agg(F.count("*").alias("n_out"), F.round(F.sum("weight"), 6).alias("weight_out"))
+    rows = done.filter("is_active = 1").join(ends, ["map_id", "id"], "left").join(roots, "map_id", "left")
+    return rows.select("map_id", "id", "name", "level", "cluster_id", F.size("source_ids").alias("sources"), "n_out", "weight_out", (F.col("id") == F.col("root")).alias("is_root"))
+
+
 @query("""WITH off AS (SELECT map_id, id FROM fx_concepts WHERE is_active = 0) SELECT * FROM fx_edges e WHERE origin <> target AND NOT EXISTS (SELECT 1 FROM off WHERE off.map_id = e.map_id AND off.id IN (e.origin, e.target))""", "fx_concepts fx_edges")
 def d4_drop_inactive_edges(spark, sf):
     return X.drop_inactive_edges(fixture(spark, sf, "fx_edges"), fixture(spark, sf, "fx_concepts"))

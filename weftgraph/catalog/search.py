@@ -1,5 +1,6 @@
 """Queries of retrieval."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
@@ -41,7 +42,7 @@ def r3_bm25_topk(spark, sf):
     return R.bm25_topk(_queries(spark, sf), postings, lengths).withColumn("score", F.round("score", 5))
 
 
-_PAIRS = "v AS (SELECT map_id, id, CAST(embedding AS DOUBLE[]) AS e FROM fx_concepts), d AS (SELECT a.map_id, a.id, b.id AS other, round(list_distance(a.e, b.e), 9) AS d, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM v a JOIN v b ON a.map_id = b.map_id WHERE a.id % 10 = 3)"
+_PAIRS = "v AS (SELECT map_id, id, CAST(embedding AS DOUBLE[]) AS e FROM fx_concepts), d AS (SELECT a.map_id, a.id, b.id AS other, round(list_distance(a.e, b.e), 9) AS d, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM v a JOIN v b ON a.map_id = b.map_id)"
 
 
 @query(f"WITH {_PAIRS} SELECT map_id, id, other, round(d, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY map_id, id ORDER BY d, other) AS r FROM d WHERE id <> other) WHERE r <= 6", "fx_concepts")
@@ -49,13 +50,13 @@ def r4_vector_topk(spark, sf):
     from ..operators.vectors import top_similar
 
     v = _vectors(spark, sf)
-    return top_similar(v.filter("id % 10 = 3"), v, 6, "l2").withColumn("score", F.round("score", 6))
+    return top_similar(v, v, 6, "l2").withColumn("score", F.round("score", 6))
 
 
-@query("SELECT d.doc_id, 1 AS chunk_id, e.vec_id FROM documents d JOIN embeddings e ON e.vec_id % 100 = d.doc_id AND e.vec_id // 100 = 1")
+@query("SELECT d.doc_id, 1 AS chunk_id, e.vec_id FROM documents d JOIN embeddings e ON e.vec_id // 2 = d.doc_id AND e.vec_id % 2 = d.doc_id % 2")
 def r5_page_vectors_to_chunks(spark, sf):
-    chunks = table(spark, sf, "documents").selectExpr("doc_id", "1 AS chunk_id", "2 AS page_number")
-    pages = table(spark, sf, "embeddings").selectExpr("vec_id % 100 AS doc_id", "cast(vec_id div 100 as int) AS page_index", "vec_id AS embedding")
+    chunks = table(spark, sf, "documents").selectExpr("doc_id", "1 AS chunk_id", "1 + doc_id % 2 AS page_number")
+    pages = table(spark, sf, "embeddings").selectExpr("vec_id div 2 AS doc_id", "vec_id % 2 AS page_index", "vec_id AS embedding")
     return R.page_vectors_to_chunks(chunks, pages).withColumnRenamed("embedding", "vec_id")
 
 
@@ -74,20 +75,49 @@ def r7_fits_in_prompt(spark, sf):
 @query(f"WITH {_PAIRS}, k AS (SELECT *, row_number() OVER (PARTITION BY map_id, id ORDER BY s DESC, other) AS r FROM d), f AS (SELECT map_id, id, other % 9 AS parent, min(r) AS r FROM k WHERE r <= 5 GROUP BY ALL) SELECT map_id, id, parent, CAST(row_number() OVER (PARTITION BY map_id, id ORDER BY r) AS INTEGER) AS nth FROM f", "fx_concepts")
 def r8_multi_vector_topk(spark, sf):
     v = _vectors(spark, sf)
-    return R.multi_vector_topk(v.filter("id % 10 = 3"), v, v.selectExpr("map_id", "id", "id % 9 AS parent"))
+    return R.multi_vector_topk(v, v, v.selectExpr("map_id", "id", "id % 9 AS parent"))
 
 
 @query(f"WITH {_PAIRS}, b AS (SELECT map_id, id AS query_id, other // 20 AS node_id, max(s) AS best FROM d GROUP BY ALL) SELECT map_id, query_id, node_id, round(best, 6) AS best, CAST(row_number() OVER w AS INTEGER) AS nth, round(coalesce(best - lead(best) OVER w, 1.0), 6) AS margin FROM b WINDOW w AS (PARTITION BY map_id, query_id ORDER BY best DESC, node_id)", "fx_concepts")
 def r9_best_trigger(spark, sf):
     v = _vectors(spark, sf)
     nodes = v.groupBy("map_id", F.expr("id div 20").alias("node_id")).agg(F.collect_list(F.struct(F.col("id").cast("string").alias("text"), "embedding")).alias("questions"))
-    found = R.best_trigger(v.filter("id % 10 = 3").select("map_id", F.col("id").alias("query_id"), "embedding"), nodes)
+    found = R.best_trigger(v.select("map_id", F.col("id").alias("query_id"), "embedding"), nodes)
     return found.select("map_id", "query_id", "node_id", F.round("best", 6).alias("best"), "nth", F.round("margin", 6).alias("margin"))
 
 
-@query("SELECT e.event_id, d.doc_id, d.lang FROM events e JOIN documents d ON d.doc_id = e.event_id % 1500")
+#: Token vectors of a text: as many slices of eight numbers of its vector as its id says, two at least.
+_TOKEN_VECTORS = "list_transform(range(0, 2 + id % {n}), lambda i: list_slice(e, i * 8 + 1, i * 8 + 8))"
+
+
+@query(f"""WITH v AS (SELECT map_id, id, CAST(embedding AS DOUBLE[]) AS e FROM fx_concepts),
+t AS (SELECT map_id, id, {_TOKEN_VECTORS.format(n=6)} AS qt, {_TOKEN_VECTORS.format(n=4)} AS tt FROM v),
+d AS (SELECT a.map_id, a.id AS query_id, b.id // 20 AS node_id, b.id AS q, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM v a JOIN v b ON a.map_id = b.map_id WHERE a.id % 4 = 1 AND b.id % 4 <> 1),
+b AS (SELECT map_id, query_id, node_id, max(s) AS best, min_by(q, (-s, q)) AS q FROM d GROUP BY ALL),
+m AS (SELECT *, best - lead(best) OVER w AS ahead, row_number() OVER w AS nth FROM b WINDOW w AS (PARTITION BY map_id, query_id ORDER BY best DESC, node_id)),
+c AS (SELECT m.map_id, m.query_id, m.node_id, m.q, best, coalesce(ahead, 1.0) AS margin, i, j, list_cosine_similarity(x.qt[i], y.tt[j]) AS s FROM m JOIN t x ON x.map_id = m.map_id AND x.id = m.query_id JOIN t y ON y.map_id = m.map_id AND y.id = m.q,
+      unnest(range(1, 10)) AS r1(i), unnest(range(1, 10)) AS r2(j) WHERE nth = 1 AND i <= len(x.qt) AND j <= len(y.tt)),
+by_j AS (SELECT map_id, query_id, min(s) AS least, avg(s) AS mean FROM (SELECT map_id, query_id, j, max(s) AS s FROM c GROUP BY ALL) GROUP BY ALL),
+by_i AS (SELECT map_id, query_id, min(s) AS least, avg(s) AS mean FROM (SELECT map_id, query_id, i, max(s) AS s FROM c GROUP BY ALL) GROUP BY ALL)
+SELECT DISTINCT c.map_id, c.query_id, c.node_id, round(c.best, 6) AS best, round(c.margin, 6) AS margin, round(by_j.least, 6) AS least_of_question, round(by_i.least, 6) AS least_of_query,
+round(by_j.mean, 6) AS mean_of_question, round(by_i.mean, 6) AS mean_of_query FROM c JOIN by_j USING (map_id, query_id) JOIN by_i USING (map_id, query_id)""", "fx_concepts")
+def r9_match_features(spark, sf):
+    """The six features of every question (one of four vectors is a user's, the others are cards')."""
+    from ..operators.triggers import FEATURES, match_features
+
+    v = _vectors(spark, sf)
+    tokens = lambda n: F.expr(f"transform(sequence(0, 1 + cast(id % {n} as int)), i -> slice(embedding, i * 8 + 1, 8))").alias("tokens")
+    cards, asked = v.filter("id % 4 <> 1").withColumn("node_id", F.expr("id div 20")), v.filter("id % 4 = 1").withColumnRenamed("id", "query_id")
+    listed = cards.groupBy("map_id", "node_id").agg(F.sort_array(F.collect_list(F.struct("id", F.struct(F.col("id").cast("string").alias("text"), "embedding").alias("q")))).alias("l"))
+    nodes = listed.select("map_id", "node_id", F.col("l.q").alias("questions"))
+    place = cards.withColumn("pos", F.row_number().over(W.partitionBy("map_id", "node_id").orderBy("id")) - 1)
+    found = match_features(asked, nodes, asked.withColumn("id", F.col("query_id")).select("map_id", "query_id", tokens(6)), place.select("map_id", "node_id", "pos", tokens(4)))
+    return found.select("map_id", "query_id", "node_id", *[F.round(c, 6).alias(c) for c in FEATURES])
+
+
+@query("SELECT e.event_id, d.doc_id, d.lang FROM events e JOIN documents d ON d.doc_id = e.event_id")
 def r10_chunk_lookup(spark, sf):
-    hits = table(spark, sf, "events").selectExpr("event_id", "event_id % 1500 AS doc_id", "0 AS chunk_id")
+    hits = table(spark, sf, "events").selectExpr("event_id", "event_id AS doc_id", "0 AS chunk_id")
     return R.chunk_lookup(hits, table(spark, sf, "documents").selectExpr("doc_id", "0 AS chunk_id", "lang")).drop("chunk_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, is_trivial_text, normalise_details
+from ..plans.storage import materialize
 
 #: Weights of relations by origin, and their decay when an end is replaced.
 EXTRACTED, SYNTHESISED, ROOT, DECAY = 3.0, 2.0, 4.0, 0.99
@@ -90,6 +91,9 @@ def encode_missing(concepts: DataFrame, encoder, batch_size: int = 128) -> DataF
     return missing_embeddings(concepts).select("id", "question").mapInPandas(run, "id long, embedding array<float>")
 
 
+#: Weight of a relation that a merge answer gives.
+RELATED = 3.0
+
 # -- duplicates --------------------------------------------------------------------------------------------------------
 
 
@@ -130,6 +134,81 @@ def merge_duplicates(concepts: DataFrame, relations: DataFrame, roots: DataFrame
     return kept.unionByName(fresh, allowMissingColumns=True), moved
 
 
+def merge_to_fixed_point(concepts: DataFrame, relations: DataFrame, roots: DataFrame, answers: DataFrame | None = None, links: DataFrame | None = None, rounds: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(concepts, relations, roots) after rounds of merging until no name repeats among a map's active concepts, ``rounds`` at most.
+
+    Names lose their suffix first. In each round every group of active concepts of one name becomes the concepts that
+    ``answers(map_id, base, pos, name, question, is_root)`` gives for it, or one of its own name and its least id's question;
+    the group goes inactive. New concepts have ids above the map's greatest, in order of base and pos, the group's level and
+    cluster (of its members but the root), its members as ``source_ids``, and, where ``concepts`` has ``answer`` arrays, the
+    distinct facts of all members in order of id. Where the group holds the root, the answer marked ``is_root``, or the one
+    concept of a group without answers, is the new root with level and cluster -1. Relations follow to all successors with
+    decay, ``links(map_id, base, origin_name, target_name)`` of a merged group add relations of weight 3 between concepts of
+    this round (of equal names the last), and of equal pairs the greatest weight stays. An answer may bear a name that
+    others have: then the next round merges again. At last edges of inactive concepts go.
+
+    Only names that the last round gave are grouped again, so a round costs what the last one changed, apart from the
+    table it writes. Each round is cut by tables in the shared folder.
+    """
+    with_facts = "answer" in concepts.columns
+    now = materialize(concepts.withColumn("name", base_name(F.col("name"))), "merge-concepts")
+    edges = relations.select("map_id", "origin", "target", F.col("weight").cast("double").alias("weight"), "type")
+    roots, touched = roots.select("map_id", "root"), None
+    for _ in range(rounds):
+        rows = now.filter("is_active = 1")
+        if touched is not None:
+            rows = rows.join(touched, ["map_id", "name"], "left_semi")
+        rows = rows.join(roots, "map_id", "left")
+        other = F.coalesce(F.col("id") != F.col("root"), F.lit(True))
+        merged = [
+            F.sort_array(F.collect_list("id")).alias("ids"),
+            F.count("*").alias("n"),
+            F.max(~other).alias("has_root"),
+            F.min_by("question", "id").alias("question"),
+            beaten_max(F.when(other, F.col("level"))).alias("level"),
+            beaten_max(F.when(other, F.col("cluster_id"))).alias("cluster_id"),
+        ]
+        if with_facts:
+            merged.append(F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("id", "answer"))), lambda x: F.coalesce(x["answer"], F.array())))).alias("answer"))
+        groups = materialize(rows.groupBy("map_id", F.col("name").alias("base")).agg(*merged).filter("n > 1"), "merge-groups")
+        if not groups.limit(1).count():
+            break
+        if answers is None:
+            new = groups.withColumns({"name": F.col("base"), "pos": F.lit(0), "is_root": F.col("has_root")})
+        else:
+            given = answers.select("map_id", "base", F.col("pos").alias("_pos"), F.col("name").alias("_name"), F.col("question").alias("_question"), F.col("is_root").alias("_root"))
+            new = groups.join(given, ["map_id", "base"], "left").withColumns(
+                {
+                    "is_root": F.col("has_root") & F.when(F.col("_name").isNull(), True).otherwise(F.coalesce("_root", F.lit(False))),
+                    "name": F.coalesce("_name", "base"),
+                    "pos": F.coalesce("_pos", F.lit(0)),
+                    "question": F.coalesce("_question", "question"),
+                }
+            )
+        top = now.groupBy("map_id").agg(F.max("id").alias("top"))
+        number = F.row_number().over(W.partitionBy("map_id").orderBy("base", "pos", "name"))
+        fresh = new.join(top, "map_id").withColumn("id", F.col("top") + number)
+        for c in ("level", "cluster_id"):
+            fresh = fresh.withColumn(c, F.when(F.col("is_root"), -1).otherwise(F.col(c)).cast(now.schema[c].dataType))
+        fresh = fresh.select("map_id", "id", "base", "name", "question", "level", "cluster_id", "is_root", F.lit(1).alias("is_active"), F.col("ids").alias("source_ids"), *(["answer"] if with_facts else []))
+        fresh = materialize(fresh, "merge-fresh")
+        edges = propagate_relations(edges, id_changes(fresh))
+        if links is not None:
+            named = fresh.groupBy("map_id", "name").agg(F.max("id").alias("id"))
+            end = lambda c, to: named.select("map_id", F.col("name").alias(c), F.col("id").alias(to))
+            asked = links.join(groups.select("map_id", "base"), ["map_id", "base"], "left_semi")
+            found = asked.join(end("origin_name", "origin"), ["map_id", "origin_name"]).join(end("target_name", "target"), ["map_id", "target_name"])
+            edges = edges.unionByName(found.select("map_id", "origin", "target", F.lit(RELATED).alias("weight"), F.lit("related").alias("type")))
+        edges = materialize(dedup_edges_keep_max(edges.filter("origin <> target")), "merge-edges")
+        gone = groups.select("map_id", F.explode("ids").alias("id"), F.lit(True).alias("_gone"))
+        kept = now.join(gone, ["map_id", "id"], "left").withColumn("is_active", F.when(F.col("_gone"), 0).otherwise(F.col("is_active"))).drop("_gone")
+        now = materialize(kept.unionByName(fresh.drop("base", "is_root"), allowMissingColumns=True), "merge-concepts")
+        moved = fresh.filter("is_root").groupBy("map_id").agg(F.max("id").alias("_to"))
+        roots = materialize(roots.join(moved, "map_id", "left").select("map_id", F.coalesce("_to", "root").alias("root")), "merge-roots")
+        touched = fresh.select("map_id", "name").distinct()
+    return now, drop_inactive_edges(edges, now), roots
+
+
 def drop_inactive_edges(edges: DataFrame, concepts: DataFrame) -> DataFrame:
     """Edges without self-loops and without ends that are inactive."""
     off = concepts.filter("is_active = 0").select("map_id", "id")

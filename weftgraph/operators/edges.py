@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -95,46 +97,84 @@ def clean_edges(edges: DataFrame, concepts: DataFrame) -> DataFrame:
     return rows.select("map_id", "origin", "target", "weight", "type")
 
 
-def reachable(adjacency: dict, start, goal) -> bool:
-    """Whether a path leads from start to goal."""
-    seen, todo = {start}, [start]
-    while todo:
-        for x in adjacency.get(todo.pop(), ()):
-            if x == goal:
-                return True
-            if x not in seen:
-                seen.add(x)
-                todo.append(x)
-    return False
+class _Tree:
+    """All nodes of a graph reached from one root, as a tree that is mended when one of its edges goes."""
+
+    def __init__(self, after: dict, before: dict, rank: dict, root):
+        self.after, self.before, self.rank, self.root = after, before, rank, root
+        found = self._grow([(-rank[root, x], root, x) for x in after.get(root, ())], None)
+        self.parent: dict = {root: None} | found
+        self.below: dict = {}
+        for y, x in found.items():
+            self.below.setdefault(x, set()).add(y)
+
+    def _grow(self, heap: list, inside: set | None) -> dict:
+        """Nodes with the node that they are taken from, strongest edges first; ``inside``: those that may be taken, or all."""
+        heapq.heapify(heap)
+        found: dict = {}
+        while heap:
+            _, a, b = heapq.heappop(heap)
+            if b in found or b == self.root:
+                continue
+            found[b] = a
+            for x in self.after.get(b, ()):
+                if x not in found and (inside is None or x in inside):
+                    heapq.heappush(heap, (-self.rank[b, x], b, x))
+        return found
+
+    def survives(self, a, b) -> bool:
+        """Whether all nodes are still reached without the edge (a, b), which is not in the graph any more; mends the tree if so."""
+        if self.parent[b] != a:
+            return True
+        cut, todo = {b}, [b]
+        while todo:
+            new = self.below.get(todo.pop(), ())
+            cut.update(new)
+            todo.extend(new)
+        heap = [(-self.rank[x, y], x, y) for y in cut for x in self.before.get(y, ()) if x not in cut]
+        found = self._grow(heap, cut)
+        if len(found) < len(cut):
+            return False
+        for y in cut:
+            self.below[self.parent[y]].discard(y)
+        for y, x in found.items():
+            self.parent[y] = x
+            self.below.setdefault(x, set()).add(y)
+        return True
 
 
 def mark_redundant(rows: pd.DataFrame) -> pd.DataFrame:
-    """One map's edges with redundant ones marked; see :func:`mark_redundant_edges`."""
+    """One map's edges with redundant ones marked; see :func:`mark_redundant_edges`.
+
+    Certificate of strong connection: a tree out of a root and a tree into it. An edge in neither goes without a search,
+    and the trees take the strongest edges first, so nearly all weak edges do. A tree edge goes if the part of the tree
+    below it is reached from the rest some other way, by a search of that part alone, which also mends the tree.
+    """
     nodes = set(rows["origin"]) | set(rows["target"])
     threshold = THRESHOLD_MANY if len(nodes) > FEW_NODES else THRESHOLD_FEW
     kinds = ["artificial" if w < threshold else t for w, t in zip(rows["weight"], rows["type"])]
     ends = list(zip(rows["origin"], rows["target"]))
-    forward: dict = {}
-    backward: dict = {}
+    order = sorted((w, i) for i, w in enumerate(rows["weight"]))
+    rank = {ends[i]: r for r, (_, i) in enumerate(order)}
+    after: dict = {}
+    before: dict = {}
     for a, b in ends:
-        forward.setdefault(a, set()).add(b)
-        backward.setdefault(b, set()).add(a)
-
-    def spanned(adjacency: dict, start) -> int:
-        seen, todo = {start}, [start]
-        while todo:
-            new = adjacency.get(todo.pop(), set()) - seen
-            seen |= new
-            todo += new
-        return len(seen)
-
-    strong = bool(nodes) and all(spanned(g, ends[0][0]) == len(nodes) for g in (forward, backward))
-    for w, i in sorted((w, i) for i, w in enumerate(rows["weight"]) if w < ROOT):
+        after.setdefault(a, set()).add(b)
+        before.setdefault(b, set()).add(a)
+    root = ends[0][0] if ends else None
+    out = _Tree(after, before, rank, root) if ends else None
+    into = _Tree(before, after, {(b, a): r for (a, b), r in rank.items()}, root) if ends else None
+    strong = bool(ends) and len(out.parent) == len(into.parent) == len(nodes)
+    for w, i in order:
+        if not w < ROOT:
+            continue
         a, b = ends[i]
-        forward[a].discard(b)
-        if not strong or not reachable(forward, a, b):
+        after[a].discard(b)
+        before[b].discard(a)
+        if not (strong and out.survives(a, b) and into.survives(b, a)):
             kinds[i] = "related"
-            forward[a].add(b)
+            after[a].add(b)
+            before[b].add(a)
     return rows.assign(type=kinds)
 
 
@@ -143,7 +183,8 @@ def mark_redundant_edges(edges: DataFrame) -> DataFrame:
     without which its map would not be strongly connected is kept and becomes related. No edge is deleted.
 
     Where a map is not strongly connected to begin with, every tested edge becomes related. The order matters, so a map is
-    one task's work (maps are user-sized graphs). Edges must be unique, without self-loops, with weights.
+    one task's work (maps are user-sized graphs); see :func:`mark_redundant` for why that is near linear in its edges.
+    Edges must be unique, without self-loops, with weights; equal weights are taken by origin and target.
     """
     columns = ["map_id", "origin", "target", "weight", "type"]
     ordered = lambda rows: mark_redundant(rows.sort_values(["origin", "target"], ignore_index=True))
