@@ -51,6 +51,13 @@ def k5_pack_small_clusters(spark, sf):
     return K.pack_small_clusters(_concepts(spark, sf).selectExpr("map_id", "id", "id % 23 * 3 % 17 AS cluster").filter("cluster < id % 19"))
 
 
+@query()
+def k5_packed_within_budget(spark, sf):
+    """Packs of every map within its number of clusters, maps that exceed it with the next multiplier."""
+    c = _concepts(spark, sf)
+    return K.packed_within_budget(c, c.select("map_id").distinct().selectExpr("map_id", "cast(5 + map_id as int) AS size", "0 AS mult"))
+
+
 @query("""SELECT map_id, cluster_id, '[' || string_agg('{"name":"' || name || '","question":"' || question || '"}', ',' ORDER BY id) || ']' AS payload FROM fx_concepts GROUP BY ALL""", _C)
 def k6_cluster_payload(spark, sf):
     return K.cluster_payload(_concepts(spark, sf))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import materialize, shared_dir
 from ..streaming import jobs as T
-from .base import query, table
+from ..streaming import segments as S
+from .base import ORACLES, query, table
+from .search import _chunks, _queries
 
 
 def _stream(spark, sf, name):
@@ -59,3 +61,29 @@ def t3_stream_latest_graph(spark, sf):
 def t4_stream_ingest_chunks(spark, sf):
     docs = _stream(spark, sf, "documents").select("doc_id", "text")
     return _finished(spark, T.stream_ingest_chunks(docs), "doc_id long, pos int, piece string")
+
+
+@query("SELECT user_id % 5 AS map_id, user_id AS id, arg_max(event_type, event_id) AS name, arg_max({'v': CASE WHEN event_id % 7 = 0 THEN NULL ELSE props END}, CASE WHEN event_id % 3 = 0 THEN event_id END).v AS details FROM events GROUP BY ALL")
+def t3_stream_graph_segments(spark, sf):
+    """The latest name and details of every node, as segments that five batches of events leave."""
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events")
+    events.repartition(5, "event_id").write.parquet(f"{path}/in")
+    items = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in").selectExpr(
+        "user_id % 5 AS map_id", "user_id AS id", "event_id AS seq", "IF(event_id % 3 = 0, array('name', 'details'), array('name')) AS given", "event_type AS name", "IF(event_id % 7 = 0, null, props) AS details"
+    )
+    graph = S.graph_segments(spark, f"{path}/graph", {"name": "string", "details": "string"})
+    S.stream_graph(items, graph, ["name", "details"]).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return S.latest_graph(graph, ["name", "details"])
+
+
+@query(ORACLES["r3_bm25_topk"])
+def t4_stream_index(spark, sf):
+    """The seven best documents of every benchmark text, in the index that five batches of documents leave."""
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    docs = _chunks(spark, sf)
+    docs.repartition(5, "doc_id").write.parquet(f"{path}/in")
+    chunks = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    index = S.index_segments(spark, f"{path}/index")
+    S.stream_index(chunks, index).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return S.search_index(index, _queries(spark, sf)).withColumn("score", F.round("score", 5))

@@ -17,7 +17,7 @@ from .concepts import ROOT, SYNTHESISED, dedup_edges_keep_max, id_changes, propa
 
 #: Sizes and budgets of clusters and levels.
 SIZE_CAP, SIZE_DEFAULT, SIZE_FLOOR, PACK, LEAST_CONCEPTS = 12, 5, 10, 12, 4
-#: Rows of a map that one task clusters; larger maps are split by bisecting k-means first.
+#: Concepts of a cell that one task clusters; larger ones are condensed to half as many micro-clusters first.
 MAP_ROWS = 4000
 
 
@@ -42,15 +42,16 @@ def level_plan(counts: DataFrame) -> DataFrame:
 # -- clusters ----------------------------------------------------------------------------------------------------------
 
 
-def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 50) -> np.ndarray:
-    """Labels 0 .. of k-means with k-means++ starts; fewer clusters where points coincide."""
+def kmeans(x: np.ndarray, k: int, weight: np.ndarray | None = None, seed: int = 0, rounds: int = 50) -> np.ndarray:
+    """Labels 0 .. of k-means with k-means++ starts; fewer clusters where points coincide. A point may stand for ``weight`` points."""
     rng = np.random.default_rng(seed)
+    w = np.ones(len(x)) if weight is None else weight
     k = min(k, len(x))
     centres = x[[int(rng.integers(len(x)))]]
-    d = ((x - centres[0]) ** 2).sum(1)
+    d = ((x - centres[0]) ** 2).sum(1) * w
     while len(centres) < k and d.sum() > 0:
         centres = np.vstack([centres, x[int(rng.choice(len(x), p=d / d.sum()))]])
-        d = np.minimum(d, ((x - centres[-1]) ** 2).sum(1))
+        d = np.minimum(d, ((x - centres[-1]) ** 2).sum(1) * w)
     labels = np.full(len(x), -1)
     for _ in range(rounds):
         new = ((centres**2).sum(1)[None, :] - 2 * x @ centres.T).argmin(1)
@@ -58,15 +59,16 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 50) -> np.ndarray
             break
         labels = new
         for c in np.unique(labels):
-            centres[c] = x[labels == c].mean(0)
+            centres[c] = np.average(x[labels == c], axis=0, weights=w[labels == c])
     return np.unique(labels, return_inverse=True)[1]
 
 
-def ward(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels 0 .. of k clusters by Ward's criterion, along nearest-neighbour chains."""
+def ward(x: np.ndarray, k: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """Labels 0 .. of k clusters by Ward's criterion, along nearest-neighbour chains. A point may stand for ``weight`` points."""
     n = len(x)
     k = min(k, n)
-    centre, size, active = x.astype(float).copy(), np.ones(n), np.ones(n, bool)
+    centre, active = x.astype(float).copy(), np.ones(n, bool)
+    size = np.ones(n) if weight is None else weight.astype(float).copy()
     merges, chain = [], []
     for _ in range(n - 1):
         if not chain:
@@ -124,44 +126,106 @@ def split_labels(x: np.ndarray, labels: np.ndarray, most: int, method) -> np.nda
     return out
 
 
-def cluster_embeddings(concepts: DataFrame, plan: DataFrame, method: str = "kmeans", split: bool = False, map_rows: int = MAP_ROWS) -> DataFrame:
-    """(map_id, id, cluster) of ``concepts(map_id, id, embedding)`` by ``plan(map_id, clusters, size)``; method kmeans, ward, or a function (x, k) -> labels.
+def _assigned(rows: DataFrame, centres: DataFrame, block: int = 8192) -> DataFrame:
+    """``rows(map_id, cell, id, embedding)`` with ``near``, the number of the nearest of its cell's ``centres(map_id, cell, near, centre)``."""
+    sizes = rows.groupBy("map_id", "cell").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    left = rows.join(sizes, ["map_id", "cell"]).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks")
+    right = centres.join(sizes, ["map_id", "cell"]).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+
+    def nearest(points: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        if not len(points):
+            return points.assign(near=pd.Series([], dtype="int64")).drop(columns="blk")
+        around = around.sort_values("near")
+        x, c = np.stack(points["embedding"]).astype(float), np.stack(around["centre"]).astype(float)
+        if len(c) > 1 and not np.ptp(c, axis=0).any():  # all centres are one point: any is the nearest
+            best = points["id"].to_numpy() % len(c)
+        else:
+            best = np.concatenate([((c**2).sum(1)[None, :] - 2 * x[i : i + 512] @ c.T).argmin(1) for i in range(0, len(x), 512)])
+        return points.assign(near=around["near"].to_numpy()[best]).drop(columns="blk")
+
+    schema = f"map_id long, cell long, id long, embedding array<double>, {'k long, ' if 'k' in rows.columns else ''}near long"
+    return left.groupBy("map_id", "cell", "blk").cogroup(right.groupBy("map_id", "cell", "blk")).applyInPandas(nearest, schema)
+
+
+def _condensed(rows: DataFrame, most: int, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Rows with their micro-cluster ``near``, and (map_id, cell, near, centre, n) of these, ``most`` a cell: k-means of all cells at once.
 
-    Maps of up to ``map_rows`` concepts are one task's work, with rows sorted by id so that results are stable. A larger map is first cut into cells
-    by Spark ML's bisecting k-means, and each cell gets its share of clusters. ``split`` also splits clusters over ``size``.
+    Centres start at the rows of least hashed id. Tasks assign blocks of rows to their cell's centres, and new centres are
+    partial sums of every component by (map_id, cell, near), so no cell meets in a task.
+    """
+    dims = len(rows.first()["embedding"])
+    order = W.partitionBy("map_id", "cell").orderBy(F.xxhash64("id"), "id")
+    centres = rows.withColumn("near", F.row_number().over(order).cast("long")).filter(F.col("near") <= most).select("map_id", "cell", "near", F.col("embedding").alias("centre"))
+    for last in [False] * rounds + [True]:
+        placed = materialize(_assigned(rows, materialize(centres, "centres")), "assigned")
+        sums = placed.groupBy("map_id", "cell", "near").agg(F.count("*").alias("n"), *[F.avg(F.col("embedding")[i]).alias(f"_{i}") for i in range(dims)])
+        centres = sums.select("map_id", "cell", "near", F.array(*[F.col(f"_{i}") for i in range(dims)]).alias("centre"), "n")
+        if last:
+            return placed, materialize(centres, "centres")
+        centres = centres.drop("n")
+
+
+def cluster_embeddings(concepts: DataFrame, plan: DataFrame, method: str = "kmeans", split: bool = False, map_rows: int = MAP_ROWS) -> DataFrame:
+    """(map_id, id, cluster) of ``concepts(map_id, id, embedding)`` by ``plan(map_id, clusters, size)``; method kmeans or ward.
+
+    Maps are cells that all rounds treat alike. A cell of up to ``map_rows`` concepts is clustered by one task, with rows sorted
+    by id so that results are stable. Of a larger one k-means over blocks first makes half as many micro-clusters, all cells
+    at once, and a task clusters these by the method with their numbers as weights: concepts in different micro-clusters
+    still meet. If a cell wants more clusters than an eighth of its micro-clusters can tell apart, or ``split`` asks for
+    clusters of ``size`` concepts at most, what comes out are cells of the next round, with their share of clusters. Rounds
+    grow with the logarithm of a map's size. Null embeddings are left out.
     """
-    f = METHODS[method] if isinstance(method, str) else method
-    rows = concepts.filter("embedding is not null").select("map_id", "id", "embedding")
-    sizes = rows.groupBy("map_id").agg(F.count("*").alias("n"))
-    large = [r["map_id"] for r in sizes.filter(F.col("n") > map_rows).collect()]
-    cells = rows.withColumn("cell", F.lit(0))
-    if large:
-        from pyspark.ml.clustering import BisectingKMeans
-        from pyspark.ml.functions import array_to_vector
-
-        parts = [cells.filter(~F.col("map_id").isin(large))]
-        for m in large:
-            one = rows.filter(F.col("map_id") == m).withColumn("features", array_to_vector("embedding"))
-            model = BisectingKMeans(k=-(-one.count() // (map_rows // 2)), seed=0, featuresCol="features", predictionCol="cell").fit(one)
-            parts.append(model.transform(one).select("map_id", "id", "embedding", "cell"))
-        cells = parts[0]
-        for p in parts[1:]:
-            cells = cells.union(p)
-    total = cells.groupBy("map_id").agg(F.count("*").alias("total"))
-    cells = cells.join(plan.select("map_id", "clusters", "size"), "map_id").join(total, "map_id")
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    f, micro = METHODS[method], max(2, map_rows // 2)
+    rows = concepts.filter("embedding is not null").select("map_id", "id", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = rows.join(plan.select("map_id", F.col("clusters").cast("long").alias("k")), "map_id").withColumn("cell", F.lit(0).cast("long"))
+    rows, done = rows.select("map_id", "cell", "id", "embedding", "k"), None
+    limits = plan.select("map_id", "size")
+
+    def whole(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id", ignore_index=True)
         x = np.stack(part["embedding"]).astype(float)
-        labels = f(x, max(1, round(int(part["clusters"][0]) * len(part) / int(part["total"][0]))))
+        labels = f(x, max(1, int(part["k"][0])))
         if split:
             labels = split_labels(x, labels, int(part["size"][0]), f)
         return pd.DataFrame({"map_id": part["map_id"], "id": part["id"], "cell": key[1], "label": labels})
 
-    found = cells.groupBy("map_id", "cell").applyInPandas(run, "map_id long, id long, cell int, label long")
-    names = found.groupBy("map_id", "cell", "label").agg(F.min("id").alias("first"))
+    def weighted(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("near", ignore_index=True)
+        n, k = part["n"].to_numpy().astype(float), int(part["k"][0])
+        if len(part) == 1:  # nothing tells these rows apart: halves by id
+            half = max(-(-k // 2), -(-int(n[0]) // (2 * int(part["size"][0]))) if split else 1)
+            return pd.DataFrame({"map_id": part["map_id"], "cell": key[1], "near": part["near"], "label": -1, "share": half})
+        labels = f(np.stack(part["centre"]).astype(float), max(2, min(k, len(part) // 8)), n)
+        if labels.max() == 0:
+            labels = np.arange(len(part)) % 2
+        total = np.bincount(labels, weights=n)[labels]
+        share = np.maximum(1, np.rint(k * total / n.sum())) if k > len(part) // 8 else np.ones(len(part))
+        if split:
+            share = np.maximum(share, np.ceil(total / part["size"].to_numpy()))
+        return pd.DataFrame({"map_id": part["map_id"], "cell": key[1], "near": part["near"], "label": labels, "share": share.astype(int)})
+
+    while True:
+        sizes = rows.groupBy("map_id", "cell").agg(F.count("*").alias("n"), F.max("k").alias("k"))
+        large = materialize(sizes.filter(F.col("n") > map_rows).select("map_id", "cell", F.col("k").alias("_k")), "large")
+        small = rows.join(large, ["map_id", "cell"], "left_anti").join(limits, "map_id")
+        found = small.groupBy("map_id", "cell").applyInPandas(whole, "map_id long, id long, cell long, label long")
+        found = found.select("map_id", "id", F.xxhash64("cell", "label").alias("part"))
+        done = found if done is None else done.union(found)
+        if not large.limit(1).count():
+            break
+        big = rows.join(large.select("map_id", "cell"), ["map_id", "cell"], "left_semi")
+        placed, centres = _condensed(big, micro)
+        named = centres.join(large.withColumnRenamed("_k", "k"), ["map_id", "cell"]).join(limits, "map_id")
+        named = materialize(named.groupBy("map_id", "cell").applyInPandas(weighted, "map_id long, cell long, near long, label long, share long"), "cells")
+        rows = placed.join(named, ["map_id", "cell", "near"]).select("map_id", F.xxhash64("cell", F.when(F.col("label") < 0, F.pmod(F.xxhash64("id", "cell"), F.lit(2))).otherwise(F.col("label"))).alias("cell"), "id", "embedding", F.col("share").alias("k"))
+        rows = materialize(rows, "cells")
+        if not split:  # a cell that wants one cluster is one, whatever its size
+            done = done.union(rows.filter("k = 1").select("map_id", "id", F.col("cell").alias("part")))
+            rows = rows.filter("k > 1")
+    done = materialize(done, "parts")
+    names = done.groupBy("map_id", "part").agg(F.min("id").alias("first"))
     names = names.withColumn("cluster", F.row_number().over(W.partitionBy("map_id").orderBy("first")) - 1)
-    return found.join(names, ["map_id", "cell", "label"]).select("map_id", "id", "cluster")
+    return done.join(names, ["map_id", "part"]).select("map_id", "id", "cluster")
 
 
 def pack_small_clusters(clusters: DataFrame, target: int = PACK) -> DataFrame:
@@ -175,6 +239,29 @@ def pack_small_clusters(clusters: DataFrame, target: int = PACK) -> DataFrame:
     return clusters.join(packs.select("map_id", "cluster", "pack"), ["map_id", "cluster"]).select("map_id", "id", "cluster", "pack")
 
 
+def packed_within_budget(concepts: DataFrame, plan: DataFrame, method: str = "ward", target: int = PACK, rounds: int = 20) -> DataFrame:
+    """(map_id, id, cluster, pack, mult) of ``concepts(map_id, id, embedding)`` by ``plan(map_id, size, mult)``: packs within 4 * 3^mult a map.
+
+    Every map is cut into 4 * 3^mult clusters, those over ``size`` are split and small ones packed. Maps that end with more packs
+    than that try again with ``mult`` + 1, all together in a round, until none is left; more clusters are smaller ones, which
+    pack better. ``target`` and size decide whether that ends; after ``rounds`` it is an error.
+    """
+    left = plan.select("map_id", "size", F.col("mult").cast("int").alias("mult"))
+    done = None
+    for _ in range(rounds):
+        asked = left.withColumn("clusters", (4 * F.pow(F.lit(3), F.col("mult"))).cast("long"))
+        rows = concepts.join(asked.select("map_id"), "map_id", "left_semi")
+        packs = materialize(pack_small_clusters(cluster_embeddings(rows, asked, method, split=True), target).join(asked, "map_id"), "packs")
+        over = packs.groupBy("map_id").agg(F.countDistinct("pack").alias("n"), F.max("clusters").alias("budget")).filter("n > budget").select("map_id")
+        over = materialize(over, "over-budget")
+        good = packs.join(over, "map_id", "left_anti").select("map_id", "id", "cluster", "pack", "mult")
+        done = good if done is None else done.union(good)
+        if not over.limit(1).count():
+            return done
+        left = left.join(over, "map_id", "left_semi").withColumn("mult", F.col("mult") + 1)
+    raise RuntimeError(f"packs exceed the budget after {rounds} rounds")
+
+
 def cluster_payload(concepts: DataFrame) -> DataFrame:
     """(map_id, cluster_id, payload): each cluster's {name, question} by id, as JSON."""
     rows = concepts.groupBy("map_id", "cluster_id").agg(F.sort_array(F.collect_list(F.struct("id", "name", "question"))).alias("l"))
