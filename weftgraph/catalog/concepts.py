@@ -140,6 +140,18 @@ def d6_rename_batches(spark, sf):
     return X.rename_batches(fixture(spark, sf, "fx_concepts"))
 
 
+_RENAMED = "CASE WHEN count(*) OVER (PARTITION BY map_id, name) > 1 THEN {} ELSE name END AS name"
+
+
+@query("WITH a AS (SELECT map_id, id, " + _RENAMED.format("'n' || (id % 29)") + " FROM fx_concepts), b AS (SELECT map_id, id, " + _RENAMED.format("CASE WHEN id % 4 = 0 THEN name ELSE 'x' || (id // 3) END") + " FROM a) SELECT map_id, id, " + _RENAMED.format("'y' || id") + " FROM b", "fx_concepts")
+def d6_rename_until_unique(spark, sf):
+    """Three rounds of names: proposals of the first clash with names that were not asked for, the second has none for every fourth concept."""
+    c = fixture(spark, sf, "fx_concepts").select("map_id", "id", "name")
+    rows = [("1", "concat('n', id % 29)", "true"), ("2", "concat('x', id div 3)", "id % 4 <> 0"), ("3", "concat('y', id)", "true")]
+    names = [c.filter(test).selectExpr("map_id", f"{attempt} AS attempt", "id", f"{name} AS name") for attempt, name, test in rows]
+    return X.rename_until_unique(c, names[0].union(names[1]).union(names[2]))[0]
+
+
 @query(r"""WITH t AS (SELECT doc_id % 7 AS map_id, doc_id AS id, coalesce(text, '') AS text, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[!-/:-@\[-`{-~]', '', 'g'), '[\x09-\x0D ]+', ' ', 'g')) AS n FROM documents),
 f AS (SELECT *, min(id) OVER (PARTITION BY map_id, n) AS least FROM t),
 r AS (SELECT map_id, id, least, CASE WHEN trim(regexp_replace(text, '[!-/:-@\[-`{-~]', '', 'g')) = '' OR length(trim(text)) <= 1 THEN 'trivial' WHEN n = 'same' THEN 'question' WHEN id > least THEN 'duplicate' END AS reason FROM f)

@@ -161,6 +161,38 @@ def g18_history_state(spark, sf):
     return G.history_state(fixture(spark, sf, "fx_history"), 300)
 
 
+_STEPS = """s AS (SELECT map_id, step, CASE WHEN step % 11 = 4 THEN 'other' ELSE 'me' END AS user, step % 5 > 1 OR map_id = 7 AS skip FROM fx_history),
+c AS (SELECT map_id, count(*) AS n, count(*) * (map_id + 1) // 11 AS cur FROM s GROUP BY map_id),
+u AS (SELECT map_id, n, cur, cur AS l FROM c UNION ALL SELECT u.map_id, n, cur, l - 1 FROM u JOIN s ON s.map_id = u.map_id AND s.step = l WHERE s.user = 'me' AND skip),
+r AS (SELECT map_id, n, cur, cur + 1 AS r FROM c UNION ALL SELECT r.map_id, n, cur, r + 1 FROM r JOIN s ON s.map_id = r.map_id AND s.step = r + 1 WHERE s.user = 'me' AND skip),
+w AS (SELECT map_id, n, cur, cur + 1 AS w FROM c UNION ALL SELECT w.map_id, n, cur, w + 1 FROM w JOIN s ON s.map_id = w.map_id AND s.step = w WHERE s.user = 'me' AND skip AND w + 1 < n),
+e AS (SELECT c.map_id, n, cur, (SELECT min(l) FROM u WHERE u.map_id = c.map_id) AS l, (SELECT max(r) FROM r WHERE r.map_id = c.map_id) AS r, (SELECT max(w) FROM w WHERE w.map_id = c.map_id) AS w FROM c),
+g AS (SELECT e.*, h.user = 'me' AS me_h, x.user = 'me' AS me_at, y.user = 'me' AS me_r, z.user = 'me' AS me_w FROM e LEFT JOIN s h ON h.map_id = e.map_id AND h.step = l LEFT JOIN s x ON x.map_id = e.map_id AND x.step = cur
+      LEFT JOIN s y ON y.map_id = e.map_id AND y.step = r LEFT JOIN s z ON z.map_id = e.map_id AND z.step = w),
+t AS (SELECT map_id, CASE WHEN me_at AND l >= 0 THEN l END AS undo_first, CASE WHEN me_at AND l >= 0 THEN cur END AS undo_last, CASE WHEN me_r THEN cur + 1 END AS redo_first, CASE WHEN me_r THEN r END AS redo_last,
+      cur < n AND l >= 0 AND coalesce(me_h, false) AS can_undo, cur + 1 < n AND coalesce(me_w, false) AS can_redo FROM g)"""
+
+
+def _ranges(spark, sf):
+    h = fixture(spark, sf, "fx_history")
+    steps = h.selectExpr("map_id", "step", "CASE WHEN step % 11 = 4 THEN 'other' ELSE 'me' END AS user", "step % 5 > 1 OR map_id = 7 AS skip")
+    current = h.groupBy("map_id").agg(F.expr("count(*) * (map_id + 1) div 11").alias("step"))
+    return h, G.undo_redo_ranges(steps, current, "me")
+
+
+@query("WITH RECURSIVE " + _STEPS + " SELECT * FROM t", "fx_history")
+def g18_undo_redo_ranges(spark, sf):
+    """Grouped steps by the step-by-step walk of the SQL; map 7 has skipped steps only."""
+    return _ranges(spark, sf)[1]
+
+
+@query("WITH RECURSIVE " + _STEPS + """ SELECT h.map_id, 'undo' AS action, type, id, arg_min('o' || new_value, step) AS value FROM fx_history h JOIN t ON t.map_id = h.map_id AND step BETWEEN undo_first AND undo_last GROUP BY ALL
+UNION ALL SELECT h.map_id, 'redo', type, id, arg_max(new_value, step) FROM fx_history h JOIN t ON t.map_id = h.map_id AND step BETWEEN redo_first AND redo_last GROUP BY ALL""", "fx_history")
+def g18_undo_redo_values(spark, sf):
+    h, ranges = _ranges(spark, sf)
+    return G.undo_redo_values(h.withColumn("old_value", F.concat(F.lit("o"), "new_value")), ranges)
+
+
 @query("SELECT map_id, id, name, CASE WHEN id % 3 = 0 THEN ['a', 'b'] ELSE [question] END AS questions FROM fx_concepts", "fx_concepts")
 def g19_normalise_questions(spark, sf):
     return G.normalise_questions(fixture(spark, sf, "fx_concepts").select("map_id", "id", "name", "question", F.expr("CASE WHEN id % 3 = 0 THEN array('a', 'b') END").alias("questions")))

@@ -242,6 +242,26 @@ def apply_names(concepts: DataFrame, names: DataFrame) -> DataFrame:
     return concepts.join(new, ["map_id", "id"], "left").withColumn("name", F.coalesce("_new", "name")).drop("_new")
 
 
+def rename_until_unique(concepts: DataFrame, names: DataFrame, tries: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(concepts, rest): concepts whose names repeat in their map renamed by ``names(map_id, attempt, id, name)``, ``tries`` times at most.
+
+    In each attempt, from 1, all concepts of a repeated name take the name proposed for them, where there is one; a proposal may
+    clash with any name of the map, which the next attempt looks at. A map is done when its names are distinct, and only maps
+    that are not, and names that repeat in them, take part in the next attempt. ``rest(map_id, name, n)`` are names that repeat
+    at the end.
+    """
+    repeated = lambda rows: rows.groupBy("map_id", "name").agg(F.count("*").alias("n")).filter("n > 1")
+    now = concepts
+    for attempt in range(1, tries + 1):
+        again = materialize(repeated(now), "repeated")
+        if not again.limit(1).count():
+            break
+        asked = now.join(again.select("map_id", "name"), ["map_id", "name"], "left_semi").select("map_id", "id")
+        given = names.filter(F.col("attempt") == attempt).select("map_id", "id", "name").join(asked, ["map_id", "id"], "left_semi")
+        now = materialize(apply_names(now, given), "renamed")
+    return now, repeated(now)
+
+
 def duplicate_node_report(nodes: DataFrame) -> DataFrame:
     """(map_id, id, duplicate_of, reason) of ``nodes(map_id, id, question, details)``: details equal to an earlier node's once
     normalised, details that repeat the question, or trivial ones. One aggregate by hash; no pairs are listed."""

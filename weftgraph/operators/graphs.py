@@ -278,6 +278,57 @@ def history_state(steps: DataFrame, at: int) -> DataFrame:
     return steps.filter(F.col("step") <= at).groupBy("map_id", "type", "id").agg(F.max_by("new_value", "step").alias("value"))
 
 
+def undo_redo_ranges(steps: DataFrame, current: DataFrame, user: str) -> DataFrame:
+    """(map_id, undo_first, undo_last, redo_first, redo_last, can_undo, can_redo) of ``current(map_id, step)`` for ``user``.
+
+    ``steps(map_id, step, user, skip)`` count from 0. The user's skipped steps belong to the step before them: undoing starts at the
+    current step and goes back to the first that does not belong to its predecessor, redoing takes the next step and all that
+    belong to it. A range is null where there is nothing, or where its step is another user's. can_undo and can_redo are
+    whether the step where such a walk ends is the user's. One aggregate a map, no windows.
+    """
+    rows = steps.join(current.select("map_id", F.col("step").alias("_at")), "map_id").withColumn("_own", F.col("user") == user)
+    here, alone = F.col("step"), ~(F.col("_own") & F.coalesce("skip", F.lit(False)))
+    when = lambda test, value=here: F.when(test, value)
+    back, ahead = (here <= F.col("_at")) & alone, here > F.col("_at")
+    found = rows.groupBy("map_id", "_at").agg(
+        F.count("*").alias("n"),
+        F.max(when(back)).alias("head"),
+        F.max_by("_own", when(back)).alias("head_own"),
+        F.max(when(here == F.col("_at"), F.col("_own"))).alias("here_own"),
+        F.max(when(here == F.col("_at") + 1, F.col("_own"))).alias("next_own"),
+        F.min(when((here > F.col("_at") + 1) & alone)).alias("stop"),
+        F.min_by("_own", when(ahead & alone)).alias("stop_own"),
+        F.max_by("_own", "step").alias("end_own"),
+        F.max(ahead & alone).alias("any_alone"),
+    )
+    undo = F.col("here_own") & F.col("head").isNotNull()
+    last = F.coalesce(F.col("stop") - 1, F.col("n") - 1)
+    redo = F.coalesce("next_own", F.lit(False)) | (last > F.col("_at") + 1)
+    ends = F.when(F.col("any_alone"), F.col("stop_own")).otherwise(F.col("end_own"))
+    return found.select(
+        "map_id",
+        F.when(undo, F.col("head")).alias("undo_first"),
+        F.when(undo, F.col("_at")).alias("undo_last"),
+        F.when(redo, F.col("_at") + 1).alias("redo_first"),
+        F.when(redo, last).alias("redo_last"),
+        ((F.col("_at") < F.col("n")) & F.coalesce("head_own", F.lit(False))).alias("can_undo"),
+        ((F.col("_at") + 1 < F.col("n")) & F.coalesce(ends, F.lit(False))).alias("can_redo"),
+    )
+
+
+def undo_redo_values(changes: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(map_id, action, type, id, value) of ``changes(map_id, step, type, id, old_value, new_value)``: what undoing or redoing a range leaves.
+
+    Undoing gives the old value of a field's first change in the range, redoing the new value of its last; null deletes it.
+    """
+    out = []
+    for action, value, pick in (("undo", "old_value", F.min_by), ("redo", "new_value", F.max_by)):
+        span = ranges.select("map_id", F.col(f"{action}_first").alias("_a"), F.col(f"{action}_last").alias("_b")).filter("_a is not null")
+        rows = changes.join(span, "map_id").filter("step between _a and _b")
+        out.append(rows.groupBy("map_id", F.lit(action).alias("action"), "type", "id").agg(pick(value, "step").alias("value")))
+    return out[0].union(out[1])
+
+
 def append_step(steps: DataFrame, current: DataFrame, new: DataFrame, keep: int = HISTORY) -> DataFrame:
     """Steps of each map up to ``current(map_id, step)`` (undone ones go) with those of ``new``; the last ``keep`` step numbers stay."""
     rows = steps.join(current.select("map_id", F.col("step").alias("_c")), "map_id", "left").filter("_c is null or step <= _c").select(steps.columns)
