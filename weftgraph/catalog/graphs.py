@@ -105,6 +105,15 @@ def g11_subgraph(spark, sf):
     return G.subgraph(e, starts)[0]
 
 
+@query("""WITH RECURSIVE b AS (SELECT map_id, origin AS a, target AS z FROM fx_links WHERE origin <> target UNION SELECT map_id, target, origin FROM fx_links WHERE origin <> target),
+p AS (SELECT map_id, id AS start, id + 5 * (1 + id % 7) AS previous, id, [id] AS path FROM fx_concepts UNION ALL SELECT p.map_id, start, previous, z, list_append(path, z) FROM p JOIN b ON b.map_id = p.map_id AND b.a = p.id WHERE len(path) <= 4 AND p.id <> previous)
+SELECT map_id, start, previous, path FROM p WHERE id = previous QUALIFY row_number() OVER (PARTITION BY map_id, start, previous ORDER BY len(path), path) = 1""", "fx_links fx_concepts")
+def g11_path_to_previous(spark, sf):
+    """Shortest ways of up to four steps between every concept and one a few places on."""
+    pairs = fixture(spark, sf, "fx_concepts").selectExpr("map_id", "id AS start", "id + 5 * (1 + id % 7) AS previous")
+    return G.path_to_previous(fixture(spark, sf, "fx_links"), pairs, 4)
+
+
 @query("""WITH p AS (SELECT map_id, id + CASE WHEN id % 3 = 0 THEN 5000 ELSE 0 END AS id, 'p' || id AS name, NULL AS question FROM fx_concepts WHERE id % 2 = 0)
 SELECT coalesce(c.map_id, p.map_id) AS map_id, coalesce(c.id, p.id) AS id, CASE WHEN p.id IS NOT NULL THEN p.name ELSE c.name END AS name, CASE WHEN p.id % 4 = 0 THEN NULL ELSE c.question END AS question
 FROM fx_concepts c FULL OUTER JOIN p ON p.map_id = c.map_id AND p.id = c.id WHERE coalesce(c.id, p.id) % 10 <> 9""", "fx_concepts")

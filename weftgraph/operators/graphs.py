@@ -165,15 +165,50 @@ def label_edges_to_ids(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return one.union(one.select("map_id", "target", "origin"))
 
 
-def subgraph(edges: DataFrame, starts: DataFrame, depth: int = 3, max_nodes: int = MAX_NODES, universal: bool = True) -> tuple[DataFrame, DataFrame]:
+def path_to_previous(edges: DataFrame, pairs: DataFrame, depth: int = 3) -> DataFrame:
+    """(map_id, start, previous, path): a shortest way of at most ``depth`` steps from ``start`` to ``previous`` along edges in either direction.
+
+    Of equally short ways the one with the least ids in order; ``pairs(map_id, start, previous)`` without one are left out. Both ends
+    are searched breadth-first in turns, a level at a time, until they meet in the middle; each node found keeps the least way
+    to it, and pairs that have met are not followed further.
+    """
+    one = edges.filter("origin <> target").select("map_id", "origin", "target")
+    both = materialize(one.union(one.select("map_id", "target", "origin")).distinct(), "ways")
+    keys = ["map_id", "start", "previous"]
+    ends = pairs.select(*keys).distinct()
+    sides = {c: materialize(ends.select(*keys, F.col(c).alias("id"), F.array(c).alias("path"), F.lit(0).alias("steps")), "side") for c in ("start", "previous")}
+    done = None
+    for level in range(depth + 1):
+        if level:
+            c = "start" if level % 2 else "previous"
+            seen, steps = sides[c], (level + 1) // 2
+            front = seen.filter(F.col("steps") == steps - 1).join(done.select(*keys), keys, "left_anti")
+            near = front.join(both, (front["map_id"] == both["map_id"]) & (front["id"] == both["origin"])).select(*[front[k] for k in keys], F.col("target").alias("to"), "path")
+            way = F.concat("path", F.array("to")) if c == "start" else F.concat(F.array("to"), F.col("path"))
+            found = near.groupBy(*keys, F.col("to").alias("id")).agg(F.min(way).alias("path"))
+            found = found.join(seen.select(*keys, "id"), [*keys, "id"], "left_anti").withColumn("steps", F.lit(steps))
+            sides[c] = materialize(seen.unionByName(found), "side")
+        back = sides["previous"].select(*keys, "id", F.col("path").alias("_rest"))
+        met = sides["start"].join(back, [*keys, "id"]).groupBy(*keys).agg(F.min(F.concat("path", F.expr("slice(_rest, 2, size(_rest))"))).alias("path"))
+        met = met if done is None else met.join(done.select(*keys), keys, "left_anti")
+        done = materialize(met if done is None else done.unionByName(met), "met")
+    return done
+
+
+def subgraph(edges: DataFrame, starts: DataFrame, depth: int = 3, max_nodes: int = MAX_NODES, universal: bool = True, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (map_id, start, id, depth) and tree edges (map_id, start, origin, target) found breadth-first from each of ``starts(map_id, start)``.
 
     Neighbours go Manual, Init, Generated and then by id; in universal mode a start shows six at most. A node hangs on the first that finds it.
-    Every level is one join of its frontier, at most ``max_nodes`` rows a start, with the edges.
+    Every level is one join of its frontier, at most ``max_nodes`` rows a start, with the edges. With ``previous(map_id, start, previous)``,
+    one node a start, the way to it (:func:`path_to_previous`) is in the result whatever its length, before all others.
     """
     order = F.when(F.col("type") == "Manual", 0).when(F.col("type") == "Init", 1).otherwise(2)
     both = edges.filter("origin <> target").select("map_id", "origin", "target", order.alias("o")).groupBy("map_id", "origin", "target").agg(F.min("o").alias("o"))
     seen = starts.select("map_id", "start", F.col("start").alias("id"), F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("parent"))
+    if previous is not None:
+        ways = path_to_previous(edges, previous.join(starts, ["map_id", "start"], "left_semi"), depth).select("map_id", "start", F.posexplode("path").alias("n", "id"), "path")
+        parent = F.expr("element_at(path, n)")  # counts from 1: the node before
+        seen = seen.unionByName(ways.filter("n > 0").select("map_id", "start", "id", F.col("n").alias("depth"), "n", parent.alias("parent")))
     seen = materialize(seen, "seen")
     for level in range(1, depth + 1):
         front = seen.filter(F.col("depth") == level - 1).select("map_id", "start", F.col("id").alias("origin"), F.col("n").alias("pn"))
