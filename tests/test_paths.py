@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from weftgraph.operators import graphs as G
 
 
@@ -29,3 +31,11 @@ def test_the_way_comes_first_in_a_sub_graph(spark):
     nodes, tree = G.subgraph(edges, start, 3, 5, previous=spark.createDataFrame([(1, 0, 8)], "map_id long, start long, previous long"))
     assert sorted((r.id, r.depth) for r in nodes.collect()) == [(0, 0), (7, 1), (8, 2), (10, 1), (11, 1)]
     assert {(r.origin, r.target) for r in tree.collect()} == {(0, 7), (7, 8), (0, 10), (0, 11)}
+
+
+@pytest.mark.parametrize("big", [1 << 31, -1])
+def test_ids_that_would_merge_maps_are_an_error(spark, big):
+    nodes = spark.createDataFrame([(0, 1, "a"), (0, big, "b")], "map_id long, id long, name string")
+    edges = spark.createDataFrame([(0, 1, big)], "map_id long, origin long, target long")
+    with pytest.raises(Exception, match="must be in 0"):
+        G.tree_check(nodes, edges, spark.createDataFrame([(0, 1)], "map_id long, root long")).collect()

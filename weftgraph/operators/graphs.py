@@ -133,9 +133,10 @@ def tree_check(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFram
     """(map_id, duplicate_labels, root_ok, dangling, components, cycle) of each map with nodes.
 
     Components are those of the undirected graph of edges with both ends; parallel edges and self-loops are cycles: there is one
-    if there are more such edges than nodes less components. Node ids must be below 2^31 and map ids below 2^31.
+    if there are more such edges than nodes less components. Node ids and map ids outside of 0 .. 2^31 - 1 are an error.
     """
-    key = lambda c: (F.col("map_id") * (1 << 31) + F.col(c)).alias(c)
+    fits = lambda c: F.col(c).between(0, (1 << 31) - 1)
+    key = lambda c: F.when(fits("map_id") & fits(c), F.col("map_id") * (1 << 31) + F.col(c)).otherwise(F.raise_error(F.lit("node ids and map ids must be in 0 .. 2^31 - 1")).cast("long")).alias(c)
     labels = nodes.groupBy("map_id", "name").agg(F.count("*").alias("n")).filter("n > 1").groupBy("map_id").agg(F.count("*").alias("duplicate_labels"))
     ids = nodes.select("map_id", "id").distinct()
     valid = edges
