@@ -1,5 +1,8 @@
 """Stems of English terms against the published sample vocabulary and cases of every rule."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from weftgraph.functions.stems import english_stems
@@ -60,3 +63,30 @@ def test_stems_are_joined_on_distinct_terms_without_python(spark):
     rows = spark.range(100).select(F.lit("running").alias("term"), "id")
     plan = R.stem_terms(rows)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and R.stem_terms(rows).filter("term = 'run'").count() == 100
+
+
+def test_blocks_of_scores_equal_a_plain_loop(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(25)]
+    docs = {(f"d{i % 40}", i // 40): rng.choices(words, k=rng.randint(0, 12)) for i in range(120)}
+    asked = {q: rng.choices(words + ["none"], k=q % 5) for q in range(30)}
+    monkeypatch.setattr(R, "CHUNK_BLOCK", 16)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 4)
+    rows = spark.createDataFrame([(*k, t) for k, t in docs.items()], "doc_id string, chunk_id int, tokens array<string>")
+    got = R.bm25_topk(spark.createDataFrame(list(asked.items()), "query_id long, tokens array<string>"), *R.bm25_index(rows), k=3)
+    count = {w: sum(w in t for t in docs.values()) for w in words}
+    raw = {w: math.log((len(docs) - n + 0.5) / (n + 0.5)) for w, n in count.items() if n}
+    idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    mean = sum(map(len, docs.values())) / len(docs)
+    want = []
+    for q, tokens in asked.items():
+        scores = {}
+        for key, t in docs.items():
+            if set(t) & set(tokens):
+                scores[key] = round(sum(idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in tokens if w in t), 9)
+        best = sorted(scores, key=lambda key: (scores[key], key), reverse=True)[:3]
+        want += [(q, n, *key, scores[key]) for n, key in enumerate(best, 1)]
+    found = sorted(map(tuple, got.collect()))
+    assert [r[:4] for r in found] == [r[:4] for r in want] and all(abs(a[4] - b[4]) < 2e-9 for a, b in zip(found, want))
+    assert R.bm25_topk(spark.createDataFrame([], "query_id long, tokens array<string>"), *R.bm25_index(rows)).count() == 0
+    assert R.bm25_topk(spark.createDataFrame([(1, ["w1"])], "query_id long, tokens array<string>"), *R.bm25_index(rows.limit(0))).count() == 0
