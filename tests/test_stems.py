@@ -90,3 +90,23 @@ def test_blocks_of_scores_equal_a_plain_loop(spark, monkeypatch):
     assert [r[:4] for r in found] == [r[:4] for r in want] and all(abs(a[4] - b[4]) < 2e-9 for a, b in zip(found, want))
     assert R.bm25_topk(spark.createDataFrame([], "query_id long, tokens array<string>"), *R.bm25_index(rows)).count() == 0
     assert R.bm25_topk(spark.createDataFrame([(1, ["w1"])], "query_id long, tokens array<string>"), *R.bm25_index(rows.limit(0))).count() == 0
+
+
+def test_sql_stems_equal_the_published_ones():
+    import duckdb
+
+    from weftgraph.catalog.stemsql import stem_sql
+
+    want = pairs(STEMS) | pairs(CASES) | {"": "", "é": "é", ",": ","}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE words AS SELECT unnest(?) AS term", [list(want)])
+    assert dict(con.sql(f"WITH {stem_sql('words')} SELECT term, stem FROM stems").fetchall()) == want
+
+
+def test_an_index_shuffles_chunks_and_no_terms(spark):
+    rows = spark.range(1000).selectExpr("id AS doc_id", "0 AS chunk_id", "array('a', 'b', 'a') AS tokens")
+    for stemmed in (False, True):
+        postings, _ = R.bm25_index(rows, stemmed)
+        plan = postings._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, plan
+        assert postings.filter("tf = 2 and n = 3").count() == 1000

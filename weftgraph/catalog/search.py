@@ -5,10 +5,13 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
 from .base import fixture, query, table
+from .stemsql import stem_sql
 
 _STOP = ", ".join(f"'{w}'" for w in R.STOP_WORDS)
 _TOKENS = rf"[lower(t) FOR t IN regexp_extract_all(coalesce(text, ''), '\w+|[^\w\s]') IF t NOT IN ({_STOP})]"
-_INDEX = f"""c AS (SELECT doc_id, {_TOKENS} AS tokens FROM documents), t AS (SELECT doc_id, unnest(tokens) AS term FROM c), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL)"""
+_CUT = f"c AS (SELECT doc_id, {_TOKENS} AS tokens FROM documents), b AS (SELECT item_id, {_TOKENS} AS tokens FROM benchmark)"
+_STEMS = _CUT + ", terms AS (SELECT unnest(tokens) AS term FROM c UNION ALL SELECT unnest(tokens) FROM b), " + stem_sql("terms")
+_INDEX = _STEMS + """, t AS (SELECT doc_id, unnest(tokens) AS term FROM c), p AS (SELECT doc_id, stem AS term, count(*) AS tf FROM t JOIN stems USING (term) GROUP BY ALL)"""
 _IDF = """, raw AS (SELECT term, ln(((SELECT count(*) FROM c) - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM p GROUP BY term), idf AS (SELECT term, CASE WHEN raw < 0 THEN (SELECT 0.25 * avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
 
 
@@ -17,28 +20,31 @@ def _chunks(spark, sf):
 
 
 def _queries(spark, sf):
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), R.keywords(F.col("text")).alias("tokens"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), R.keywords(F.col("text")).alias("tokens"))
+    return R.stem_tokens(asked, "query_id")
 
 
 def _vectors(spark, sf):
     return fixture(spark, sf, "fx_concepts").select("map_id", "id", "embedding")
 
 
-@query(f"SELECT doc_id, len({_TOKENS}) AS n, md5(array_to_string({_TOKENS}, ' ')) AS digest FROM documents")
+@query(f"""WITH {_STEMS}, s AS (SELECT doc_id, count(*) AS n, string_agg(stem, ' ' ORDER BY pos) AS l FROM (SELECT doc_id, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS pos FROM c) JOIN stems USING (term) GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n, 0) AS n, md5(coalesce(l, '')) AS digest FROM c LEFT JOIN s USING (doc_id)""")
 def r1_keywords(spark, sf):
-    return _chunks(spark, sf).select("doc_id", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"))
+    stems = R.stem_tokens(_chunks(spark, sf).select("doc_id", "tokens"), "doc_id")
+    return stems.select("doc_id", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("digest"))
 
 
 @query(f"WITH {_INDEX}{_IDF} SELECT term, round(idf, 6) AS idf FROM idf")
 def r2_bm25_index(spark, sf):
-    return R.bm25_idf(*R.bm25_index(_chunks(spark, sf))).select("term", F.round("idf", 6).alias("idf"))
+    return R.bm25_idf(*R.bm25_index(_chunks(spark, sf), stemmed=True)).select("term", F.round("idf", 6).alias("idf"))
 
 
-@query(f"""WITH {_INDEX}{_IDF}, q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY ALL), l AS (SELECT doc_id, len(tokens) AS n FROM c),
+@query(f"""WITH {_INDEX}{_IDF}, q AS (SELECT item_id AS query_id, stem AS term, count(*) AS times FROM (SELECT item_id, unnest(tokens) AS term FROM b) JOIN stems USING (term) GROUP BY ALL), l AS (SELECT doc_id, len(tokens) AS n FROM c),
 s AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / (SELECT avg(n) FROM l)))), 9) AS score FROM p JOIN q USING (term) JOIN idf USING (term) JOIN l USING (doc_id) GROUP BY ALL)
 SELECT query_id, CAST(r AS INTEGER) AS rank, doc_id, 0 AS chunk_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS r FROM s) WHERE r <= 7""")
 def r3_bm25_topk(spark, sf):
-    postings, lengths = R.bm25_index(_chunks(spark, sf))
+    postings, lengths = R.bm25_index(_chunks(spark, sf), stemmed=True)
     return R.bm25_topk(_queries(spark, sf), postings, lengths).withColumn("score", F.round("score", 5))
 
 

@@ -85,5 +85,5 @@ def t4_stream_index(spark, sf):
     docs.repartition(5, "doc_id").write.parquet(f"{path}/in")
     chunks = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     index = S.index_segments(spark, f"{path}/index")
-    S.stream_index(chunks, index).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    S.stream_index(chunks, index, stemmed=True).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return S.search_index(index, _queries(spark, sf)).withColumn("score", F.round("score", 5))

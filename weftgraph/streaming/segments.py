@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.retrieval import bm25_index, bm25_topk, idf_of
 
 _LOG = "segment string, tier int, kind string"
-_POSTINGS = "doc_id long, chunk_id int, term string, tf long"
+_POSTINGS = "doc_id long, chunk_id int, term string, tf long, n long"
 _LENGTHS = "doc_id long, chunk_id int, n long"
 
 
@@ -83,19 +83,19 @@ def index_segments(spark: SparkSession, root: str, fan: int = 4) -> Segments:
     return Segments(spark, root, {"postings": _POSTINGS, "lengths": _LENGTHS, "terms": "term string, df long"}, merge, fan)
 
 
-def add_chunks(index: Segments, batch: DataFrame, number: int) -> None:
-    """Index the chunks ``batch(doc_id, chunk_id, tokens)`` as batch ``number``; chunks must be new."""
-    postings, lengths = bm25_index(batch.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("chunk_id").cast("int").alias("chunk_id"), "tokens"))
+def add_chunks(index: Segments, batch: DataFrame, number: int, stemmed: bool = False) -> None:
+    """Index the chunks ``batch(doc_id, chunk_id, tokens)`` as batch ``number``, their stems if so asked; chunks must be new."""
+    postings, lengths = bm25_index(batch.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("chunk_id").cast("int").alias("chunk_id"), "tokens"), stemmed)
     index.add(number, {"postings": postings, "lengths": lengths, "terms": postings.groupBy("term").agg(F.count("*").alias("df"))})
 
 
-def stream_index(chunks: DataFrame, index: Segments):
+def stream_index(chunks: DataFrame, index: Segments, stemmed: bool = False):
     """A stream writer that makes chunks searchable as they arrive; see :func:`add_chunks`. The batch's size is what a batch costs."""
 
     def write(batch: DataFrame, number: int) -> None:
         held = batch.persist()
         try:
-            add_chunks(index, held, number)
+            add_chunks(index, held, number, stemmed)
         finally:
             held.unpersist()
 
