@@ -110,3 +110,10 @@ def test_an_index_shuffles_chunks_and_no_terms(spark):
         plan = postings._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1, plan
         assert postings.filter("tf = 2 and n = 3").count() == 1000
+
+
+def test_more_stems_than_are_sent_are_joined(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 0, ["run", "running", "dog"]), (2, 0, ["dogs", "é"])], "doc_id long, chunk_id int, tokens array<string>")
+    want = sorted(R.bm25_index(rows, stemmed=True)[0].collect())
+    monkeypatch.setattr(R, "STEMS_SENT", 0)
+    assert sorted(R.bm25_index(rows, stemmed=True)[0].collect()) == want and len(want) == 4
