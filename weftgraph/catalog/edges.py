@@ -35,11 +35,13 @@ def e1_similarity(spark, sf):
     return V.top_similar(v, v, 5, block=64).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query("WITH " + _VEC + """, p AS (SELECT DISTINCT map_id, origin AS a, target AS b FROM fx_edges),
+d AS (SELECT p.*, list_distance(x.e, y.e) ** 2 AS d FROM p JOIN v x ON x.map_id = p.map_id AND x.id = p.a JOIN v y ON y.map_id = p.map_id AND y.id = p.b)
+SELECT map_id, a, b, round(1 - d / nullif(max(d) OVER (PARTITION BY map_id), 0), 6) AS score FROM d""", "fx_concepts fx_edges")
 def e1_pair_scores(spark, sf):
     v = _vectors(spark, sf)
     pairs = fixture(spark, sf, "fx_edges").select("map_id", F.col("origin").alias("a"), F.col("target").alias("b")).distinct()
-    return V.squared_similarity(pairs, v)
+    return V.squared_similarity(pairs, v).withColumn("score", F.round("score", 6))
 
 
 @query("WITH " + _K + """, r AS (SELECT map_id, min(origin) AS root FROM k GROUP BY map_id), e AS (SELECT k.* FROM k JOIN r USING (map_id) WHERE NOT (origin = root AND map_id % 2 = 1 AND target % 100 > 1)),
