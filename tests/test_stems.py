@@ -117,3 +117,10 @@ def test_more_stems_than_are_sent_are_joined(spark, monkeypatch):
     want = sorted(R.bm25_index(rows, stemmed=True)[0].collect())
     monkeypatch.setattr(R, "STEMS_SENT", 0)
     assert sorted(R.bm25_index(rows, stemmed=True)[0].collect()) == want and len(want) == 4
+
+
+def test_tokens_with_line_breaks_nulls_and_nothing_are_counted(spark):
+    rows = [(1, 0, ["a\nb", "a", "a"]), (2, 0, [""]), (3, 0, ["a", None]), (4, 0, []), (5, 0, None), (6, 0, ["a", "", ""])]
+    postings, lengths = R.bm25_index(spark.createDataFrame(rows, "doc_id long, chunk_id int, tokens array<string>"))
+    want = {(1, "a\nb"): 1, (1, "a"): 2, (2, ""): 1, (3, "a"): 1, (3, None): 1, (6, "a"): 1, (6, ""): 2}
+    assert {(r.doc_id, r.term): r.tf for r in postings.collect()} == want and lengths.count() == 6
