@@ -121,10 +121,12 @@ def r9_match_features(spark, sf):
     return found.select("map_id", "query_id", "node_id", *[F.round(c, 6).alias(c) for c in FEATURES])
 
 
-@query("SELECT e.event_id, d.doc_id, d.lang FROM events e JOIN documents d ON d.doc_id = e.event_id")
+@query("WITH h AS (SELECT event_id, event_id % (SELECT max(doc_id) + 1 FROM documents) AS doc_id FROM events) SELECT event_id, doc_id, lang FROM h JOIN documents USING (doc_id)")
 def r10_chunk_lookup(spark, sf):
-    hits = table(spark, sf, "events").selectExpr("event_id", "event_id AS doc_id", "0 AS chunk_id")
-    return R.chunk_lookup(hits, table(spark, sf, "documents").selectExpr("doc_id", "0 AS chunk_id", "lang")).drop("chunk_id")
+    """Every event is a hit, and every document may be looked up."""
+    chunks = table(spark, sf, "documents").selectExpr("doc_id", "0 AS chunk_id", "lang")
+    hits = table(spark, sf, "events").select("event_id", (F.col("event_id") % chunks.agg(F.max("doc_id") + 1).scalar()).alias("doc_id"), F.lit(0).alias("chunk_id"))
+    return R.chunk_lookup(hits, chunks).drop("chunk_id")
 
 
 @query("""WITH h AS (SELECT user_id AS query_id, event_id % 6 AS doc_id, event_id % 2 AS page, CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END AS later, event_id AS rank FROM events), f AS (SELECT query_id, doc_id, page, min((later, rank)) AS o FROM h GROUP BY ALL)
