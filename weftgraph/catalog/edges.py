@@ -32,7 +32,7 @@ def _rounded(df):
 @query("WITH " + _PAIRS + " SELECT map_id, id, other, round(s, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY map_id, id ORDER BY s DESC, other) AS r FROM p) WHERE r <= 5", "fx_concepts")
 def e1_similarity(spark, sf):
     v = _vectors(spark, sf)
-    return V.top_similar(v, v, 5, block=64).withColumn("score", F.round("score", 6))
+    return V.top_similar(v, v, 5).withColumn("score", F.round("score", 6))
 
 
 @query("WITH " + _VEC + """, p AS (SELECT DISTINCT map_id, origin AS a, target AS b FROM fx_edges),

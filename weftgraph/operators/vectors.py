@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Vectors of a block; a task multiplies two blocks.
-BLOCK = 2048
+from ..plans.storage import materialize
+
+#: Vectors of a block; a task multiplies two blocks, so many rows of one at a time.
+BLOCK, ROWS = 2048, 256
 METRICS = ("cosine", "l2", "sql2", "inner")
 
 
@@ -50,8 +52,23 @@ def matrix_scores(q: np.ndarray, t: np.ndarray, metric: str) -> np.ndarray:
     return -(np.sqrt(d) if metric == "l2" else d)
 
 
+def best_columns(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's ``k`` greatest scores, greatest first and ties by column; a score of minus infinity or none is left out."""
+    s[np.isnan(s)] = -np.inf
+    if s.shape[1] > k:
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+    else:
+        i, j = np.nonzero(s > -np.inf)
+    order = np.lexsort((j, -s[i, j], i))
+    i, j = i[order], j[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[kept], j[kept]
+
+
 def _blocked(rows: DataFrame, block: int) -> DataFrame:
-    sizes = rows.groupBy("map_id").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    """Rows dealt to blocks; the sizes are a table of their own, so Spark knows how few they are and no map's vectors meet for them."""
+    sizes = materialize(rows.groupBy("map_id").agg(F.ceil(F.count("*") / block).alias("blocks")), "block-sizes")
     return rows.join(sizes, "map_id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
 
 
@@ -60,7 +77,8 @@ def top_similar(queries: DataFrame, targets: DataFrame, k: int, metric: str = "c
 
     Scores are rounded to ``digits``, ties go by the other's id; distances are given as positive numbers, nearest first. ``exclude`` is an
     array of ids that do not count. Every block of queries meets every block of targets of its map in a task of its own, which keeps k rows a
-    query, so memory is two blocks and their product whatever a map's size. Vectors of null are left out.
+    query, so memory is two blocks and a part of their product whatever a map's size; a vector travels once a block of the other side, so
+    smaller blocks cost more of a shuffle that grows with the square of a map. Vectors of null are left out.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -70,9 +88,9 @@ def top_similar(queries: DataFrame, targets: DataFrame, k: int, metric: str = "c
         queries = queries.withColumn("exclude", F.array().cast("array<bigint>"))
     q = _blocked(queries.select(*columns, "exclude"), block).withColumnRenamed("block", "qb").drop("blocks")
     t = _blocked(targets.filter("embedding is not null").select(*columns), block).withColumnRenamed("block", "tb")
-    blocks = t.groupBy("map_id").agg(F.first("blocks").alias("n"))
+    blocks = materialize(t.groupBy("map_id").agg(F.first("blocks").alias("n")), "block-sizes")
     q = q.join(blocks, "map_id").withColumn("tb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n")
-    qblocks = q.select("map_id", "qb").distinct()
+    qblocks = materialize(q.select("map_id", "qb").distinct(), "query-blocks")
     t = t.drop("blocks").join(qblocks, "map_id")
     t = t.select(*[F.col(c).alias(c) for c in t.columns])  # new attributes, as both sides may be one table
 
@@ -81,17 +99,19 @@ def top_similar(queries: DataFrame, targets: DataFrame, k: int, metric: str = "c
         if not len(left) or not len(right):
             return empty
         right = right.sort_values("id", kind="stable")
-        ids, others = left["id"].to_numpy(), right["id"].to_numpy()
-        s = np.round(matrix_scores(np.stack(left["embedding"]).astype(float), np.stack(right["embedding"]).astype(float), metric), digits)
-        if exclude_self:
-            s[ids[:, None] == others[None, :]] = -np.inf
-        for i, ex in enumerate(left["exclude"]):
-            if ex is not None and len(ex):
-                s[i, np.isin(others, ex)] = -np.inf
-        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        found = np.take_along_axis(s, order, 1)
-        i, j = np.nonzero(found > -np.inf)
-        return pd.DataFrame({"map_id": left["map_id"].to_numpy()[i], "id": ids[i], "other": others[order[i, j]], "score": found[i, j]})
+        ids, others, out = left["id"].to_numpy(), right["id"].to_numpy(), []
+        x, y = np.stack(left["embedding"]).astype(float), np.stack(right["embedding"]).astype(float)
+        for at in range(0, len(left), ROWS):
+            own = ids[at : at + ROWS]
+            s = np.round(matrix_scores(x[at : at + ROWS], y, metric), digits)
+            if exclude_self:
+                s[own[:, None] == others[None, :]] = -np.inf
+            for i, ex in enumerate(left["exclude"].iloc[at : at + ROWS]):
+                if ex is not None and len(ex):
+                    s[i, np.isin(others, ex)] = -np.inf
+            i, j = best_columns(s, k)
+            out.append(pd.DataFrame({"map_id": left["map_id"].iloc[0], "id": own[i], "other": others[j], "score": s[i, j]}))
+        return pd.concat(out, ignore_index=True)
 
     pairs = q.groupBy("map_id", "qb", "tb").cogroup(t.groupBy("map_id", "qb", "tb")).applyInPandas(meet, "map_id long, id long, other long, score double")
     by = W.partitionBy("map_id", "id").orderBy(F.desc("score"), "other")
