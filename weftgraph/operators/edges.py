@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialize
 from .concepts import dedup_edges_keep_max
 from .vectors import top_similar
 
@@ -210,11 +211,14 @@ def auto_edges(vectors: DataFrame, edges: DataFrame, target: int = 3) -> DataFra
     ``target``; then nodes without in-edges get one from their nearest node that they do not already come from."""
     kept = edges.filter("type <> 'Generated'").select("map_id", "origin", "target", "type")
     have = kept.groupBy("map_id", F.col("origin").alias("id")).agg(F.countDistinct("target").alias("n"))
-    few = vectors.join(have, ["map_id", "id"], "left").filter(F.coalesce("n", F.lit(0)) < target)
+    few = vectors.join(have, ["map_id", "id"], "left").filter(F.coalesce("n", F.lit(0)) < target).select("map_id", "id", "embedding")
+    few = materialize(few, "few-edges")  # what the block steps read more than once
     near = top_similar(few, vectors, target).select("map_id", F.col("id").alias("origin"), F.col("other").alias("target"))
+    near = materialize(near, "nearest")
     new = near.join(kept.select("map_id", "origin", "target"), ["map_id", "origin", "target"], "left_anti").withColumn("type", F.lit("Generated"))
     now = kept.unionByName(new)
     lonely = vectors.join(now.select("map_id", F.col("target").alias("id")).distinct(), ["map_id", "id"], "left_anti")
+    lonely = materialize(lonely.select("map_id", "id", "embedding"), "lonely")
     back = top_similar(lonely, vectors, 1).select("map_id", F.col("other").alias("origin"), F.col("id").alias("target"), F.lit("Generated").alias("type"))
     return now.unionByName(back)
 

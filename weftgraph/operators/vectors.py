@@ -66,10 +66,10 @@ def best_columns(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return i[kept], j[kept]
 
 
-def _blocked(rows: DataFrame, block: int) -> DataFrame:
-    """Rows dealt to blocks; the sizes are a table of their own, so Spark knows how few they are and no map's vectors meet for them."""
+def _blocked(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt to blocks, and (map_id, blocks): a table of its own, so Spark knows how small it is and no map's vectors meet for it."""
     sizes = materialize(rows.groupBy("map_id").agg(F.ceil(F.count("*") / block).alias("blocks")), "block-sizes")
-    return rows.join(sizes, "map_id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    return rows.join(sizes, "map_id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks"), sizes
 
 
 def top_similar(queries: DataFrame, targets: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = True, block: int = BLOCK, digits: int = 9) -> DataFrame:
@@ -86,12 +86,11 @@ def top_similar(queries: DataFrame, targets: DataFrame, k: int, metric: str = "c
     queries = queries.filter("embedding is not null")
     if "exclude" not in queries.columns:
         queries = queries.withColumn("exclude", F.array().cast("array<bigint>"))
-    q = _blocked(queries.select(*columns, "exclude"), block).withColumnRenamed("block", "qb").drop("blocks")
-    t = _blocked(targets.filter("embedding is not null").select(*columns), block).withColumnRenamed("block", "tb")
-    blocks = materialize(t.groupBy("map_id").agg(F.first("blocks").alias("n")), "block-sizes")
-    q = q.join(blocks, "map_id").withColumn("tb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n")
-    qblocks = materialize(q.select("map_id", "qb").distinct(), "query-blocks")
-    t = t.drop("blocks").join(qblocks, "map_id")
+    q, qsizes = _blocked(queries.select(*columns, "exclude"), block)
+    t, tsizes = _blocked(targets.filter("embedding is not null").select(*columns), block)
+    every = lambda sizes, name: sizes.select("map_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias(name))
+    q = q.withColumnRenamed("block", "qb").join(every(tsizes, "tb"), "map_id")
+    t = t.withColumnRenamed("block", "tb").join(every(qsizes, "qb"), "map_id")
     t = t.select(*[F.col(c).alias(c) for c in t.columns])  # new attributes, as both sides may be one table
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
