@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What a token is, and what counts as punctuation.
 TOKEN = r"\w+|[^\w\s]"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
+#: UTF-8 bytes of the texts that a Python helper takes apart at a time (one text at least).
+SLICE_BYTES = 1 << 20
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """All rows of ``batches`` in slices whose texts in ``column`` have ``most`` bytes together, or that are one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def count_tokens(text: Column, pattern: str = TOKEN) -> Column:

@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_links
+from ..functions.text import strip_links, text_slices
+from ..plans.storage import materialize
 from .numbering import number_rows
 
 #: Sizes and limits of chunks.
@@ -69,15 +71,18 @@ def split_text(text: str | None, size: int = TXT_SIZE, overlap: int = TXT_OVERLA
 
 
 def recursive_split(docs: DataFrame, size: int = TXT_SIZE, overlap: int = TXT_OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pos, piece) of :func:`split_text` on every row; no shuffle, and a task holds one Arrow batch."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            pieces = [split_text(t, size, overlap) for t in rows.iloc[:, 1]]
-            n = [len(p) for p in pieces]
-            yield pd.DataFrame({id_col: np.repeat(rows.iloc[:, 0].to_numpy(), n), "pos": [i for k in n for i in range(k)], "piece": [x for p in pieces for x in p]})
-
-    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, pos int, piece string")
+    """(id, pos, piece) of :func:`split_text` on every row; no shuffle. A task holds one Arrow batch, and of its texts and pieces as
+    Python strings one slice (:func:`text_slices`)."""
+    kind = docs.schema[id_col].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in text_slices(batches, 1):
+            pieces = [split_text(t, size, overlap) for t in rows.column(1).to_pylist()]
+            n = np.array([len(p) for p in pieces])
+            ids = rows.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([i for k in n for i in range(k)], pa.int32()), pa.array([x for p in pieces for x in p], pa.string())], [id_col, "pos", "piece"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, pos int, piece string")
 
 
 # -- grouping ----------------------------------------------------------------------------------------------------------
