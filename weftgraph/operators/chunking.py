@@ -235,9 +235,10 @@ def split_on_separators(text: Column, pattern: str, min_words: int) -> Column:
 
 def language_sample(docs: DataFrame, budget: int = SAMPLE_BUDGET) -> DataFrame:
     """``docs(map_id, doc_id, text)`` to (map_id, doc_id, sample): the first min(len, max(100, floor(len / total * budget))) characters
-    of the text without links; documents that are empty then are dropped. Totals are joined, one row a map."""
+    of the text without links; documents that are empty then are dropped. Totals are joined, one row a map: a table of their own, so Spark knows how small they are
+    and sends them to the texts, and a map's texts do not meet in a task."""
     clean = docs.select("map_id", "doc_id", strip_links(F.col("text")).alias("t")).filter("t <> ''")
-    total = clean.groupBy("map_id").agg(F.sum(F.length("t")).alias("total"))
+    total = materialize(clean.groupBy("map_id").agg(F.sum(F.length("t")).alias("total")), "totals")
     n = F.greatest(F.lit(100), F.floor(F.length("t") * F.lit(budget) / F.col("total")).cast("int"))
     return clean.join(total, "map_id").select("map_id", "doc_id", F.substr("t", F.lit(1), n).alias("sample"))
 
