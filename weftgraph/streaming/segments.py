@@ -49,10 +49,11 @@ class Segments:
 
     def _store(self, name: str, tables: dict[str, DataFrame]) -> None:
         for table, rows in tables.items():
+            rows = rows(lambda t: self.read(t, [name])) if callable(rows) else rows
             rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}/{table}")
 
     def add(self, batch: int, tables: dict[str, DataFrame]) -> None:
-        """Count the tables of batch number ``batch``, once."""
+        """Count the tables of batch number ``batch``, once; one may be a function of the reader of those before it, which are written then."""
         name = f"batch-{batch}"
         if not any(r["segment"] == name for r in self._log()):
             self._store(name, tables)
@@ -86,7 +87,7 @@ def index_segments(spark: SparkSession, root: str, fan: int = 4) -> Segments:
 def add_chunks(index: Segments, batch: DataFrame, number: int, stemmed: bool = False) -> None:
     """Index the chunks ``batch(doc_id, chunk_id, tokens)`` as batch ``number``, their stems if so asked; chunks must be new."""
     postings, lengths = bm25_index(batch.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("chunk_id").cast("int").alias("chunk_id"), "tokens"), stemmed)
-    index.add(number, {"postings": postings, "lengths": lengths, "terms": postings.groupBy("term").agg(F.count("*").alias("df"))})
+    index.add(number, {"postings": postings, "lengths": lengths, "terms": lambda read: read("postings").groupBy("term").agg(F.count("*").alias("df"))})
 
 
 def stream_index(chunks: DataFrame, index: Segments, stemmed: bool = False):
