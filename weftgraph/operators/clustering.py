@@ -126,9 +126,11 @@ def split_labels(x: np.ndarray, labels: np.ndarray, most: int, method) -> np.nda
     return out
 
 
-def _assigned(rows: DataFrame, centres: DataFrame, block: int = 8192) -> DataFrame:
-    """``rows(map_id, cell, id, embedding)`` with ``near``, the number of the nearest of its cell's ``centres(map_id, cell, near, centre)``."""
-    sizes = rows.groupBy("map_id", "cell").agg(F.ceil(F.count("*") / block).alias("blocks"))
+def _assigned(rows: DataFrame, centres: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``rows(map_id, cell, id, embedding)`` with ``near``, the number of the nearest of its cell's ``centres(map_id, cell, near, centre)``.
+
+    ``sizes(map_id, cell, blocks)`` is a table of its own, so that Spark sends it to the centres and not the centres to all tasks, by way of the driver.
+    """
     left = rows.join(sizes, ["map_id", "cell"]).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks")
     right = centres.join(sizes, ["map_id", "cell"]).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
 
@@ -147,17 +149,18 @@ def _assigned(rows: DataFrame, centres: DataFrame, block: int = 8192) -> DataFra
     return left.groupBy("map_id", "cell", "blk").cogroup(right.groupBy("map_id", "cell", "blk")).applyInPandas(nearest, schema)
 
 
-def _condensed(rows: DataFrame, most: int, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def _condensed(rows: DataFrame, most: int, rounds: int = 2, block: int = 8192) -> tuple[DataFrame, DataFrame]:
     """Rows with their micro-cluster ``near``, and (map_id, cell, near, centre, n) of these, ``most`` a cell: k-means of all cells at once.
 
     Centres start at the rows of least hashed id. Tasks assign blocks of rows to their cell's centres, and new centres are
     partial sums of every component by (map_id, cell, near), so no cell meets in a task.
     """
     dims = len(rows.first()["embedding"])
+    sizes = materialize(rows.groupBy("map_id", "cell").agg(F.ceil(F.count("*") / block).alias("blocks")), "cell-sizes")
     order = W.partitionBy("map_id", "cell").orderBy(F.xxhash64("id"), "id")
     centres = rows.withColumn("near", F.row_number().over(order).cast("long")).filter(F.col("near") <= most).select("map_id", "cell", "near", F.col("embedding").alias("centre"))
     for last in [False] * rounds + [True]:
-        placed = materialize(_assigned(rows, materialize(centres, "centres")), "assigned")
+        placed = materialize(_assigned(rows, materialize(centres, "centres"), sizes), "assigned")
         sums = placed.groupBy("map_id", "cell", "near").agg(F.count("*").alias("n"), *[F.avg(F.col("embedding")[i]).alias(f"_{i}") for i in range(dims)])
         centres = sums.select("map_id", "cell", "near", F.array(*[F.col(f"_{i}") for i in range(dims)]).alias("centre"), "n")
         if last:
@@ -244,9 +247,15 @@ def packed_within_budget(concepts: DataFrame, plan: DataFrame, method: str = "wa
 
     Every map is cut into 4 * 3^mult clusters, those over ``size`` are split and small ones packed. Maps that end with more packs
     than that try again with ``mult`` + 1, all together in a round, until none is left; more clusters are smaller ones, which
-    pack better. ``target`` and size decide whether that ends; after ``rounds`` it is an error.
+    pack better. No pack has more concepts than ``target`` and size allow, so a map starts with the first ``mult`` whose budget is not
+    less than the packs it must have: with a smaller one it would be clustered in vain. ``target`` and size decide whether that
+    ends; after ``rounds`` it is an error.
     """
-    left = plan.select("map_id", "size", F.col("mult").cast("int").alias("mult"))
+    counts = concepts.filter("embedding is not null").groupBy("map_id").agg(F.count("*").alias("n"))
+    least = F.ceil(F.coalesce("n", F.lit(0)) / F.greatest(F.lit(target), "size"))
+    short = F.size(F.filter(F.sequence(F.lit(0), F.lit(39)), lambda m: 4 * F.pow(F.lit(3), m) < least))
+    left = plan.join(counts, "map_id", "left").select("map_id", "size", F.greatest(F.col("mult").cast("int"), short).alias("mult"))
+    left = materialize(left, "plan")
     done = None
     for _ in range(rounds):
         asked = left.withColumn("clusters", (4 * F.pow(F.lit(3), F.col("mult"))).cast("long"))
