@@ -17,13 +17,17 @@ K1, B = 1.2, 0.75
 #: Contributions are whole millionths, so sums do not depend on their order and ties are exact.
 UNIT = 1e6
 #: Documents and postings of a shard at most (or one longer document), and documents of a block that shares one upper bound for each term.
-SHARD_DOCS, SHARD_POSTINGS, BLOCK_DOCS = 8192, 1 << 21, 32
+SHARD_DOCS, SHARD_POSTINGS, BLOCK_DOCS = 16384, 1 << 22, 32
 #: A term that more than one in DENSE documents of a shard hold has its contributions as a row over all of them, as far as DENSE_BYTES go.
 DENSE, DENSE_BYTES = 16, 32 << 20
-#: Queries whose bounds and scores are found together.
-BATCH_QUERIES = 128
+#: Queries whose bounds and scores are found together, and postings of rare terms that are added up at a time.
+BATCH_QUERIES, BATCH_POSTINGS = 256, 1 << 16
+#: Documents whose rows of common terms are multiplied at a time.
+TILE_DOCS = 256
 #: Distinct terms of all queries that are searched at once (with repeats between queries): 16 MB.
-BLOCK_TERMS = 1 << 21
+BLOCK_TERMS = 1 << 22
+#: One shard in FIRST_SHARDS is searched before the others, where there are twice as many.
+FIRST_SHARDS = 8
 
 
 def term_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -37,16 +41,29 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return doc[new], terms[new], np.diff(np.append(new, len(doc))), np.diff(firsts)
 
 
+def main_terms(doc: np.ndarray, terms: np.ndarray, tf: np.ndarray, docs: int) -> np.ndarray:
+    """The most repeated term of each document, the first of equal ones; 0 without terms."""
+    main = np.zeros(docs, np.uint64)
+    first = np.searchsorted(doc, np.arange(docs + 1))
+    size = np.diff(first)
+    some = np.flatnonzero(size)
+    if len(some):
+        most = np.flatnonzero(tf == np.repeat(np.maximum.reduceat(tf, first[some]), size[some]))
+        main[some] = terms[most[np.searchsorted(most, first[some])]]
+    return main
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, terms) of ``queries(query_id, text)``; queries without words stay out."""
+    """(query_id, terms, main) of ``queries(query_id, text)``, ``main`` the most repeated term; queries without words stay out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_chunks(batches):
-            doc, terms, _, _ = term_counts(data, offsets)
+            doc, terms, tf, length = term_counts(data, offsets)
             firsts = np.searchsorted(doc, np.arange(len(offsets))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(firsts), pa.array(terms.view(np.int64)))], ["query_id", "terms"])
+            lists = pa.ListArray.from_arrays(pa.array(firsts), pa.array(terms.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column(0), lists, pa.array(main_terms(doc, terms, tf, len(length)).view(np.int64))], ["query_id", "terms", "main"])
 
-    return queries.mapInArrow(run, "query_id long, terms array<long>").filter("size(terms) > 0")
+    return queries.mapInArrow(run, "query_id long, terms array<long>, main long").filter("size(terms) > 0")
 
 
 _INDEX = "docs int, words long, ids array<long>, lengths binary, terms binary, counts binary, doc binary, tf binary"
@@ -67,14 +84,8 @@ def build_index(docs: DataFrame) -> DataFrame:
             ids = pa.concat_arrays([x[0] for x in held])
             length = np.concatenate([x[4] for x in held])
             base = np.cumsum([0, *(len(x[4]) for x in held)])
-            doc, terms, tf = (np.concatenate(x) for x in ([h[1] + b for h, b in zip(held, base)], [h[2] for h in held], [h[3] for h in held]))
-            first = np.searchsorted(doc, np.arange(len(length)))
-            main = np.zeros(len(length), np.uint64)
-            some = np.flatnonzero(length)
-            if len(some):
-                most = np.flatnonzero(tf == np.repeat(np.maximum.reduceat(tf, first[some]), np.diff(np.append(first[some], len(tf)))))
-                main[some] = terms[most[np.searchsorted(most, first[some])]]
-            order = np.lexsort((length, main))
+            doc, terms, tf = (np.concatenate(x) for x in ([h[1] + b for h, b in zip(held, base.astype(np.int32))], [h[2] for h in held], [h[3] for h in held]))
+            order = np.lexsort((length, main_terms(doc, terms, tf, len(length))))
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             sort = np.lexsort((place[doc], terms))
@@ -92,7 +103,7 @@ def build_index(docs: DataFrame) -> DataFrame:
             if held and (size + len(length) > SHARD_DOCS or postings + len(doc) > SHARD_POSTINGS):
                 yield flush()
                 held, size, postings = [], 0, 0
-            held.append((rows.column(0), doc, terms, tf, length))
+            held.append((rows.column(0), doc.astype(np.int32), terms, tf.astype(np.uint32), length))
             size, postings = size + len(length), postings + len(doc)
         if held:
             yield flush()
@@ -115,95 +126,123 @@ def _frequencies(index: DataFrame, vocabulary) -> DataFrame:
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(df[seen])], ["slot", "df"])
 
-    return index.select("terms", "counts").mapInArrow(run, "slot long, df long").groupBy("slot").agg(F.sum("df").alias("df"))
+    tasks = 4 * index.sparkSession.sparkContext.defaultParallelism  # each sums up many shards
+    return index.select("terms", "counts").coalesce(tasks).mapInArrow(run, "slot long, df long").groupBy("slot").agg(F.sum("df").alias("df"))
 
 
 class Shard:
-    """A shard's contributions to the terms of a block of queries: postings with block maxima, and rows for common terms.
+    """A shard's contributions to the terms of a block of queries: postings of rare terms, and rows with block maxima for common ones.
 
-    ``slot`` (ascending), ``doc`` and ``gain`` are its postings; documents are in the order of the index's blocks.
+    ``slot`` (ascending), ``doc`` and ``gain`` are its postings; documents are in the order of the index's blocks. Rows are cut
+    into tiles of TILE_DOCS documents, in single precision, which holds their whole numbers exactly.
     """
 
     def __init__(self, n: int, slot: np.ndarray, doc: np.ndarray, gain: np.ndarray, terms: int):
-        self.n, self.blocks = n, -(-n // BLOCK_DOCS)
+        self.n, self.tiles = n, -(-n // TILE_DOCS)
+        self.blocks = self.tiles * (TILE_DOCS // BLOCK_DOCS)
         self.skipped = self.scored = 0
-        first = np.searchsorted(slot, np.arange(terms + 1))
-        df = np.diff(first)
+        self.first = np.searchsorted(slot, np.arange(terms + 1))
+        df = np.diff(self.first)
         common = np.flatnonzero(df * DENSE > n)
-        if len(common) > (most := max(1, DENSE_BYTES // (8 * n))):
+        if len(common) > (most := max(1, DENSE_BYTES // (4 * n))):
             common = np.sort(common[np.argsort(-df[common], kind="stable")[:most]])
+        if len(common):
+            at = byte_positions(self.first[common], df[common])
+            common = common[np.maximum.reduceat(gain[at], np.cumsum(df[common]) - df[common]) < 1 << 24]
         self.row = np.full(terms, -1)
         self.row[common] = np.arange(len(common))
+        at = byte_positions(self.first[common], df[common])
+        dense = np.zeros((self.tiles, len(common), TILE_DOCS), np.float32)
+        dense[doc[at] // TILE_DOCS, np.repeat(np.arange(len(common)), df[common]), doc[at] % TILE_DOCS] = gain[at]
+        most = dense.reshape(self.tiles, len(common), TILE_DOCS // BLOCK_DOCS, BLOCK_DOCS).max(3)
+        self.dense_most = most.transpose(1, 0, 2).reshape(len(common), self.blocks)
+        self.dense = []  # each tile's rows that are not empty, and their numbers
+        for tile, held in zip(dense, most):
+            rows = np.flatnonzero(held.any(1))
+            self.dense.append((rows, tile[rows]))
+        self.doc, self.gain = doc, np.asarray(gain, float)  # whole numbers below 2**53, so sums are exact
+        self.count = np.where(self.row < 0, df, 0)
+
+    def _rare(self, query: np.ndarray, term: np.ndarray, queries: int) -> np.ndarray:
+        """What the rare terms of each query add up to in each document."""
         width = self.blocks * BLOCK_DOCS
-        self.dense = np.zeros((len(common), width))
-        row = self.row[slot]
-        self.dense[row[row >= 0], doc[row >= 0]] = gain[row >= 0]  # whole numbers below 2**53, so sums are exact
-        self.dense_most = self.dense.reshape(len(common), self.blocks, BLOCK_DOCS).max(2)
-        slot, self.doc, self.gain = slot[row < 0], doc[row < 0], gain[row < 0].astype(float)
-        key = slot << 32 | self.doc // BLOCK_DOCS
-        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
-        self.block, self.block_first = key[new] & 0xFFFFFFFF, new
-        self.block_size = np.diff(np.append(new, len(key)))
-        self.block_most = np.maximum.reduceat(self.gain, new) if len(new) else np.zeros(0)
-        self.entry = np.searchsorted(key[new] >> 32, np.arange(terms + 1))
-
-    def top(self, query: np.ndarray, term: np.ndarray, queries: int, k: int, least: np.ndarray, seeds: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray] | np.ndarray:
+        out = np.empty((queries, width))
+        count = self.count[term]
+        first = np.searchsorted(query, np.arange(queries + 1))
+        upto = np.append(0, np.cumsum(count))[first]
+        begin = 0
+        while begin < queries:
+            end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + BATCH_POSTINGS, "right")) - 1)
+            part = slice(first[begin], first[end])
+            posting = byte_positions(self.first[term[part]], count[part])
+            place = self.doc[posting]
+            if end - begin > 1:
+                place += np.repeat((query[part] - begin) * width, count[part])
+            out[begin:end] = np.bincount(place, self.gain[posting], (end - begin) * width).reshape(-1, width)
+            begin = end
+        return out
+
+    def top(self, query: np.ndarray, term: np.ndarray, queries: int, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, document, score) of all that can be among the k best, given that k scores of ``least`` are known elsewhere.
 
-        ``query`` and ``term`` are the distinct pairs of ``queries`` queries. A query's bound of a block is the sum of its
-        terms' maxima there. The block of the greatest bound is scored first and gives a threshold; then all other blocks
-        whose bound reaches it are, and the rest are skipped with their postings. ``seeds``: the thresholds of the first step.
+        ``query`` (ascending) and ``term`` are the distinct pairs of ``queries`` queries. Rare terms are added up in all documents.
+        A query's bound of a block is the greatest of these sums there and the maxima of its common terms. The block of the
+        greatest bound is scored first and gives a threshold, where none is known; blocks whose bound does not reach it are
+        skipped with their rows of common terms, unless they share a tile with one that does. Rows are added up in single
+        precision, and what that leaves above the threshold is added up exactly.
         """
         row = self.row[term]
-        wanted = np.zeros((queries, len(self.dense)))
+        wanted = np.zeros((queries, len(self.dense_most)), np.float32)
         wanted[query[row >= 0], row[row >= 0]] = 1
-        count = (self.entry[term + 1] - self.entry[term])[row < 0]
-        owner = np.repeat(query[row < 0], count)
-        entry = byte_positions(self.entry[term[row < 0]], count)
-        at = owner * self.blocks + self.block[entry]
-        bound = wanted @ self.dense_most + np.bincount(at, self.block_most[entry], queries * self.blocks).reshape(queries, self.blocks)
-        score = np.zeros((queries, self.blocks, BLOCK_DOCS))
-
-        def fill(alive: np.ndarray) -> None:
-            """Scores of the alive pairs of a query and a block."""
-            keep = alive.ravel()[at]
-            size = self.block_size[entry[keep]]
-            posting = byte_positions(self.block_first[entry[keep]], size)
-            place = np.repeat(owner[keep], size) * (self.blocks * BLOCK_DOCS) + self.doc[posting]
-            score.ravel()[:] += np.bincount(place, self.gain[posting], score.size)
-            for b in np.flatnonzero(alive.any(0)).tolist():
-                some = np.flatnonzero(alive[:, b])
-                score[some, b] += wanted[some] @ self.dense[:, b * BLOCK_DOCS : (b + 1) * BLOCK_DOCS]
-
+        off = 1 - (len(self.dense_most) + 2) * 2.0**-23  # a product and a sum have 24 bits each
+        rare = self._rare(query[row < 0], term[row < 0], queries)
+        blocks = rare.reshape(queries, self.blocks, BLOCK_DOCS)
+        bound = blocks.max(2) + wanted @ self.dense_most
         threshold = np.maximum(least, 1)
-        best = bound.argmax(1)
-        head = np.zeros(bound.shape, bool)
-        head[np.arange(queries), best] = bound[np.arange(queries), best] >= threshold
-        fill(head)
+        fresh = np.flatnonzero(least < 1)
         if k <= BLOCK_DOCS:
-            threshold = np.maximum(threshold, np.partition(score[np.arange(queries), best], BLOCK_DOCS - k, 1)[:, BLOCK_DOCS - k])
-        if seeds:
-            return threshold
-        rest = (bound >= threshold[:, None]) & ~head
-        fill(rest)
-        self.scored += int(rest.sum() + head.sum())
-        self.skipped += rest.size - int(rest.sum() + head.sum())
-        score = score.reshape(queries, -1)
-        q, doc = np.nonzero(score >= threshold[:, None])
-        return q, doc, score[q, doc].astype(np.int64)
-
-
-def _search(index: DataFrame, shared, k: int, seeds: bool = False) -> DataFrame:
-    """(query_id, doc_id, score): the k best of each query among each task's shards, as far as they reach its threshold.
-
-    ``seeds``: (slot, score) instead, a score that k documents of one block of the task reach.
-    """
+            for q, b in zip(fresh.tolist(), bound[fresh].argmax(1).tolist()):
+                tile, at = divmod(b * BLOCK_DOCS, TILE_DOCS)
+                rows, gains = self.dense[tile]
+                whole = blocks[q, b] + wanted[q, rows].astype(float) @ gains[:, at : at + BLOCK_DOCS]
+                threshold[q] = max(threshold[q], np.partition(whole, BLOCK_DOCS - k)[BLOCK_DOCS - k])
+        alive = bound >= (threshold * off)[:, None]
+        self.scored += int(alive.sum())
+        self.skipped += alive.size - int(alive.sum())
+        alive = alive.reshape(queries, self.tiles, -1).any(2)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for tile in np.flatnonzero(alive.any(0)).tolist():
+            some = np.flatnonzero(alive[:, tile])
+            rows, gains = self.dense[tile]
+            score = rare[some, tile * TILE_DOCS : (tile + 1) * TILE_DOCS]
+            score += wanted[some[:, None], rows] @ gains
+            at = np.flatnonzero(score >= (threshold[some] * off)[:, None])
+            found.append((some[at // TILE_DOCS], at % TILE_DOCS + tile * TILE_DOCS, score.ravel()[at]))
+        q, doc, score = (np.concatenate(x) for x in zip(*found))
+        if len(fresh):
+            order = np.lexsort((-score, q))
+            q, doc, score = q[order], doc[order], score[order]
+            kth = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == k - 1)
+            threshold[q[kth]] = np.maximum(threshold[q[kth]], score[kth] * off)
+            keep = score >= threshold[q] * off
+            q, doc = q[keep], doc[keep]
+        score = rare[q, doc]
+        tiles = doc // TILE_DOCS
+        for tile in np.unique(tiles).tolist():
+            rows, gains = self.dense[tile]
+            for at in np.array_split(pairs := np.flatnonzero(tiles == tile), len(pairs) // 4096 + 1):
+                score[at] += np.einsum("ij,ji->i", wanted[q[at][:, None], rows], gains[:, doc[at] % TILE_DOCS], dtype=float)
+        keep = score >= threshold[q]
+        return q[keep], doc[keep], score[keep].astype(np.int64)
+
+
+def _search(index: DataFrame, shared, k: int) -> DataFrame:
+    """(query_id, doc_id, score): the k best of each query among each task's shards, as far as they reach its threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, idf, mean, names, firsts, slots, least = shared.value
         least = least.astype(float)
-        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
-        best = none
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
         for batch in batches:
             for i in range(batch.num_rows):
                 n, ids = batch.column("docs")[i].as_py(), batch.column("ids")[i].values
@@ -220,30 +259,21 @@ def _search(index: DataFrame, shared, k: int, seeds: bool = False) -> DataFrame:
                 for first in range(0, len(names), BATCH_QUERIES):
                     last = min(first + BATCH_QUERIES, len(names))
                     query = np.repeat(np.arange(last - first), np.diff(firsts[first : last + 1]))
-                    term = slots[firsts[first] : firsts[last]]
-                    if seeds:
-                        least[first:last] = shard.top(query, term, last - first, k, least[first:last], True)
-                        continue
-                    q, d, s = shard.top(query, term, last - first, k, least[first:last])
+                    q, d, s = shard.top(query, slots[firsts[first] : firsts[last]].astype(np.int64), last - first, k, least[first:last])
                     found.append((q + first, s, value[d], null[d]))
-                if not seeds:
-                    query, score, doc, null = (np.concatenate(x) for x in zip(*found))
-                    order = np.lexsort((doc, ~null, -score, query))
-                    query, score, doc, null = query[order], score[order], doc[order], null[order]
-                    nth = np.arange(len(query)) - np.searchsorted(query, query)
-                    full = query[nth == k - 1]
-                    least[full] = np.maximum(least[full], score[nth == k - 1])
-                    best = tuple(x[nth < k] for x in (query, score, doc, null))
-        if seeds:
-            some = np.flatnonzero(least > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(least[some].astype(np.int64))], ["slot", "score"])
-            return
+                query, score, doc, null = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((doc, ~null, -score, query))
+                query, score, doc, null = query[order], score[order], doc[order], null[order]
+                nth = np.arange(len(query)) - np.searchsorted(query, query)
+                full = query[nth == k - 1]
+                least[full] = np.maximum(least[full], score[nth == k - 1])
+                best = tuple(x[nth < k] for x in (query, score, doc, null))
         query, score, doc, null = best
         for i in range(0, len(query), 1 << 16):
             part = slice(i, i + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(names[query[part]]), pa.array(doc[part], mask=null[part]), pa.array(score[part])], ["query_id", "doc_id", "score"])
 
-    return index.mapInArrow(run, "slot long, score long" if seeds else "query_id long, doc_id long, score long")
+    return index.mapInArrow(run, "query_id long, doc_id long, score long")
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -254,43 +284,54 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     (null first); only scores above 0 rank. Null and empty texts match nothing; queries without words have no rows;
     several query rows of one id are one query; each row of ``docs`` is a document of its own; other columns are not read.
 
-    The index is built once, as a table in the shared folder. Queries come in blocks of about BLOCK_TERMS terms, each
-    broadcast to all shards in place: documents are never shuffled. A first pass scores one block of documents a query and
-    shard; the greatest k-th score of any is a threshold that all tasks of the second pass start from. A task keeps at most
-    k rows a query, from which a window takes the best. One number a term and a query of a block reach the driver.
+    The index and the queries' terms are built once, as tables in the shared folder. Queries come in blocks of about BLOCK_TERMS
+    terms, those of one main term together, each block broadcast to all shards in place: documents are never shuffled.
+    One shard in FIRST_SHARDS is searched first; a query's k-th score there is a threshold that all other shards start from.
+    A task keeps at most k rows a query, from which a window takes the best. One number a term and a query of a block reach the driver.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     queries = query_terms(queries.filter("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("text").cast("string").alias("text")))
+    queries = materialize(queries, "bm25-queries")
     index = materialize(build_index(docs), "bm25-index")
-    size = index.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
-    n, mean = size["n"], max(size["words"] / max(size["n"], 1), 1e-9)
+    size = index.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.count("*").alias("shards")).first()
+    n, mean, shards = size["n"], max(size["words"] / max(size["n"], 1), 1e-9), size["shards"]
+    is_first = F.pmod(F.xxhash64("lengths"), F.lit(FIRST_SHARDS)) == 0
     terms = queries.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-terms // BLOCK_TERMS))
+    by = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
     found = []
     for block in range(blocks):
         part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
         if not part.num_rows:
             continue
-        ids = np.repeat(part["query_id"].to_numpy(), part["terms"].combine_chunks().value_lengths().to_numpy())
-        flat = part["terms"].combine_chunks().flatten().to_numpy().view(np.uint64)
-        known = np.unique(flat)
-        pairs = np.unique(np.stack([ids, np.searchsorted(known, flat)], 1), axis=0)
-        names, firsts = np.unique(pairs[:, 0], return_index=True)
+        names, owner = np.unique(part["query_id"].to_numpy(), return_inverse=True)
+        owner = np.repeat(owner, part["terms"].combine_chunks().value_lengths().to_numpy())
+        known, flat = np.unique(part["terms"].combine_chunks().flatten().to_numpy().view(np.uint64), return_inverse=True)
+        owner, flat = np.divmod(np.unique(owner * len(known) + flat), len(known))
         counts = _frequencies(index, spark.sparkContext.broadcast(known)).toArrow()
-        slot, df = counts["slot"].to_numpy(), counts["df"].to_numpy()
-        idf = np.zeros(len(known))
-        idf[slot] = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        known_of = (known, idf, mean, names, np.append(firsts, len(pairs)), pairs[:, 1].copy())
-        seeds = _search(index, spark.sparkContext.broadcast((*known_of, np.zeros(len(names), np.int64))), k, True).groupBy("slot").agg(F.max("score").alias("score")).toArrow()
-        least = np.zeros(len(names), np.int64)
-        least[seeds["slot"].to_numpy()] = seeds["score"].to_numpy()
-        found.append(_search(index, spark.sparkContext.broadcast((*known_of, least)), k))
+        df = np.zeros(len(known))
+        df[counts["slot"].to_numpy()] = counts["df"].to_numpy()
+        idf = np.where(df > 0, np.log(1 + (n - df + 0.5) / (df + 0.5)), 0)
+        size, main = np.bincount(owner), np.zeros(len(names), np.int64)
+        main[np.searchsorted(names, part["query_id"].to_numpy())] = part["main"].to_numpy()
+        order = np.lexsort((size, main))  # queries of one main term together, so that they need the same blocks
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        flat = flat[np.argsort(place[owner], kind="stable")].astype(np.int32)
+        known_of = (known, idf, mean, names[order], np.append(0, np.cumsum(size[order])), flat)
+        least, rest = np.zeros(len(names), np.int64), index
+        if shards >= 2 * FIRST_SHARDS:
+            first = materialize(_search(index.filter(is_first), spark.sparkContext.broadcast((*known_of, least)), k), "bm25-first")
+            found.append(first)
+            kth = first.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") == k).select("query_id", "score").toArrow()
+            least[place[np.searchsorted(names, kth["query_id"].to_numpy())]] = kth["score"].to_numpy()
+            rest = index.filter(~is_first)
+        found.append(_search(rest, spark.sparkContext.broadcast((*known_of, least)), k))
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
-    by = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
     ranked = every.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "doc_id", (F.col("score") / UNIT).alias("score"))
