@@ -26,7 +26,7 @@ BATCH_QUERIES, BATCH_POSTINGS = 256, 1 << 16
 TILE_DOCS = 256
 #: Distinct terms of all queries that are searched at once (with repeats between queries): 16 MB.
 BLOCK_TERMS = 1 << 22
-#: One shard in FIRST_SHARDS is searched before the others, where there are twice as many.
+#: One shard in FIRST_SHARDS at most is searched before the others, where there are twice as many.
 FIRST_SHARDS = 8
 
 
@@ -186,10 +186,10 @@ class Shard:
         """(query, document, score) of all that can be among the k best, given that k scores of ``least`` are known elsewhere.
 
         ``query`` (ascending) and ``term`` are the distinct pairs of ``queries`` queries. Rare terms are added up in all documents.
-        A query's bound of a block is the greatest of these sums there and the maxima of its common terms. The block of the
-        greatest bound is scored first and gives a threshold, where none is known; blocks whose bound does not reach it are
-        skipped with their rows of common terms, unless they share a tile with one that does. Rows are added up in single
-        precision, and what that leaves above the threshold is added up exactly.
+        A query's bound of a block is the greatest of these sums there and the maxima of its common terms. Tiles of the greatest
+        bounds come first and, where no threshold is known, raise it; blocks whose bound does not reach it are skipped with their
+        rows of common terms, unless they share a tile with one that does. Rows are added up in single precision, and what that
+        leaves above the threshold is added up exactly.
         """
         row = self.row[term]
         wanted = np.zeros((queries, len(self.dense_most)), np.float32)
@@ -199,27 +199,25 @@ class Shard:
         blocks = rare.reshape(queries, self.blocks, BLOCK_DOCS)
         bound = blocks.max(2) + wanted @ self.dense_most
         threshold = np.maximum(least, 1)
-        fresh = np.flatnonzero(least < 1)
-        if k <= BLOCK_DOCS:
-            for q, b in zip(fresh.tolist(), bound[fresh].argmax(1).tolist()):
-                tile, at = divmod(b * BLOCK_DOCS, TILE_DOCS)
-                rows, gains = self.dense[tile]
-                whole = blocks[q, b] + wanted[q, rows].astype(float) @ gains[:, at : at + BLOCK_DOCS]
-                threshold[q] = max(threshold[q], np.partition(whole, BLOCK_DOCS - k)[BLOCK_DOCS - k])
-        alive = bound >= (threshold * off)[:, None]
-        self.scored += int(alive.sum())
-        self.skipped += alive.size - int(alive.sum())
-        alive = alive.reshape(queries, self.tiles, -1).any(2)
+        fresh = least < 1
+        bound = bound.reshape(queries, self.tiles, -1)
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for tile in np.flatnonzero(alive.any(0)).tolist():
-            some = np.flatnonzero(alive[:, tile])
+        for tile in np.argsort(-bound.max(2).sum(0), kind="stable").tolist():
+            alive = bound[:, tile] >= (threshold * off)[:, None]
+            self.scored += int(alive.sum())
+            self.skipped += alive.size - int(alive.sum())
+            some = np.flatnonzero(alive.any(1))
+            if not len(some):
+                continue
             rows, gains = self.dense[tile]
             score = rare[some, tile * TILE_DOCS : (tile + 1) * TILE_DOCS]
             score += wanted[some[:, None], rows] @ gains
+            if k <= TILE_DOCS and (new := fresh[some]).any():
+                threshold[some[new]] = np.maximum(threshold[some[new]], np.partition(score[new], -k, 1)[:, -k] * off)
             at = np.flatnonzero(score >= (threshold[some] * off)[:, None])
             found.append((some[at // TILE_DOCS], at % TILE_DOCS + tile * TILE_DOCS, score.ravel()[at]))
         q, doc, score = (np.concatenate(x) for x in zip(*found))
-        if len(fresh):
+        if fresh.any():
             order = np.lexsort((-score, q))
             q, doc, score = q[order], doc[order], score[order]
             kth = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == k - 1)
@@ -240,11 +238,13 @@ def _search(index: DataFrame, shared, k: int) -> DataFrame:
     """(query_id, doc_id, score): the k best of each query among each task's shards, as far as they reach its threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, idf, mean, names, firsts, slots, least = shared.value
-        least = least.astype(float)
+        least = None
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
         for batch in batches:
             for i in range(batch.num_rows):
+                if least is None:
+                    known, idf, mean, names, firsts, slots, least = shared.value
+                    least = least.astype(float)
                 n, ids = batch.column("docs")[i].as_py(), batch.column("ids")[i].values
                 length, terms, counts, doc, tf = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("lengths", "<i8"), ("terms", "<u8"), ("counts", "<i4"), ("doc", "<u2"), ("tf", "<u4")))
                 at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
@@ -286,7 +286,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     The index and the queries' terms are built once, as tables in the shared folder. Queries come in blocks of about BLOCK_TERMS
     terms, those of one main term together, each block broadcast to all shards in place: documents are never shuffled.
-    One shard in FIRST_SHARDS is searched first; a query's k-th score there is a threshold that all other shards start from.
+    One shard in FIRST_SHARDS, or one a core, is searched first; a query's k-th score there is a threshold that all others start from.
     A task keeps at most k rows a query, from which a window takes the best. One number a term and a query of a block reach the driver.
     """
     spark = docs.sparkSession
@@ -296,7 +296,8 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     index = materialize(build_index(docs), "bm25-index")
     size = index.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.count("*").alias("shards")).first()
     n, mean, shards = size["n"], max(size["words"] / max(size["n"], 1), 1e-9), size["shards"]
-    is_first = F.pmod(F.xxhash64("lengths"), F.lit(FIRST_SHARDS)) == 0
+    every = max(FIRST_SHARDS, shards // spark.sparkContext.defaultParallelism)
+    is_first = F.pmod(F.xxhash64("lengths"), F.lit(every)) == 0
     terms = queries.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-terms // BLOCK_TERMS))
     by = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
@@ -321,7 +322,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         flat = flat[np.argsort(place[owner], kind="stable")].astype(np.int32)
         known_of = (known, idf, mean, names[order], np.append(0, np.cumsum(size[order])), flat)
         least, rest = np.zeros(len(names), np.int64), index
-        if shards >= 2 * FIRST_SHARDS:
+        if shards >= 2 * every:
             first = materialize(_search(index.filter(is_first), spark.sparkContext.broadcast((*known_of, least)), k), "bm25-first")
             found.append(first)
             kth = first.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") == k).select("query_id", "score").toArrow()
